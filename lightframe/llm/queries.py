@@ -14,6 +14,19 @@ def _model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lightframe.llm.secret_scan import report, scan
+
+    return report(scan(documents(spark, sf_dir)))
+
+
+def op4_shard_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lightframe.llm.shard_sort import shard
+
+    dealt = shard(documents(spark, sf_dir), shards=16)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lightframe.llm.minhash_dedup import near_duplicates
 
@@ -51,5 +64,5 @@ def op10_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op5_minhash_dedup, op7_decontaminate, op8_token_counts, op9_quality_qda, op10_piece_viterbi)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_shard_sort, op5_minhash_dedup, op7_decontaminate, op8_token_counts, op9_quality_qda, op10_piece_viterbi)}
 ORACLES: dict[str, str] = {}
