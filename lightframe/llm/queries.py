@@ -20,6 +20,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(scan(documents(spark, sf_dir)))
 
 
+def op3_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lightframe.llm.media_archive import round_trip
+
+    return round_trip(documents(spark, sf_dir))
+
+
 def op4_shard_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lightframe.llm.shard_sort import shard
 
@@ -64,5 +70,5 @@ def op10_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_shard_sort, op5_minhash_dedup, op7_decontaminate, op8_token_counts, op9_quality_qda, op10_piece_viterbi)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_media_archive, op4_shard_sort, op5_minhash_dedup, op7_decontaminate, op8_token_counts, op9_quality_qda, op10_piece_viterbi)}
 ORACLES: dict[str, str] = {}
