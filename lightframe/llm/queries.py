@@ -39,6 +39,12 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), percent=85)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lightframe.llm.substring_dedup import remove_repeats, report
+
+    return report(remove_repeats(documents(spark, sf_dir), window=35))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lightframe.llm.decontaminate import find_spans, report
 
@@ -70,5 +76,5 @@ def op10_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_media_archive, op4_shard_sort, op5_minhash_dedup, op7_decontaminate, op8_token_counts, op9_quality_qda, op10_piece_viterbi)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_media_archive, op4_shard_sort, op5_minhash_dedup, op6_substring_dedup, op7_decontaminate, op8_token_counts, op9_quality_qda, op10_piece_viterbi)}
 ORACLES: dict[str, str] = {}
