@@ -117,3 +117,13 @@ def score(stats: DataFrame, model: Discriminant | None, *, threshold: float = 0.
     odds = F.lit(0.0) if model is None else F.greatest(F.lit(-700.0), F.least(F.lit(700.0), model.log_odds()))
     out = stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), (1 / (1 + F.exp(-odds))).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep(docs: DataFrame, model: Discriminant | None, *, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose score reaches the threshold; all rows without a model. The
+    row travels with its text's statistics, so nothing is joined or shuffled."""
+    if model is None:
+        return docs
+    rows = docs.select(F.struct(*docs.columns).alias("__row__"), F.col(text_col).alias("__text__"))
+    good = statistics(rows, id_col="__row__", text_col="__text__").where(model.log_odds() >= math.log(threshold / (1 - threshold)))
+    return good.select(*(F.col(f"doc_id.`{c}`").alias(c) for c in docs.columns))

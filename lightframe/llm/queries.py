@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lightframe.llm.shared import documents, stash
 
 
-def _model() -> str:
+def piece_model() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("piece_bpe_32k.model")
@@ -93,7 +93,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lightframe.llm.token_counts import token_counts
 
-    return token_counts(documents(spark, sf_dir), _model(), limit=4096)
+    return token_counts(documents(spark, sf_dir), piece_model(), limit=4096)
 
 
 def op9_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +107,7 @@ def op10_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lightframe.llm.piece_viterbi import decode, encode
 
     docs = documents(spark, sf_dir)
-    made = decode(encode(docs, _model()), _model())
+    made = decode(encode(docs, piece_model()), piece_model())
     ids = F.concat_ws(",", F.transform("ids", lambda i: i.cast("string")))
     return made.select(
         "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.round("score", 3).alias("score"),
