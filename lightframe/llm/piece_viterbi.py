@@ -5,9 +5,8 @@ best score of that position by the best score where the piece begins. Characters
 unknown score and come out as their bytes. As no piece crosses the start of a word, the best path of a text is the best
 paths of its words one after another; a worker remembers those of short words up to a bound.
 
-Scores are those of the file. The file's own library merges pairs greedily by rank instead; this operator finds the
-path of the highest total score over the same pieces, as the library does for unigram models (tests compare the two).
-Scores are summed in double precision; ties go to the longer last piece.
+Scores are those of the file. For this model the file's own library merges pairs greedily by rank; this operator finds
+the path of the highest total score over the same pieces instead, as unigram models do. Scores are summed in double precision; ties go to the longer last piece.
 """
 
 from __future__ import annotations
@@ -22,7 +21,9 @@ from pyspark.sql import functions as F
 
 from lightframe.llm.piece_vocab import BYTE, CONTROL, NORMAL, SPACE, UNKNOWN, pieces, splits_before_space
 
-REMEMBERED, REMEMBERED_CHARS = 300_000, 64
+REMEMBERED, REMEMBERED_CHARS = 100_000, 64
+#: Ids of so many rows are held as Python objects at once.
+ROWS = 128
 #: An unknown character scores so much below the least piece.
 UNKNOWN_GAP = 10.0
 
@@ -39,9 +40,15 @@ class PieceAutomaton:
         self.silent = {i for i, v in enumerate(vocab) if v[2] == CONTROL}
         normal = [(i, p, s) for i, (p, s, kind) in enumerate(vocab) if kind == NORMAL]
         self.unk_score = min(s for _, _, s in normal) - UNKNOWN_GAP
-        self.goto: list[dict[str, int]] = [{}]
+        self.known: dict[str, tuple[list[int], float]] = {}
+        self._normal = normal
+        self.goto: list[dict[str, int]] = []
+
+    def _build(self) -> None:
+        """The automaton: built when a text is first encoded, as decoding needs none."""
+        self.goto = [{}]
         self.piece: list[tuple[int, int, float] | None] = [None]
-        for i, p, s in normal:
+        for i, p, s in self._normal:
             at = 0
             for c in p:
                 if c not in self.goto[at]:
@@ -62,7 +69,6 @@ class PieceAutomaton:
                     g = self.fail[g]
                 self.fail[to] = self.goto[g].get(c, 0)
                 queue.append(to)
-        self.known: dict[str, tuple[list[int], float]] = {}
 
     def _best(self, word: str) -> tuple[list[int], float]:
         goto, fail, piece, output = self.goto, self.fail, self.piece, self.output
@@ -99,6 +105,8 @@ class PieceAutomaton:
         total = 0.0
         if not text:
             return ids, total
+        if not self.goto:
+            self._build()
         for word in _WORDS.findall(SPACE + text.replace(" ", SPACE)):
             found = self.known.get(word)
             if found is None:
@@ -129,15 +137,20 @@ def automaton(path: str) -> PieceAutomaton:
     return PieceAutomaton(path)
 
 
+def _slices(batch: pa.RecordBatch):
+    return (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS))
+
+
 def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array of int) and score of every row. Null and empty texts have no ids and score 0. Ids of rows,
     null or repeated, are passed through; other columns are not read."""
 
     def run(batches):
         one = automaton(model_path).encode
-        for b in batches:
-            made = [one(t or "") for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.float64())], ["doc_id", "ids", "score"])
+        for batch in batches:
+            for b in _slices(batch):
+                made = [one(t or "") for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.float64())], ["doc_id", "ids", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, score double")
@@ -148,8 +161,9 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches):
         one = automaton(model_path).decode
-        for b in batches:
-            yield b.append_column("decoded", pa.array([None if ids is None else one(ids) for ids in b.column(1).to_pylist()], pa.string()))
+        for batch in batches:
+            for b in _slices(batch):
+                yield b.append_column("decoded", pa.array([None if ids is None else one(ids) for ids in b.column(1).to_pylist()], pa.string()))
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids", "score").mapInArrow(run, f"doc_id {kind}, ids array<int>, score double, decoded string")
