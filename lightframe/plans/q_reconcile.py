@@ -15,7 +15,6 @@ from lightframe.sources.adapters import ASSETS_SQL as A
 from lightframe.sources.adapters import assets, table
 
 V = "NOT hidden AND NOT missing AND NOT trashed"
-LARGE = F.col("doc_id")
 
 
 def _snapshots(spark, d):

@@ -119,7 +119,7 @@ def cluster_batch(batch: DataFrame, clusters: DataFrame, loose: DataFrame, *, jo
     of a batch meets the snapshot; vectors under `least_quality` never join. Centroids (id, centroid, n) are a small table."""
     spark = batch.sparkSession
     centres = clusters.toPandas()  # a dimension: one row a cluster
-    ids, mat = centres["id"].tolist(), np.array(centres["centroid"].tolist(), float).reshape(len(centres), -1)
+    ids, mat = centres["id"].tolist(), np.array(centres["centroid"].tolist(), float)
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -152,7 +152,7 @@ def cluster_batch(batch: DataFrame, clusters: DataFrame, loose: DataFrame, *, jo
 
     free = given.where("cluster is null").select("id", "emb", "quality").unionByName(loose.select("id", "emb", "quality")).orderBy(F.col("id").desc()).limit(LOOSE_POOL)
     pool = free.where(F.col("quality") >= least_quality).toPandas()  # bounded by LOOSE_POOL
-    made, used, e = [], set(), np.array(pool["emb"].tolist(), float).reshape(len(pool), -1)
+    made, used, e = [], set(), np.array(pool["emb"].tolist(), float)
     mate, score = np.full(len(pool), -1), np.full(len(pool), -1.0)
     for i in range(0, len(pool), 1024):
         s = e[i : i + 1024] @ e.T
