@@ -44,7 +44,7 @@ CLASSES = (
 ALLOWED = (
     r"[A-Za-z_=/-]+",  # words, paths and identifiers without digits
     r"[0-9_=/+-]+",  # numbers, dates and rules
-    r"(?i).*(?:example|placeholder|changeme|your[_-]?key|xxxx).*",
+    r".*(?i:example|placeholder|changeme|your[_-]?key|xxxx).*",
 )
 
 
@@ -107,9 +107,8 @@ def _entropy_spans(text: Column, c: CharacterClass, order: int, allowed: tuple[s
     def within(m: Column) -> Column:
         return F.transform(_entropy_runs(m["s"], c), lambda r: F.struct((m["start"] + r["start"]).alias("start"), F.lit(order).alias("order"), F.lit(c.kind).alias("kind"), (m["start"] + r["end"]).alias("end")))
 
-    candidates = _positions(text, c.pattern)
-    for pattern in allowed:
-        candidates = F.filter(candidates, lambda m, p=pattern: ~m["s"].rlike(f"^(?:{p})$"))
+    whole = "|".join(f"(?:{p})" for p in allowed)
+    candidates = F.filter(_positions(text, c.pattern), lambda m: ~m["s"].rlike(f"^(?:{whole})$")) if allowed else _positions(text, c.pattern)
     return F.flatten(F.transform(candidates, within))
 
 
