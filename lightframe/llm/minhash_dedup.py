@@ -13,8 +13,9 @@ Links are wanted only for their components, so no group is expanded into all of
 2. in each bucket of the index every node is compared with one centre; linked nodes share a label;
 3. buckets that still hold several labels are searched again. A node's *shared* count is the number of its shingles
    that another of these nodes has too; an intersection can't be larger, which rules out most pairs by two integers.
-   First every node is compared with the bucket's node of the most widely shared shingles, labels are merged, and then
-   all pairs of different labels that the two counts allow are compared. This is exact: no pair is skipped by a cap.
+   First every node is compared with the bucket's hub, the node of the most widely shared shingles, and labels are
+   merged. Two nodes of different labels can then be linked only if both have enough in common with their hub, or if they
+   share a shingle that the hub hasn't; pairs of either kind are compared. This is exact: no pair is skipped by a cap.
 """
 
 from __future__ import annotations
@@ -205,20 +206,40 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         shared = each.join(often, "shingle").groupBy("node").agg(F.count("*").alias("shared"), F.sum("df").alias("weight"))
         counts = sets.select("node", F.size("shingles").alias("n")).join(shared, "node").where(100 * F.col("shared") >= percent * F.col("n"))
         alive = stash(rest.join(counts, "node"), "alive")
-        hubs = alive.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("hub")).select("key", F.col("hub.node").alias("v"))
-        spokes = alive.select("key", F.col("node").alias("u")).join(hubs, "key").where("u != v").select("u", "v").distinct()
-        links = links.unionByName(linked(near(spokes), sets))
+        hubs = stash(alive.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub")), "hubs")
+        spokes = alive.join(hubs, "key").where("node != hub").select("node", "hub").distinct()
+        hub_sets = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("hub_set"))
+        spokes = spokes.join(sets, "node").join(hub_sets, "hub").select(
+            "node", "hub", F.size("shingles").alias("n_u"), F.size("hub_set").alias("n_v"), F.size(F.array_intersect("shingles", "hub_set")).alias("common")
+        )
+        spokes = stash(spokes, "spokes")
+        near_hub = (100 + percent) * F.col("common") >= percent * (F.col("n_u") + F.col("n_v"))
+        links = links.unionByName(spokes.where(near_hub).select(F.col("node").alias("u"), F.col("hub").alias("v")))
         labels = components(links)
-        a = alive.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        a = alive.drop("label", "weight").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = a.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-        a = stash(a.join(mixed, "key").select("key", "node", "label", "n", "shared"), "open")
-        x = a.select("key", *(F.col(c).alias(f"{c}_u") for c in ("node", "label", "n", "shared")))
-        y = a.select("key", *(F.col(c).alias(f"{c}_v") for c in ("node", "label", "n", "shared")))
-        # 100 i >= p (n_u + n_v - i)  <=>  (100 + p) i >= p (n_u + n_v), and i is at most either shared count
-        fits = (100 + percent) * F.least("shared_u", "shared_v") >= percent * (F.col("n_u") + F.col("n_v"))
-        pairs = x.join(y, (x.key == y.key) & (x.node_u < y.node_v) & (x.label_u != y.label_v) & fits)
-        pairs = pairs.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct()
-        labels = components(links.unionByName(linked(near(pairs), sets)))
+        a = a.join(mixed, "key").join(hubs, "key").join(spokes.select("node", "hub", "common"), ["node", "hub"], "left")
+        a = stash(a.select("key", "hub", "node", "label", "n", "shared", F.coalesce("common", "n").alias("common")), "open")
+        # 100 i >= p (n_u + n_v - i)  <=>  (100 + p) i >= p (n_u + n_v), and i is at most either shared count; and i is at
+        # most the lesser of what the two have in common with a hub, plus what they share that the hub hasn't
+        enough = lambda c: (100 + percent) * F.least(f"{c}_u", f"{c}_v") >= percent * (F.col("n_u") + F.col("n_v"))
+        side = lambda df, x, *on: df.select(*on, *(F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "shared", "common")))
+        apart = (F.col("node_u") < F.col("node_v")) & (F.col("label_u") != F.col("label_v")) & enough("shared")
+        as_pair = (F.col("node_u").alias("u"), F.col("node_v").alias("v"))
+
+        def joined(df: DataFrame, on: list[str], condition) -> DataFrame:
+            x, y = side(df, "u", *on), side(df.select(*(F.col(c).alias(c) for c in df.columns)), "v", *on)
+            match = condition
+            for c in on:
+                match = (x[c] == y[c]) & match
+            return x.join(y, match).select(*as_pair)
+
+        by_hub = joined(a, ["key"], apart & enough("common"))
+        each = a.drop("key").distinct().join(sets, "node").join(hub_sets, "hub")
+        each = each.select("hub", "node", "label", "n", "shared", "common", F.explode(F.array_except("shingles", "hub_set")).alias("shingle"))
+        each = stash(each.join(often.select("shingle"), "shingle"), "beside")
+        by_rest = joined(each, ["hub", "shingle"], apart & ~enough("common"))
+        labels = components(links.unionByName(linked(near(by_hub.union(by_rest).distinct()), sets)))
 
     groups = nodes.select("skey", "node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = groups.groupBy("label").agg(F.min("id").alias("component_id"))
