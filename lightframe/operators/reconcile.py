@@ -88,3 +88,8 @@ def purge_set(df: DataFrame, failed: DataFrame) -> DataFrame:
     """Paths that go with trashed rows: their own and their companions'; paths that failed to be deleted stay."""
     paths = df.where("trashed").select("asset_id", F.explode(F.array_compact(F.array("path", "companion_path"))).alias("path"))
     return paths.join(failed.select("path").distinct(), "path", "left_anti").select("asset_id", "path")
+
+
+def orphan_companions(deleted: DataFrame, df: DataFrame, *, path: str = "path", companion: str = "companion_path") -> DataFrame:
+    """Companion paths of deleted rows that no row of the catalogue has as its own."""
+    return deleted.where(F.col(companion).isNotNull()).select(F.col(companion).alias(path)).distinct().join(df.select(path), path, "left_anti")
