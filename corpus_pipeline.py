@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lightframe.llm.decontaminate import decontaminated
 from lightframe.llm.minhash_dedup import near_duplicates
-from lightframe.llm.piece_viterbi import decode, encode
+from lightframe.llm.piece_viterbi import transcoded
 from lightframe.llm.quality_qda import fit, keep, statistics
 from lightframe.llm.queries import piece_model
 from lightframe.llm.secret_scan import redacted, scan
@@ -59,10 +59,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_pieces and the sum of the text that they decode to."""
-    model = piece_model()
-    made = decode(encode(docs, model), model)
-    return made.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    """doc_id, n_pieces, score, sums of the ids and of the text that they decode to, and the ids."""
+    return transcoded(docs, piece_model(), keep_ids=True)
 
 
 STAGES = [

@@ -11,17 +11,22 @@ the path of the highest total score over the same pieces instead, as unigram mod
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 from collections import deque
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lightframe.llm.piece_vocab import BYTE, CONTROL, NORMAL, SPACE, UNKNOWN, pieces, splits_before_space
 
-REMEMBERED, REMEMBERED_CHARS = 100_000, 64
+REMEMBERED, REMEMBERED_CHARS = 400_000, 40
+#: At most so many moves over failure links are remembered.
+MOVES = 400_000
 #: Ids of so many rows are held as Python objects at once.
 ROWS = 128
 #: An unknown character scores so much below the least piece.
@@ -40,8 +45,16 @@ class PieceAutomaton:
         self.silent = {i for i, v in enumerate(vocab) if v[2] == CONTROL}
         normal = [(i, p, s) for i, (p, s, kind) in enumerate(vocab) if kind == NORMAL]
         self.unk_score = min(s for _, _, s in normal) - UNKNOWN_GAP
-        self.known: dict[str, tuple[list[int], float]] = {}
+        self.known = _Known(self._encoded)
         self._normal = normal
+        #: scores by id; of an unknown character's bytes the first has its score
+        self.scores = np.zeros(len(vocab))
+        for i, _, s in normal:
+            self.scores[i] = s
+        for b, i in self.byte_ids.items():
+            self.scores[i] = 0.0 if 0x80 <= b < 0xC0 else self.unk_score
+        self.scores[self.unk] = self.unk_score
+        self.bytes_of = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.silent else self.text_of.get(i, " ⁇ ").replace(SPACE, " ").encode() for i in range(len(vocab))]
         self.goto: list[dict[str, int]] = []
 
     def _build(self) -> None:
@@ -57,76 +70,90 @@ class PieceAutomaton:
                     self.piece.append(None)
                 at = self.goto[at][c]
             self.piece[at] = (len(p), i, s)
-        self.fail, self.output = [0] * len(self.goto), [0] * len(self.goto)
+        self.fail = [0] * len(self.goto)
+        #: the pieces that end at a state, over its output links: (characters, id, score), longest first
+        self.ends: list[tuple] = [()] * len(self.goto)
         queue = deque(self.goto[0].values())
         while queue:
             at = queue.popleft()
             f = self.fail[at]
-            self.output[at] = f if self.piece[f] else self.output[f]
+            self.ends[at] = (self.piece[at], *self.ends[f]) if self.piece[at] else self.ends[f]
             for c, to in self.goto[at].items():
                 g = f
                 while g and c not in self.goto[g]:
                     g = self.fail[g]
                 self.fail[to] = self.goto[g].get(c, 0)
                 queue.append(to)
-
-    def _best(self, word: str) -> tuple[list[int], float]:
-        goto, fail, piece, output = self.goto, self.fail, self.piece, self.output
-        best, back, at = [0.0], [(0, 0)], 0
+        self.moves = 0
+
+    def _fall(self, at: int, c: str) -> int:
+        """The state after c where the trie has no such edge: the longest suffix that has one."""
+        g = self.fail[at]
+        while g and c not in self.goto[g]:
+            g = self.fail[g]
+        to = self.goto[g].get(c, 0)
+        if self.moves < MOVES:
+            self.moves += 1
+            self.goto[at][c] = to
+        return to
+
+    def _best(self, word: str) -> list[int]:
+        """Ids of the best path: one pass over the characters, each relaxing all pieces that end there."""
+        goto, ends, unknown = self.goto, self.ends, self.unk_score
+        best, sizes, pieces_, at = [0.0], [0], [0], 0
         for end, c in enumerate(word, 1):
-            while at and c not in goto[at]:
-                at = fail[at]
-            at = goto[at].get(c, 0)
-            top, step, one = None, None, False
-            out = at if piece[at] else output[at]
-            while out:
-                size, i, s = piece[out]
-                one = one or size == 1
-                if top is None or best[end - size] + s > top:
-                    top, step = best[end - size] + s, (size, i)
-                out = output[out]
-            if not one and (top is None or best[end - 1] + self.unk_score > top):
-                top, step = best[end - 1] + self.unk_score, (1, self.unk)
+            to = goto[at].get(c)
+            at = self._fall(at, c) if to is None else to
+            top, size, piece = -math.inf, 0, 0
+            for n, i, s in ends[at]:
+                v = best[end - n] + s
+                if v > top:
+                    top, size, piece = v, n, i
+            if (not ends[at] or ends[at][-1][0] != 1) and best[-1] + unknown > top:
+                top, size, piece = best[-1] + unknown, 1, self.unk
             best.append(top)
-            back.append(step)
+            sizes.append(size)
+            pieces_.append(piece)
         ids, end = [], len(word)
         while end:
-            size, i = back[end]
-            if i == self.unk and self.byte_ids:
+            if pieces_[end] == self.unk and self.byte_ids:
                 ids.extend(self.byte_ids[b] for b in reversed(word[end - 1].encode()))
             else:
-                ids.append(i)
-            end -= size
-        return ids[::-1], best[-1]
-
-    def encode(self, text: str) -> tuple[list[int], float]:
-        """Ids and total score; nothing and 0 for an empty text."""
-        ids: list[int] = []
-        total = 0.0
-        if not text:
-            return ids, total
+                ids.append(pieces_[end])
+            end -= sizes[end]
+        return ids[::-1]
+
+    def _encoded(self, word: str) -> bytes:
         if not self.goto:
             self._build()
-        for word in _WORDS.findall(SPACE + text.replace(" ", SPACE)):
-            found = self.known.get(word)
-            if found is None:
-                found = self._best(word)
-                if len(word) <= REMEMBERED_CHARS and len(self.known) < REMEMBERED:
-                    self.known[word] = found
-            ids.extend(found[0])
-            total += found[1]
-        return ids, total
-
-    def decode(self, ids: list[int]) -> str:
+        return np.array(self._best(word), np.int32).tobytes()
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids (int32); none for an empty text."""
+        words = _WORDS.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32)
+
+    def score(self, ids: np.ndarray) -> float:
+        return float(self.scores[ids].sum())
+
+    def decode(self, ids: np.ndarray) -> str:
         """The text of the ids: space marks become spaces, the added first one goes, runs of bytes are UTF-8."""
-        out = bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                out.append(self.byte_of[i])
-            elif i not in self.silent:
-                out += self.text_of.get(i, " ⁇ ").encode()
-        text = out.decode(errors="replace").replace(SPACE, " ")
-        return text[1:] if text.startswith(" ") else text
+        raw = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+        return raw[raw.startswith(b" ") :].decode(errors="replace")
+
+
+class _Known(dict):
+    """Ids of words as bytes, made when first asked for; short words are remembered up to a bound."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        made = self.make(word)
+        if len(word) <= REMEMBERED_CHARS and len(self) < REMEMBERED:
+            self[word] = made
+        return made
 
 
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*")
@@ -141,29 +168,55 @@ def _slices(batch: pa.RecordBatch):
     return (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS))
 
 
+def _lists(made: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate(([0], np.cumsum([len(m) for m in made]))) if made else np.zeros(1)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(made) if made else [], pa.int32()))
+
+
 def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array of int) and score of every row. Null and empty texts have no ids and score 0. Ids of rows,
     null or repeated, are passed through; other columns are not read."""
 
     def run(batches):
-        one = automaton(model_path).encode
+        a = automaton(model_path)
         for batch in batches:
             for b in _slices(batch):
-                made = [one(t or "") for t in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.float64())], ["doc_id", "ids", "score"])
+                made = [a.encode(t or "") for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), _lists(made), pa.array([a.score(m) for m in made], pa.float64())], ["doc_id", "ids", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, score double")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
-    """Adds `decoded` to doc_id, ids, score; null ids decode to null."""
+    """Adds `decoded` to doc_id, ids, score; null ids decode to null, and null entries of an array are left out."""
 
     def run(batches):
         one = automaton(model_path).decode
         for batch in batches:
             for b in _slices(batch):
-                yield b.append_column("decoded", pa.array([None if ids is None else one(ids) for ids in b.column(1).to_pylist()], pa.string()))
+                yield b.append_column("decoded", pa.array([None if ids is None else one(np.array([i for i in ids if i is not None], np.int64)) for ids in b.column(1).to_pylist()], pa.string()))
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids", "score").mapInArrow(run, f"doc_id {kind}, ids array<int>, score double, decoded string")
+
+
+def transcoded(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """`encode` and `decode` of every row in one pass: doc_id, n_pieces, score, pieces_sha256 (of the ids as little-endian
+    32-bit integers), decoded_sha256, and with `keep_ids` ids. Ids by the hundred million needn't leave the worker."""
+
+    def run(batches):
+        a = automaton(model_path)
+        for batch in batches:
+            for b in _slices(batch):
+                made = [a.encode(t or "") for t in b.column(1).to_pylist()]
+                cols = [
+                    b.column(0), pa.array([len(m) for m in made], pa.int64()), pa.array([a.score(m) for m in made], pa.float64()), pa.array([hashlib.sha256(m.astype("<i4").tobytes()).hexdigest() for m in made], pa.string()),
+                    pa.array([hashlib.sha256(a.decode(m).encode()).hexdigest() for m in made], pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays([*cols, *([_lists(made)] if keep_ids else [])], names)
+
+    names = ["doc_id", "n_pieces", "score", "pieces_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])]
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"doc_id {kind}, n_pieces long, score double, pieces_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

@@ -104,15 +104,9 @@ def op9_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lightframe.llm.piece_viterbi import decode, encode
-
-    docs = documents(spark, sf_dir)
-    made = decode(encode(docs, piece_model()), piece_model())
-    ids = F.concat_ws(",", F.transform("ids", lambda i: i.cast("string")))
-    return made.select(
-        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.round("score", 3).alias("score"),
-        F.sha2(ids.cast("binary"), 256).alias("pieces_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    from lightframe.llm.piece_viterbi import transcoded
+
+    return transcoded(documents(spark, sf_dir), piece_model())
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_warc_revisit, op3_media_archive, op4_shard_sort, op5_minhash_dedup, op6_substring_dedup, op7_decontaminate, op8_token_counts, op9_quality_qda, op10_piece_viterbi)}
