@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts lineage in the shared folder that the session names; a new local one only where none is set, in local mode."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -25,7 +25,7 @@ def components(edges: DataFrame, *, a: str = "a", b: str = "b") -> DataFrame:
     Large-star and small-star in turn (Kiveris et al., 2014) until nothing moves; each round is checkpointed, and the
     driver sees one number a round. Self-loops and nulls are ignored."""
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u != v")
-    e = _checkpointed(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = checkpointed(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while True:
         # large star: neighbours above a node go to its smallest neighbour
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -34,7 +34,7 @@ def components(edges: DataFrame, *, a: str = "a", b: str = "b") -> DataFrame:
         # small star: a node and its neighbours below it go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        new = _checkpointed(small)
+        new = checkpointed(small)
         moved = new.join(e, ["u", "v"], "left_anti").limit(1).count() + e.join(new, ["u", "v"], "left_anti").limit(1).count()
         e = new
         if not moved:

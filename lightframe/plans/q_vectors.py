@@ -55,14 +55,16 @@ def assign_centroid(spark, d):
     return X.assign(e, centres, least=0.25).select("vec_id", F.col("cluster").cast("long").alias("cluster"), F.round("score", 6).alias("score"))
 
 
-@query(E + """, c AS (SELECT vec_id AS id, vec_id % 3 = 0 AS named, vec_id % 7 AS n, v FROM e WHERE vec_id < 100), p AS (SELECT a.id AS a, b.id AS b, a.named AS na, b.named AS nb, a.n AS an, b.n AS bn, list_dot_product(a.v, b.v) AS s FROM c a JOIN c b ON a.id < b.id WHERE NOT (a.named AND b.named)),
-  o AS (SELECT *, (nb AND NOT na) OR (na = nb AND bn > an) AS sw FROM p WHERE s >= 0.2 AND NOT (a % 2 = 0 AND b = a + 1))
+@query(E + """, s AS (SELECT label, i, sum(v[i]) AS s, count(*) AS n FROM e, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL), l AS (SELECT label, sqrt(sum(s * s)) AS len FROM s GROUP BY 1),
+  c AS (SELECT label::BIGINT AS id, label % 3 = 0 AS named, max(n) AS n, list(s / len ORDER BY i) AS v FROM s JOIN l USING (label) GROUP BY label),
+  p AS (SELECT a.id AS a, b.id AS b, a.named AS na, b.named AS nb, a.n AS an, b.n AS bn, list_dot_product(a.v, b.v) AS s FROM c a JOIN c b ON a.id < b.id WHERE NOT (a.named AND b.named)),
+  o AS (SELECT *, (nb AND NOT na) OR (na = nb AND bn > an) AS sw FROM p WHERE s >= -1 AND NOT (a % 2 = 0 AND b = a + 1))
   SELECT CASE WHEN sw THEN b ELSE a END AS "into", CASE WHEN sw THEN a ELSE b END AS other, round(s, 3) AS score FROM o ORDER BY round(s, 3) DESC, 1, 2 LIMIT 40""")
 def merge_suggestions(spark, d):
-    """Pairs of the first hundred clusters that may be one; the feature reports forty."""
-    c = _vectors(spark, d).where("vec_id < 100").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 3 == 0).alias("named"), (F.col("vec_id") % 7).alias("n"), F.col("embedding").alias("centroid"))
+    """Pairs of label centroids, over all vectors, that may be one; the feature reports forty."""
+    c = X.centroids(_vectors(spark, d), "label").select(F.col("label").cast("long").alias("id"), (F.col("label") % 3 == 0).alias("named"), "n", "centroid")
     refused = c.where("id % 2 = 0").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    return X.merge_suggestions(c, refused, least=0.2)
+    return X.merge_suggestions(c, refused, least=-1.0)
 
 
 _PROMPTS = E + """, p AS (SELECT label AS category, vec_id % 2 = 0 AS is_bad, v AS w FROM e QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1)

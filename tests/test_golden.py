@@ -114,7 +114,6 @@ def test_brackets(spark):
 
 def test_unique_names_cascade(spark):
     rows = [(1, "d", "a", "jpg"), (2, "d", "A", "jpg"), (3, "d", "a (2)", "jpg"), (4, "e", "a", "jpg")]
-    spark.sparkContext.setCheckpointDir(str(__import__("tempfile").mkdtemp(prefix="spark-")))
     got = S.unique_names(spark.createDataFrame(rows, "id long, dir string, base string, ext string")).collect()
     names = [(r["dir"], r["name"].lower()) for r in got]
     assert len(set(names)) == 4
