@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lightframe.llm.oracles import OP5_SQL, OP6_SQL, OP7_SQL
 from lightframe.llm.shared import documents, stash
 
 
@@ -110,4 +111,4 @@ def op10_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_warc_revisit, op3_media_archive, op4_shard_sort, op5_minhash_dedup, op6_substring_dedup, op7_decontaminate, op8_token_counts, op9_quality_qda, op10_piece_viterbi)}
-ORACLES: dict[str, str] = {"op2_warc_revisit": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_warc_revisit": OP2_SQL, "op5_minhash_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_decontaminate": OP7_SQL}
