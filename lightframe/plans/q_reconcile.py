@@ -47,7 +47,6 @@ def vanished_folders(spark, d):
     return R.vanished_under(a, gone)
 
 
-_PAIR = """WITH f AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS id, l_orderkey, l_suppkey % 3 AS k, l_partkey, l_returnflag FROM lineitem)\n"""
 
 
 @query("""SELECT o_orderkey, o_orderpriority = '1-URGENT' AND exists(SELECT 1 FROM orders x WHERE x.o_custkey = o.o_custkey AND x.o_orderpriority = '5-LOW') AS companion_hidden,

@@ -212,3 +212,42 @@ def test_listing(spark):
     assert {r["path"] for r in listed(df).collect()} == {"a/b.jpg", "a/B.MOV"}
     assert one(spark, is_shortcut(F.lit(b"book\0\0\0\0mark\0\0\0\0"), F.lit(100))) is True
     assert one(spark, is_shortcut(F.lit(b"\xff\xd8\xff"), F.lit(100))) is False
+
+
+def test_export_and_cities(spark, tmp_path):
+    from lightframe.sources.export import cities, export, listing, with_layout
+
+    df = spark.createDataFrame([(1, dt.datetime(2023, 12, 31, 23, 30)), (2, dt.datetime(2024, 1, 1, 9))], "asset_id long, taken_at timestamp")
+    export(with_layout(df, offset=F.lit(60)), str(tmp_path / "out"), folders="month")
+    back = spark.read.option("inferSchema", False).parquet(str(tmp_path / "out"))
+    assert {(r["asset_id"], str(r["year"]), r["year_month"]) for r in back.collect()} == {(1, "2024", "2024-01"), (2, "2024", "2024-01")}
+    assert listing(spark, str(tmp_path / "out")).count() >= 1
+    (tmp_path / "geo.json").write_text('{"countries": {"FR": "France"}, "cities": [["Biarritz", 43.48, -1.56, "FR", "Nouvelle-Aquitaine", 25000], ["Nowhere", 0.5, 0.5, "XX", null, null]]}')
+    got = {r["city"]: r for r in cities(spark, str(tmp_path / "geo.json")).collect()}
+    assert got["Biarritz"]["country"] == "France" and got["Biarritz"]["population"] == 25000 and got["Nowhere"]["country"] is None
+
+
+def test_geocode_cases(spark):
+    from lightframe.operators.geo import geocode
+
+    c = spark.createDataFrame([("Biarritz", 43.48, -1.56, 25000), ("Paris", 48.86, 2.35, 2100000), ("Fiji", -16.8, -179.95, 5000)], "city_id string, lat double, lon double, population long")
+    p = spark.createDataFrame([(1, 43.4832, -1.5586), (2, 48.8566, 2.3522), (3, 0.0, 0.0), (4, None, 1.0), (5, -16.8, 179.95)], "point_id long, lat double, lon double")
+    assert {r["point_id"]: r["city_id"] for r in geocode(p, c).collect()} == {1: "Biarritz", 2: "Paris", 3: None, 4: None, 5: "Fiji"}
+
+
+def test_staged_work_parks_failures(spark):
+    from lightframe.streaming.live import staged
+
+    rows = spark.createDataFrame([(1, 1, 0, None), (2, 0, 0, None), (3, 1, 2, 1), (4, 1, 1, 2)], "asset_id long, meta int, thumb int, thumb_version int")
+    out = {r["asset_id"]: (r["thumb"], r["thumb_version"]) for r in staged(rows, "thumb", lambda df: df.select("asset_id", (F.col("asset_id") != 3).alias("ok")), need="meta", version=2).collect()}
+    assert out == {1: (1, 2), 2: (0, None), 3: (2, 2), 4: (1, 2)}
+
+
+def test_live_duplicates_and_likes(spark, tmp_path):
+    from lightframe.streaming.live import live_likes, live_near
+
+    known = spark.createDataFrame([(1, "0123456789abcdef")], "asset_id long, phash string")
+    new = spark.createDataFrame([(2, "0123456789abcdee"), (3, "fedcba9876543210")], "asset_id long, phash string")
+    assert [(r["asset_id"], r["known_id"]) for r in live_near(new, known).distinct().collect()] == [(2, 1)]
+    likes = spark.createDataFrame([(1, 5, "a"), (1, 5, "a"), (1, None, "Bo"), (2, None, "bo")], "asset_id long, member_id long, author string")
+    assert {(r["asset_id"], r["member"], r["liked"]) for r in live_likes(likes, "asset_id").collect()} == {(1, "5", False), (1, "name:bo", True), (2, "name:bo", True)}
