@@ -25,13 +25,13 @@ class BitRank:
 
 
 class FMIndex:
-    """Index of strings of word hashes, each with a weight (its occurrences in the corpus)."""
+    """Index of strings of word hashes, one after another in `words`, each with a weight (its occurrences)."""
 
-    def __init__(self, strings: list[np.ndarray], weights: list[int]):
-        sizes = np.array([len(s) for s in strings])
-        self.alphabet, code = np.unique(np.concatenate(strings), return_inverse=True)
+    def __init__(self, words: np.ndarray, sizes: np.ndarray, weights: np.ndarray):
+        sizes = sizes.astype(np.int64)
+        self.alphabet, code = np.unique(words, return_inverse=True)
         self.starts = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]
-        n, m = int(sizes.sum()) + len(strings), len(strings)
+        n, m = int(sizes.sum()) + len(sizes), len(sizes)
         text = np.zeros(n, np.int64)
         ends = self.starts + sizes
         inside = np.ones(n, bool)
@@ -46,7 +46,7 @@ class FMIndex:
             nxt = np.zeros(n, np.int64)
             nxt[: n - step] = rank[step:] + 1
             key = rank * (n + m + len(self.alphabet) + 2) + nxt
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             sorted_key = key[order]
             new = np.concatenate(([0], np.cumsum(sorted_key[1:] != sorted_key[:-1])))
             rank = np.empty(n, np.int64)
@@ -54,7 +54,7 @@ class FMIndex:
             if new[-1] == n - 1:
                 break
             step *= 2
-        weight = np.repeat(np.array(weights, np.int64), sizes + 1)
+        weight = np.repeat(weights.astype(np.int64), sizes + 1)
         self.weight = np.concatenate(([0], np.cumsum(weight[order])))
         last = text[order - 1]
         self.n, self.bits = n, max(1, int(len(self.alphabet)).bit_length())

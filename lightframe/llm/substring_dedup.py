@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lightframe.llm.fm_index import FMIndex, repeated_windows
 from lightframe.llm.shared import checked, drop_stash, stash
-from lightframe.llm.words import WordHashes, gram_hashes
+from lightframe.llm.words import WordHashes, gram_hashes, mix
 
 ANCHOR = 6
 #: An anchor with more different segments is dealt out by window.
@@ -32,6 +32,35 @@ HOT_SEGMENTS = 256
 SHARD_WORDS = 400_000
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def run_hashes(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of `size` words from `first`: differences of one running polynomial."""
+    running = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _powers(len(h)), out=running[1:], dtype=np.uint64)
+    inside = running[first + size] - running[first]
+    return mix(inside * _inverse_powers(len(h))[first] + size.astype(np.uint64))
+
+
+_GROWN: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> np.ndarray:
+    return _grown("up", _BASE, n)[:n]
+
+
+def _inverse_powers(n: int) -> np.ndarray:
+    return _grown("down", np.uint64(pow(int(_BASE), -1, 1 << 64)), n)[:n]
+
+
+def _grown(name: str, base: np.uint64, n: int) -> np.ndarray:
+    """Powers of an odd base modulo 2^64, kept and lengthened as longer texts come."""
+    if len(_GROWN.get(name, ())) < n:
+        _GROWN[name] = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(max(4096, 2 * n), base))), dtype=np.uint64)
+    return _GROWN[name]
+
+
 def segments(h: np.ndarray, window: int):
     """Of a text's word hashes: the anchor's hash, first window and number of windows of each segment."""
     grams = gram_hashes(h, ANCHOR)
@@ -47,35 +76,35 @@ def segments(h: np.ndarray, window: int):
 
 
 def _cut(window: int):
+    """Texts -> a row for each different (anchor, segment) of a text, with all its starts."""
+
     def run(batches):
         hashes = WordHashes()
         for b in batches:
-            cols: list[list] = [[] for _ in range(7)]
+            made: list[tuple] = []
             for k1, k2, copies, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 words = (text or b"").split()
                 if len(words) < window:
                     continue
                 h = hashes.of(words)
-                found: dict[tuple[int, int], list[int]] = {}
-                wide: dict[tuple[int, int], int] = {}
-                for anchor, s, w in zip(*(x.tolist() for x in segments(h, window)), strict=True):
-                    key = anchor, xxhash.xxh3_64_intdigest(h[s : s + w + window - 1].tobytes()) - (1 << 63)
-                    found.setdefault(key, []).append(s)
-                    wide[key] = w
-                for (anchor, seg), starts in found.items():
-                    for c, v in zip(cols, (anchor, seg, k1, k2, wide[anchor, seg], len(starts) * copies, starts), strict=True):
-                        c.append(v)
-                if len(cols[0]) > 50_000:
-                    yield _segment_batch(cols)
-                    cols = [[] for _ in range(7)]
-            yield _segment_batch(cols)
+                anchor, first, width = segments(h, window)
+                seg = run_hashes(h, first, width + window - 1).view(np.int64)
+                order = np.lexsort((first, seg, anchor))
+                anchor, seg, first, width = anchor[order], seg[order], first[order], width[order]
+                lead = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (seg[1:] != seg[:-1]))))
+                count = np.diff(np.concatenate((lead, [len(anchor)])))
+                n = len(lead)
+                made.append((anchor[lead], seg[lead], np.full(n, k1), np.full(n, k2), width[lead].astype(np.int32), count * copies, count, first.astype(np.int32)))
+            yield _segment_batch(made)
 
     return run
 
 
-def _segment_batch(cols):
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()))
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["anchor", "seg", "k1", "k2", "width", "occurs", "starts"])
+def _segment_batch(made: list[tuple]) -> pa.RecordBatch:
+    *cols, count, starts = (np.concatenate(c) for c in zip(*made, strict=True)) if made else (np.empty(0, t) for t in (*[np.int64] * 4, np.int32, np.int64, np.int64, np.int32))
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(starts, pa.int32()))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+    return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), lists], ["anchor", "seg", "k1", "k2", "width", "occurs", "starts"])
 
 
 def _words_of_segments(window: int):
@@ -86,19 +115,19 @@ def _words_of_segments(window: int):
         for b in batches:
             cols: list[list] = [[] for _ in range(8)]
             held = 0
-            for text, cuts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            cuts = b.column(1)
+            ends = cuts.offsets.to_numpy()
+            fields = [cuts.values.field(f).to_numpy(zero_copy_only=False) for f in ("anchor", "seg", "start", "width", "occurs", "hot")]
+            for i, text in enumerate(b.column(0).to_pylist()):
                 h = hashes.of(text.split())
-                for c in cuts:
-                    s, w = c["start"], c["width"]
-                    if c["hot"]:
-                        parts = [(h[i : i + window], i - s) for i in range(s, s + w)]
-                    else:
-                        parts = [(h[s : s + w + window - 1], 0)]
+                for anchor, seg, s, w, occurs, hot in zip(*(f[ends[i] : ends[i + 1]].tolist() for f in fields), strict=True):
+                    # an anchor's segments are told apart by their own hash, its windows by theirs
+                    parts = [(h[j : j + window], j - s) for j in range(s, s + w)] if hot else [(h[s : s + w + window - 1], 0)]
                     for words, offset in parts:
                         raw = words.tobytes()
-                        unit = xxhash.xxh3_64_intdigest(raw) - (1 << 63)
+                        unit = xxhash.xxh3_64_intdigest(raw) - (1 << 63) if hot else seg
                         held += len(raw)
-                        for col, v in zip(cols, (c["anchor"], c["seg"], c["hot"], offset, unit, 1 if c["hot"] else w, c["occurs"], raw), strict=True):
+                        for col, v in zip(cols, (anchor, seg, hot, offset, unit, 1 if hot else w, occurs, raw), strict=True):
                             col.append(v)
                 if held > 8 << 20:
                     yield _unit_batch(cols)
@@ -116,23 +145,33 @@ def _unit_batch(cols):
 def _search(window: int):
     """Units sorted by group -> (anchor, unit, mask). Shards of about SHARD_WORDS words are cut between groups."""
 
-    def flush(rows):
-        index = FMIndex([np.frombuffer(r[4], np.uint64) for r in rows], [r[3] for r in rows])
-        masks = repeated_windows(index, np.array([r[2] for r in rows]), window)
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(masks)], ["anchor", "unit", "mask"])
+    def flush(rows: pa.Table) -> pa.RecordBatch:
+        words = rows.column(5).combine_chunks()
+        words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
+        ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+        flat = np.frombuffer(words.buffers()[2], np.uint64, count=(ends[-1] - ends[0]) // 8, offset=ends[0])
+        index = FMIndex(flat, np.diff(ends) // 8, rows.column(4).to_numpy())
+        masks = repeated_windows(index, rows.column(3).to_numpy(), window)
+        return pa.RecordBatch.from_arrays([rows.column(1).combine_chunks(), rows.column(2).combine_chunks(), pa.array(masks)], ["anchor", "unit", "mask"])
 
     def run(batches):
-        rows, size, group = [], 0, None
-        for b in batches:
-            for g, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if g != group and size >= SHARD_WORDS:
-                    yield flush(rows)
-                    rows, size = [], 0
-                group = g
-                rows.append(row)
-                size += len(row[4]) // 8
-        if rows:
-            yield flush(rows)
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for whole in batches:
+            for b in (whole.slice(i, 2048) for i in range(0, whole.num_rows, 2048)):
+                held.append(b)
+                size += b.column(5).nbytes // 8
+                if size >= SHARD_WORDS:
+                    rows = pa.Table.from_batches(held)
+                    group = rows.column(0).to_numpy()
+                    turns = np.flatnonzero(group[1:] != group[:-1])
+                    if len(turns):
+                        cut = int(turns[-1]) + 1
+                        yield flush(rows.slice(0, cut).combine_chunks())
+                        held = rows.slice(cut).combine_chunks().to_batches()
+                        size = sum(x.column(5).nbytes // 8 for x in held)
+        if held and sum(x.num_rows for x in held):
+            yield flush(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
