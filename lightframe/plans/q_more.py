@@ -49,16 +49,43 @@ def initial_rows(spark, d):
     return listing.select("o_orderkey", "path").join(made, "path").select("o_orderkey", "name", "ext", "kind", "day", "date_source", "is_raw", "is_screenshot", "rel_dir")
 
 
-@query("""WITH r AS (SELECT p_partkey, p_brand, p_size, p_partkey % 5 = 0 AS favorite, p_partkey % 7 = 0 AS in_album, (p_partkey % 9 + 1) * 1000 * (p_size * 100) / 1e6::DOUBLE AS mpx, p_partkey % 3 = 0 AS orig, p_retailprice AS size FROM part),
+_PARTS = """WITH r AS (SELECT p_partkey, p_brand, p_size, p_partkey % 5 = 0 AS favorite, p_partkey % 7 = 0 AS in_album, (p_partkey % 9 + 1) * 1000 * (p_size * 100) / 1e6::DOUBLE AS mpx, p_partkey % 3 = 0 AS orig, p_retailprice AS size FROM part),
   s AS (SELECT *, 1000 * favorite::INTEGER + 500 * in_album::INTEGER + 10 * mpx + 5 * orig::INTEGER + 0.5::DOUBLE + size / 1e10::DOUBLE AS score FROM r)
-  SELECT p_brand, count(*) AS n, arg_max(p_partkey, (score, -p_partkey)) AS keep_id FROM s GROUP BY 1""")
-def keeper_visual(spark, d):
+"""
+
+
+def _parts(spark, d):
     k = F.col("p_partkey")
-    rows = table(spark, d, "part").select(
+    return table(spark, d, "part").select(
         "p_partkey", "p_brand", (k % 5 == 0).alias("favorite"), (k % 7 == 0).alias("in_album"), ((k % 9 + 1) * 1000).alias("width"), (F.col("p_size") * 100).alias("height"), F.when(k % 3 == 0, "jpg").otherwise("png").alias("ext"),
         F.lit(0.5).alias("quality"), F.col("p_retailprice").alias("size"),
     )
-    return U.groups(rows, "p_brand", score=U.keep_score("visual"), key="p_partkey").select("p_brand", "n", "keep_id")
+
+
+@query(_PARTS + "SELECT p_brand, count(*) AS n, arg_max(p_partkey, (score, -p_partkey)) AS keep_id FROM s GROUP BY 1")
+def keeper_visual(spark, d):
+    return U.groups(_parts(spark, d), "p_brand", score=U.keep_score("visual"), key="p_partkey").select("p_brand", "n", "keep_id")
+
+
+@query(_PARTS + """, w AS (SELECT *, row_number() OVER o AS r, lead(mpx) OVER o AS m2, lead(orig) OVER o AS o2, lead(size) OVER o AS s2 FROM s WINDOW o AS (PARTITION BY p_brand ORDER BY score DESC, p_partkey)),
+  f AS (SELECT p_brand, p_partkey AS keep_id, list_filter([CASE WHEN favorite THEN 'favourite' END, CASE WHEN mpx > m2 * 1.2 THEN 'best resolution' END, CASE WHEN orig AND NOT o2 THEN 'original format' END, CASE WHEN size > s2 * 1.3 THEN 'most complete' END], lambda x: x IS NOT NULL) AS l FROM w WHERE r = 1)
+  SELECT p_brand, keep_id, CASE WHEN len(l) > 0 THEN array_to_string(l, ',') ELSE 'equal quality' END AS reasons FROM f""")
+def visual_reasons(spark, d):
+    return U.visual_reasons(_parts(spark, d), "p_brand", key="p_partkey").select("p_brand", "keep_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("""WITH r AS (SELECT p_partkey, p_brand, p_partkey % 5 = 0 AS favorite, p_partkey % 7 = 0 AS in_album, p_partkey % 4 = 0 AS dirc, p_partkey % 3 = 0 AS namec, CASE WHEN p_partkey % 4 = 0 THEN 'copies' ELSE 'photos' END AS dir FROM part),
+  s AS (SELECT *, 100 * favorite::INTEGER + 50 * in_album::INTEGER - 20 * dirc::INTEGER - 15 * namec::INTEGER - 6 / 1000.0::DOUBLE - (p_partkey * 1000) / 1e15::DOUBLE AS score FROM r),
+  w AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_partkey) AS r FROM s), c AS (SELECT p_brand, bool_or(dirc OR namec) AS c FROM w WHERE r > 1 GROUP BY 1),
+  f AS (SELECT p_brand, p_partkey AS keep_id, list_filter([CASE WHEN favorite THEN 'favourite' END, CASE WHEN in_album THEN 'in an album' END, CASE WHEN c AND NOT dirc THEN 'others look like copies' END], lambda x: x IS NOT NULL) AS l FROM w LEFT JOIN c USING (p_brand) WHERE r = 1)
+  SELECT p_brand, keep_id, CASE WHEN len(l) > 0 THEN array_to_string(l, ',') ELSE 'first imported' END AS reasons FROM f""")
+def exact_reasons(spark, d):
+    k = F.col("p_partkey")
+    rows = table(spark, d, "part").select(
+        "p_partkey", "p_brand", (k % 5 == 0).alias("favorite"), (k % 7 == 0).alias("in_album"), F.when(k % 4 == 0, "copies").otherwise("photos").alias("rel_dir"), F.when(k % 3 == 0, "a copy").otherwise("a").alias("name"),
+        F.lit("mtime").alias("date_source"), F.timestamp_millis(k * 1000).alias("added_at"),
+    )
+    return U.exact_reasons(rows, "p_brand", key="p_partkey").select("p_brand", "keep_id", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("""SELECT doc_id, regexp_matches(source, '(1|2)$') AS dir_copy, doc_id % 4 = 0 AS name_copy FROM documents""")
