@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from lightframe.llm.shared import stash
 
 #: Words of benchmark items in one broadcast automaton.
 BLOCK_WORDS = 300_000
+#: The same words in a text whose letters keep their case.
+_WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -211,9 +214,7 @@ def report(found: DataFrame) -> DataFrame:
 
 def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the characters from the first to the last word of each span."""
-    import re
-
-    at = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)]
+    at = [m.span() for m in _WORD.finditer(text)]
     out, last = [], 0
     for a, e in spans:
         out.append(text[last : at[a][0]])

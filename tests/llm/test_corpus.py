@@ -215,6 +215,15 @@ def test_pipeline(spark, sf_dir):
         if name == "minhash near-dedup":
             want = {i for i, n, c in brute_components([(r["doc_id"], r["text"]) for r in before.collect()], 80) if c == i}
             assert {r["doc_id"] for r in docs.collect()} == want
+        if name == "benchmark decontamination":
+            from .test_texts import brute_hits
+
+            items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+            hits = {i: (n, h) for i, n, h, _ in brute_hits([(r["doc_id"], r["text"]) for r in before.collect()], items, 10)}
+            left = {r["doc_id"]: r["text"] for r in docs.collect()}
+            assert set(left) == {i for i, (n, h) in hits.items() if h <= n / 2} and any(h for _, h in hits.values())
+            assert not any(h for _, _, h, _ in brute_hits(left.items(), items, 10))
+            assert all(r["text"] == left[r["doc_id"]] for r in before.collect() if not hits[r["doc_id"]][1])
         if name == "secret scans":
             import re
 

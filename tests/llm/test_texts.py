@@ -210,6 +210,10 @@ def test_decontamination(spark, sf_dir, docs, rows, edges, nothing, monkeypatch)
     assert D.report(D.find_spans(edges, odd_df.limit(0))).where("contaminated").count() == 0
     kept = {r["doc_id"]: r["text"] for r in D.decontaminated(texts_df, odd_df.where("item_id = 2")).collect()}
     assert 0 not in kept and kept[2] == "q b c x y" and kept[4] is None
+    mixed = spark.createDataFrame([(1, "Étude One TWO, b C d E-f G h I j K l! Three FOUR five Six 7 eight nine ten")], "doc_id long, text string")
+    assert D.decontaminated(mixed, odd_df.where("item_id = 2"), max_coverage=0.6).first()["text"] == "Étude One TWO, ! Three FOUR five Six 7 eight nine ten"
+    for _, t in [*rows, *EDGES]:
+        assert len(D._WORD.findall(t or "")) == len(D.words_of((t or "").encode()))
 
 
 def test_automaton_on_random_words():
