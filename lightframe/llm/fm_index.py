@@ -96,6 +96,7 @@ def repeated_windows(index: FMIndex, widths: np.ndarray, window: int) -> np.ndar
     unit = np.arange(m)
     b = widths.astype(np.int64) - 1
     mode = np.zeros(m, np.int64)
+    tried = np.zeros(m, bool)  # short probes after a full one that failed at once: only the first time
     reach = np.array([window, *(min(p, window) for p in _PROBES[1:])])
     end = b + window
     j = end.copy()
@@ -117,13 +118,13 @@ def repeated_windows(index: FMIndex, widths: np.ndarray, window: int) -> np.ndar
         killed = turn & ~full & ~again
         kept = turn & ~full & again
         nb = np.where(marked, j - 1, np.where(lost, b - 1, np.where(killed, end - window - 1, b)))
-        nmode = np.where(marked, 1, np.where(lost | killed, 0, np.where(kept, (mode + 1) % 3, mode)))
-        b, mode = nb, nmode
+        nmode = np.where(marked | (lost & ~tried), 1, np.where(lost | killed, 0, np.where(kept, (mode + 1) % 3, mode)))
+        b, mode, tried = nb, nmode, tried | lost
         fresh = b + reach[mode]
         end = np.where(turn, fresh, end)
         j = np.where(turn, end, j)
         lo, hi = np.where(turn, 0, lo), np.where(turn, index.n, hi)
         live = b >= 0
         if not live.all():
-            unit, b, mode, end, j, lo, hi = (x[live] for x in (unit, b, mode, end, j, lo, hi))
+            unit, b, mode, tried, end, j, lo, hi = (x[live] for x in (unit, b, mode, tried, end, j, lo, hi))
     return out
