@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from lightframe.llm.piece_vocab import BYTE, CONTROL, NORMAL, SPACE, UNKNOWN, pieces, splits_before_space
 
-REMEMBERED, REMEMBERED_CHARS = 400_000, 40
+REMEMBERED, REMEMBERED_CHARS = 150_000, 40
 #: At most so many moves over failure links are remembered.
-MOVES = 400_000
+MOVES = 100_000
 #: Ids of so many rows are held as Python objects at once.
 ROWS = 128
 #: An unknown character scores so much below the least piece.
