@@ -156,11 +156,12 @@ def _blocks(items: DataFrame):
         yield [(r["item_id"], words_of(r["text"])) for r in part.collect()]
 
 
-def find_spans(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 10) -> DataFrame:
+def find_spans(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 10, finish=None) -> DataFrame:
     """doc_id, text, n_words, spans (array of start, end in words: merged, sorted), item_ids (sorted) for every row.
 
     Null texts have no words. Items without words have no windows. Repeated items count once each by their id; items
-    with a null id hit words but are not listed. Rows' ids are passed through."""
+    with a null id hit words but are not listed. Rows' ids are passed through. `finish`, a function of a batch of this
+    result and its schema, runs in the last block's workers, so that no second set of workers is held."""
     sc = docs.sparkSession.sparkContext
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, text string, n_words long, spans array<struct<start:int,end:int>>, item_ids array<string>"
@@ -168,10 +169,13 @@ def find_spans(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
         F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
         F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("item_ids"),
     )
-    for k, block in enumerate(_blocks(items)):
-        shared = sc.broadcast(block)
+    blocks = _blocks(items)
+    block, k = next(blocks), 0
+    while block is not None:
+        after = next(blocks, None)
+        shared, last = sc.broadcast(block), finish[0] if finish and after is None else None
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, last=last):
             ids = [i for i, _ in shared.value]
             automaton = WindowAutomaton([w for _, w in shared.value], window)
             for b in batches:
@@ -182,14 +186,16 @@ def find_spans(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
                     n.append(len(words))
                     spans.append([{"start": a, "end": e} for a, e in _union([(s["start"], s["end"]) for s in was or ()], got)])
                     hit.append(sorted({ids[i] for i in found if ids[i] is not None} | set(had or ())))
-                yield pa.RecordBatch.from_arrays(
+                made = pa.RecordBatch.from_arrays(
                     [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(hit, pa.list_(pa.string()))],
                     ["doc_id", "text", "n_words", "spans", "item_ids"],
                 )
+                yield made if last is None else last(made)
 
-        out = out.mapInArrow(run, schema)
-        if k % 8 == 7:
+        out = out.mapInArrow(run, schema if last is None else finish[1])
+        if after is not None and k % 8 == 7:
             out = stash(out, "spans")
+        block, k = after, k + 1
     return out
 
 
@@ -227,20 +233,18 @@ def decontaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
     they are, with all their columns."""
     name = "__row__"
     packed = docs.select(F.struct(*docs.columns).alias(name), F.col(text_col).alias("text"))
+
+    def cut(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts, keep = [], []
+        for text, n, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            got = [(s["start"], s["end"]) for s in spans]
+            keep.append(sum(e - a for a, e in got) <= max_coverage * n)
+            texts.append(remove_spans(text, got) if got else text)
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], [name, "text"]).filter(pa.array(keep, pa.bool_()))
+
     # the whole row travels as the id, so that rows need no join
-    found = find_spans(packed, items, id_col=name, text_col="text", window=window)
-
-    def run(batches):
-        for b in batches:
-            texts, keep = [], []
-            for text, n, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                got = [(s["start"], s["end"]) for s in spans]
-                keep.append(sum(e - a for a, e in got) <= max_coverage * n)
-                texts.append(remove_spans(text, got) if got else text)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], [name, "text"]).filter(pa.array(keep, pa.bool_()))
-
-    row = found.schema["doc_id"].dataType.simpleString()
-    left = found.select(F.col("doc_id").alias(name), "text", "n_words", "spans").mapInArrow(run, f"{name} {row}, text string")
+    row = packed.schema[name].dataType.simpleString()
+    left = find_spans(packed, items, id_col=name, text_col="text", window=window, finish=(cut, f"{name} {row}, text string"))
     return left.select(*((F.col("text") if c == text_col else F.col(f"{name}.`{c}`")).alias(c) for c in docs.columns))
 
 

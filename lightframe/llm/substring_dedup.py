@@ -13,8 +13,6 @@ part once with their number. So no key gathers more than a bounded part.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -245,7 +243,3 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 def report(removed: DataFrame) -> DataFrame:
     return removed.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def sha256_of(words: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(words)).hexdigest()

@@ -18,7 +18,6 @@ CHUNKS = 512
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary", "age", "warning")
 #: Query parameters that don't tell pages apart.
 TRACKING = ("ref", "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "sessionid")
-FIELDS = ("record_id", "captured_at", "etag", "last_modified", "digest", "headers")
 
 
 def canonical_url(url: Column) -> Column:
