@@ -145,6 +145,28 @@ def test_burst_successors(spark):
     assert len(got) == sum(min(39, 49 - i) for i in range(50))
 
 
+def test_near_pairs_of_hot_bands(spark):
+    rng = random.Random(5)
+    made = {f"abcd{rng.getrandbits(48):012x}" for _ in range(450)}  # one band over the feature's 400
+    for h in sorted(made)[:60]:
+        v = int(h, 16)
+        for i in rng.sample(range(64), rng.randrange(1, 5)):
+            v ^= 1 << i
+        made.add(f"{v:016x}")
+    hashes = sorted(made)
+    rows = [(i, h, str(i)) for i, h in enumerate(hashes)] + [(1000 + i, hashes[0], "copy") for i in range(450)] + [(2000, hashes[0], None), (2001, hashes[0], None), (2002, hashes[1], "copy"), (2003, None, "x")]
+    df = spark.createDataFrame(rows, "asset_id long, phash string, qhash string")
+    got = U.near_pairs(df, hot=100).collect()
+    want = set()
+    for k, (i, p, c) in enumerate(rows):
+        for j, q, e in rows[k + 1 :]:
+            if p and q and (c is None or e is None or c != e) and (n := (int(p, 16) ^ int(q, 16)).bit_count()) <= 3:
+                want.add((min(i, j), max(i, j), n))
+    assert sorted(tuple(r) for r in got) == sorted(want) and len(want) > 900
+    assert {tuple(r) for r in U.near_pairs(df).collect()} == want
+    assert U.near_pairs(df, most=400).count() < len(want)
+
+
 def test_diverse(spark):
     rows = [(1, 4 * h + j, BASE + dt.timedelta(hours=h, minutes=j), 0.9 if j == 0 else 0.2, False, 0) for h in range(10) for j in range(4)]
     df = spark.createDataFrame(rows, "g long, asset_id long, taken_at timestamp, quality double, favorite boolean, faces int").withColumns({"emb": F.lit(None).cast("array<double>"), "phash": F.lit(None).cast("string")})
