@@ -24,8 +24,8 @@ def cleanup_report(spark, d) -> DataFrame:
     rows = _burst_rows(spark, d).withColumn("in_album", F.lit(False))
     # the driver's table has one event a type and second, so copies are those of equal type and value
     exact = U.groups(rows.withColumn("copy_of", F.sha2(F.concat_ws("/", "event_type", F.col("size").cast("string")).cast("binary"), 256)), "copy_of", score=U.keep_score("visual")).where("n > 1")
-    burst = rows.join(components(U.burst_pairs(rows)), F.col("asset_id") == F.col("node"))
-    bursts = U.groups(burst, "component", score=U.keep_score("burst")).where("n <= 60")
+    burst = rows.join(components(U.burst_pairs(rows, successors=None)), F.col("asset_id") == F.col("node"))
+    bursts = U.groups(burst, "component", score=U.keep_score("burst"))
     tab = lambda g, name: g.agg(F.lit(name).alias("tab"), F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("items"), F.coalesce(F.sum("reclaimable"), F.lit(0)).alias("bytes"))
     m = measured(spark, d).where(visible() & ~F.col("favorite"))
     each = m.select("size", F.explode(cleanup_classes(F.lit("2024-04-15").cast("timestamp"))).alias("tab"))

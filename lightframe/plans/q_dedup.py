@@ -42,14 +42,14 @@ pairs AS (SELECT a, b, bits::BIGINT AS bits FROM p WHERE r <= 39 AND bits <= 14)
 
 @query(BURST + "SELECT * FROM pairs")
 def burst_pairs(spark, d):
-    """Successive photos of like hash within 20 s."""
-    return D.burst_pairs(_burst_rows(spark, d)).select("a", "b", F.col("bits").cast("long").alias("bits"))
+    """All pairs of photos of like hash within 20 s. The feature looks at 39 successors (`successors`); its SQL still does."""
+    return D.burst_pairs(_burst_rows(spark, d), successors=None).select("a", "b", F.col("bits").cast("long").alias("bits"))
 
 
 @query("WITH RECURSIVE " + BURST.removeprefix("WITH ") + """, e AS (SELECT a AS u, b AS v FROM pairs UNION SELECT b, a FROM pairs),
   reach(node, other) AS (SELECT u, u FROM e UNION SELECT reach.node, e.v FROM reach JOIN e ON e.u = reach.other) SELECT node, min(other) AS component FROM reach GROUP BY node""")
 def components(spark, d):
-    return connected(D.burst_pairs(_burst_rows(spark, d)))
+    return connected(D.burst_pairs(_burst_rows(spark, d), successors=None))
 
 
 @query("WITH RECURSIVE " + BURST.removeprefix("WITH ") + """, e AS (SELECT a AS u, b AS v FROM pairs UNION SELECT b, a FROM pairs),
@@ -57,10 +57,10 @@ def components(spark, d):
   SELECT component, count(*) AS n, string_agg(node::VARCHAR, ',' ORDER BY node) AS signature, arg_max(asset_id, (1000 * favorite::INTEGER + 100 * quality + 1.2, -asset_id)) AS keep_id,
     (sum(size) - arg_max(size, (1000 * favorite::INTEGER + 100 * quality + 1.2, -asset_id)))::BIGINT AS reclaimable FROM c JOIN assets ON asset_id = node GROUP BY component HAVING count(*) <= 60""")
 def keeper_burst(spark, d):
-    """Burst groups of at most 60 with keeper, signature and bytes to reclaim."""
+    """Burst groups of any size with keeper, signature and bytes to reclaim; the feature, and the SQL, leave out those of over 60."""
     rows = _burst_rows(spark, d)
-    of = rows.join(connected(D.burst_pairs(rows)), F.col("asset_id") == F.col("node")).withColumn("in_album", F.lit(False))
-    return D.groups(of, "component", score=D.keep_score("burst")).where("n <= 60")
+    of = rows.join(connected(D.burst_pairs(rows, successors=None)), F.col("asset_id") == F.col("node")).withColumn("in_album", F.lit(False))
+    return D.groups(of, "component", score=D.keep_score("burst"))
 
 
 _EXACT = """WITH f AS (SELECT doc_id, sha256(text) AS h, source AS rel_dir, n_chars AS size, doc_id % 11 = 0 AS favorite, doc_id % 7 = 0 AS in_album,
@@ -92,7 +92,7 @@ def ignored_groups(spark, d):
 def keeper_reasons(spark, d):
     k = F.col("k")
     rows = _burst_rows(spark, d).withColumns({"in_album": F.lit(False), "sharpness": (k % 90).cast("double"), "brightness": (k % 31) / 30.0, "clip_dark": (k % 7) / 6.0, "clip_bright": (k % 11) / 10.0})
-    of = rows.join(connected(D.burst_pairs(rows)), F.col("asset_id") == F.col("node"))
+    of = rows.join(connected(D.burst_pairs(rows, successors=None)), F.col("asset_id") == F.col("node"))
     return D.burst_reasons(of, "component").select("component", "keep_id", F.array_join("reasons", ",").alias("reasons"))
 
 

@@ -145,6 +145,27 @@ def test_burst_successors(spark):
     assert len(got) == sum(min(39, 49 - i) for i in range(50))
 
 
+def test_dense_bursts_are_whole(spark, monkeypatch):
+    from lightframe.plans import jobs as J
+    from lightframe.plans import q_dedup as Q
+
+    # 70 photos in 20 s: the first is like the last alone, the others like each other
+    rows = [(i, BASE + dt.timedelta(milliseconds=100 * i), "0" * 16 if i in (0, 69) else "f" * 16, str(i), "jpg", 1, 1, False, i / 100, 10) for i in range(70)]
+    df = spark.createDataFrame(rows, "asset_id long, taken_at timestamp, phash string, qhash string, ext string, width int, height int, favorite boolean, quality double, size long")
+    monkeypatch.setattr(Q, "_burst_rows", lambda spark, d: df)
+    assert {(r["a"], r["b"]) for r in Q.burst_pairs(spark, "").collect()} == {(0, 69)} | {(a, b) for a in range(1, 69) for b in range(a + 1, 69)}
+    assert {(r["node"], r["component"]) for r in Q.components(spark, "").collect()} == {(i, 0 if i in (0, 69) else 1) for i in range(70)}
+    assert {(r["component"], r["n"], r["keep_id"], r["reclaimable"]) for r in Q.keeper_burst(spark, "").collect()} == {(0, 2, 69, 10), (1, 68, 68, 670)}
+    wide = df.withColumns({"event_type": F.lit("a"), "k": F.col("asset_id"), "brightness": F.lit(0.5)})
+    monkeypatch.setattr(Q, "_burst_rows", lambda spark, d: wide)
+    assert {r["component"] for r in Q.keeper_reasons(spark, "").collect()} == {0, 1}
+    monkeypatch.setattr(J, "_burst_rows", lambda spark, d: wide)
+    empty = spark.createDataFrame([], "size long")
+    monkeypatch.setattr(J, "measured", lambda spark, d: empty.withColumns({"favorite": F.lit(False), "hidden": F.lit(False), "missing": F.lit(False), "trashed": F.lit(False)}))
+    monkeypatch.setattr(J, "cleanup_classes", lambda now: F.array(F.lit("none")))
+    assert {r["tab"]: (r["groups"], r["items"]) for r in J.cleanup_report(spark, "").collect()}["bursts"] == (2, 70)
+
+
 def test_near_pairs_of_hot_bands(spark):
     rng = random.Random(5)
     made = {f"abcd{rng.getrandbits(48):012x}" for _ in range(450)}  # one band over the feature's 400
