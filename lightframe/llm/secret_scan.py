@@ -10,7 +10,8 @@ candidate; one step adds the entering character's count and takes off the leavin
 follows by two differences, so a step costs the same however long the window. With S that sum, the entropy of a
 window of w characters is log2(w) - S / w. Windows at or above the class's threshold are joined into spans.
 Candidates that an allow-list pattern matches as a whole (words, paths, dates, fillers) are suppressed, and so are
-spans that lie within a pattern's match.
+spans that lie within a pattern's match. A filler such as `example` doesn't clear the whole of its run: what stands
+before, between and after fillers has to be words, numbers or shorter than a window.
 """
 
 from __future__ import annotations
@@ -40,11 +41,14 @@ CLASSES = (
     CharacterClass("entropy_base64", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 20, 3.8),
     CharacterClass("entropy_hex", r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{20,}", "0123456789abcdefABCDEF", 20, 2.9),
 )
+_FILLER = r"(?i:example|placeholder|changeme|your[_-]?key|xxxx)"
+#: What may stand between fillers: words, numbers, or less than a window. Possessive, so time is linear and the stack flat.
+_BESIDE = "|".join(rf"(?:(?!{_FILLER}){c}(?={_FILLER}|$)" for c in (r"[A-Za-z_=/-])*+", r"[0-9_=/+-])*+", r".){0,19}+"))
 #: A candidate that one of these matches as a whole is no secret.
 ALLOWED = (
     r"[A-Za-z_=/-]+",  # words, paths and identifiers without digits
     r"[0-9_=/+-]+",  # numbers, dates and rules
-    r".*(?i:example|placeholder|changeme|your[_-]?key|xxxx).*",
+    rf"(?:(?:{_BESIDE}){_FILLER})++(?:{_BESIDE})",  # fillers, with no room for a secret beside them
 )
 
 

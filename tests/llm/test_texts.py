@@ -76,6 +76,21 @@ def test_secrets(spark, docs, rows):
     assert kinds == set(ORDER)
 
 
+def test_secrets_beside_fillers(spark):
+    secret = "9fK2xQ7LmZ8vT3bR5nW1cY6dH4jS0aPq"
+    found = [f"config/example/key={secret}", f"my_example_session={secret}", f"{secret}-your_key", f"{secret}xxxx{secret[::-1]}", f"exampleexample-{secret}/EXAMPLE", "xXxX" * 3000 + secret, (secret * 900)[:25000] + "XxXx" + secret * 20]
+    clear = ["your-key-1a2B3c4D5e6F7g", "path/of/words/to/a/placeholder/of/the/session", "example_2024-01-01_2024-01-02_2024-01-03", "EXAMPLE" * 3000, "xxxx" * 8000 + "1", "changeme1a2B3c4D5e6F7gplaceholder8h9I0j1K2l3M4n"]
+    df = spark.createDataFrame(list(enumerate(found + clear)), "doc_id long, text string")
+    got = {r["doc_id"]: [s for s in r["spans"] if s["kind"] == "entropy_base64"] for r in S.scan(df).collect()}
+    for i, t in enumerate(found):
+        at = t.index(secret)
+        assert any(s["start"] <= at and s["end"] >= at + len(secret) for s in got[i]), t[:80]
+    assert not any(got[len(found) + i] for i in range(len(clear)))
+    check_scan(df, dict(enumerate(found + clear)))
+    out = {r["doc_id"]: r["x"] for r in S.scan(df, keep_text=True).select("doc_id", S.redacted(F.col("text"), F.col("spans")).alias("x")).collect()}
+    assert not any(secret in out[i] for i in range(len(found)))
+
+
 def test_secret_edges(edges, nothing):
     assert S.report(S.scan(edges)).count() == len(EDGES)
     assert S.report(S.scan(nothing)).count() == 0
