@@ -156,8 +156,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Two documents are linked when 100 * |intersection| >= percent * |union| of their sets of 5-word shingles (words are
     lower-cased runs without ASCII white space; fewer than 5 words make one shingle).
     Null, empty or blank texts have no shingles and no links: each is its own component. Rows with a null id take part
-    by their text, and get the component's smallest non-null id, or null; `kept` is false for them unless they are
-    without links, where it is null. Repeated rows and equal texts share a component; other columns are not read.
+    by their text, and get the component's smallest non-null id, or null; `kept` is false for them unless no row of their
+    component has an id, where it is null. Repeated rows and equal texts share a component; other columns are not read.
     An empty table gives an empty result."""
     k, d, m = plan(percent)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -176,7 +176,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def sets_of(wanted: DataFrame) -> DataFrame:
         """The full shingle sets of some nodes, made again from their texts."""
         ids = stash(wanted.join(nodes, "node").select("id", "node", "skey"), "wanted")
-        texts = rows.join(checked(ids.select("id").distinct()), "id", "left_semi").select("text")
+        texts = rows.join(checked(ids.where("id is not null").select("id").distinct()), "id", "left_semi").select("text")
+        if ids.where("id is null").limit(1).count():  # no row of these texts has an id; they are found by their keys alone
+            texts = texts.unionByName(rows.where("id is null").select("text"))
         made = texts.mapInArrow(_sets, "skey binary, shingles array<long>")
         return stash(made.join(checked(ids.select("skey", "node")), "skey").select("node", "shingles").dropDuplicates(["node"]), "sets")
 

@@ -71,6 +71,21 @@ def test_near_duplicates(spark, percent):
     assert sorted(map(key, ((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got))) == sorted(map(key, want))
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_near_duplicates_without_ids(spark, percent):
+    """Near copies without an id, as copies, as bridges between two ids, and in groups of their own."""
+    w = [f"w{i}" for i in range(200)]
+    put = lambda x, n, at=0: x[:at] + [f"{n}.{i}" for i in range(6)] + x[at + 6 :]
+    a, b = put(w, "p"), put(put(w, "p"), "q", 100)
+    c = [f"c{i}" for i in range(200)]
+    rows = [(7, " ".join(w)), (None, " ".join(a)), (8, " ".join(b)), (9, "alone " * 3), (None, " ".join(c)), (None, " ".join(put(c, "r")))]
+    rows += [(None if i % 3 else i + 100, t) for i, t in near_copies(120, 3)]
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(map(key, ((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got))) == sorted(map(key, brute_components(rows, percent)))
+    assert {r["doc_id"]: r["component_id"] for r in got}[8] == 7
+
+
 def test_near_duplicate_edges(edges, nothing):
     got = N.near_duplicates(edges).collect()
     assert len(got) == len(EDGES)
