@@ -33,15 +33,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (0.8 on five-word shingles): that of the smallest id. Of rows that
-    repeat an id and its text one stays. Rows without an id stay unless they are near-duplicates of one with an id, and
-    all of them stay if one does."""
-    found = stash(near_duplicates(docs, percent=80), "groups").where("kept or (doc_id is null and component_id is null)")
-    kept = stash(found.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n")), "kept")
-    out = docs.join(checked(kept.select("kept_id")), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
-    if kept.where("n > 1 and kept_id is not null").limit(1).count():
-        out = out.dropDuplicates(["doc_id", "text"])
-    return out
+    """One document of each group of near-duplicates (0.8 on five-word shingles): that of the smallest id, and of several
+    texts of that id one; rows without an id come last. Of rows that repeat an id (null, too) and its text one stays."""
+    i, text = F.col("doc_id"), F.md5(F.col("text").cast("binary"))
+    # a row's own key without nulls, ordered by id
+    own = F.struct(i.isNull().alias("none"), F.coalesce(i, F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("id"), F.coalesce(F.unhex(text), F.lit(b"")).alias("text"))
+    found = near_duplicates(docs.select(own.alias("own"), "text"), id_col="own", percent=80).where("kept")
+    kept = stash(found.groupBy(F.col("doc_id").alias("own")).agg(F.count("*").alias("n")), "kept")
+    out = docs.withColumn("own", own)
+    once = out.join(checked(kept.where("n = 1").select("own")), "own", "left_semi").select(*COLUMNS)
+    more = kept.where("n > 1").select("own")
+    if not more.limit(1).count():  # no row repeats another: its branch would be empty
+        return once
+    return once.unionByName(out.join(checked(more), "own", "left_semi").dropDuplicates(["own"]).select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

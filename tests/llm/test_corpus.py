@@ -258,6 +258,25 @@ def test_pipeline_edges(spark, sf_dir, edges):
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
 
 
+def test_pipeline_dedup_decides_by_row(spark, sf_dir, edges):
+    import corpus_pipeline as P
+
+    words = lambda c, n=40: " ".join(f"{c}{i}" for i in range(n))
+    rows = [*EDGES, (20, words("a")), (21, words("b")), (21, words("a") + " z"), (None, words("c")), (None, words("a") + " y"), (None, words("c") + " z"), (None, words("d")), (None, words("d")), (22, words("e")), (22, words("e") + " z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    got = [(r["doc_id"], r["text"]) for r in P.near_dedup(spark, docs, sf_dir).collect()]
+    distinct = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))
+    # every row kept is of no group of another, and every row is a near copy of one kept or of its group
+    of = {i: c for i, _, c in brute_components([(i, t) for i, (_, t) in enumerate(distinct)], 80)}
+    by_group = Counter(of[distinct.index(r)] for r in got)
+    assert by_group == dict.fromkeys(of.values(), 1)
+    least = {}
+    for i, c in of.items():
+        least.setdefault(c, distinct[i][0])
+    assert all(r[0] == least[of[distinct.index(r)]] for r in got)
+    assert (21, words("a") + " z") not in got and (4, EDGES[7][1]) not in got and (21, words("b")) in got
+
+
 def test_queries_are_registered():
     import __spark_entry__ as e
 
