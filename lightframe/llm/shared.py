@@ -5,11 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, BinaryType, StringType
 
-#: A join side of at most so many rows (of two or three longs each) may be broadcast; beyond it, both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: A join side of at most so many bytes may be broadcast; beyond it, both sides are shuffled.
+BROADCAST_BYTES = 4 << 20
+#: A key with more rows is dealt over several tasks where it would be joined.
+ROWS_A_TASK = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,9 +47,33 @@ def drop_stash(*dfs: DataFrame) -> None:
             path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A hint to broadcast `df` (stashed, a few narrow columns) if a count shows that it is small; else `df` as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("shuffle_merge")
+def _width(field) -> Column | int:
+    """Bytes of a column's values: fixed, or of the row."""
+    c = F.col(f"`{field.name}`")
+    kind = field.dataType
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    return 16 if isinstance(kind, AtomicType) else F.octet_length(F.to_json(F.struct(c)))
+
+
+def checked(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A hint to broadcast `df` (stashed) if its bytes, measured row by row, are few; else `df` as it is."""
+    widths = [_width(f) for f in df.schema.fields]
+    row = sum((w for w in widths if not isinstance(w, int)), F.lit(sum(w for w in widths if isinstance(w, int))))
+    return F.broadcast(df) if (df.agg(F.sum(row.cast("long")).alias("b")).first()["b"] or 0) <= most else df.hint("shuffle_merge")
+
+
+def spread_join(large: DataFrame, small: DataFrame, on: list[str], counts: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """`large` joined to `small`, which has a row for each key. Keys with more than ROWS_A_TASK rows in `counts` (on, n) are
+    dealt over several tasks by the hash of `by`, and their row of `small` goes to each of them."""
+    hot = stash(counts.where(F.col("n") > ROWS_A_TASK).select(*on, F.ceil(F.col("n") / ROWS_A_TASK).cast("int").alias("__parts")), "hot")
+    if not hot.limit(1).count():
+        drop_stash(hot)
+        return large.join(small, on, how)
+    hot, parts = checked(hot), F.coalesce("__parts", F.lit(1))
+    large = large.join(hot, on, "left").withColumn("__part", F.pmod(F.xxhash64(*by), parts).cast("int")).drop("__parts")
+    small = small.join(hot, on, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return large.join(small, [*on, "__part"], how).drop("__part")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

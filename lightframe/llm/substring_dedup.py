@@ -8,20 +8,22 @@ the shard's segments are streamed through it: backward search reports the window
 
 An anchor with very many different segments (the edge of a passage that countless documents hold) is dealt out by
 window instead: windows go to shards by their own hash, equal ones together with their number. Exact copies of a text take
-part once with their number. So no key gathers more than a bounded part.
+part once with their number; joins by anchor, segment or text deal keys of many rows over several tasks. So no key gathers
+more than a bounded part.
 """
 
 from __future__ import annotations
 
+from itertools import compress
+
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lightframe.llm.fm_index import FMIndex, repeated_windows
-from lightframe.llm.shared import checked, drop_stash, stash
-from lightframe.llm.words import WordHashes, gram_hashes, mix
+from lightframe.llm.shared import checked, drop_stash, spread_join, stash
+from lightframe.llm.words import PIECE_BYTES, Words, gram_hashes, mix, pieces, spread
 
 ANCHOR = 6
 #: An anchor with more different segments is dealt out by window.
@@ -29,7 +31,9 @@ HOT_SEGMENTS = 256
 #: Words in one FM-index, about.
 SHARD_WORDS = 400_000
 
-
+#: Low bits that hold a place among the grams of one block; the rest of a gram's hash ranks it.
+_PLACE = np.uint64((1 << 22) - 1)
+_BLOCK = 1 << 21
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,102 +58,124 @@ def _inverse_powers(n: int) -> np.ndarray:
 
 def _grown(name: str, base: np.uint64, n: int) -> np.ndarray:
     """Powers of an odd base modulo 2^64, kept and lengthened as longer texts come."""
-    if len(_GROWN.get(name, ())) < n:
+    if len(_GROWN.get(name, ())) <= n:
         _GROWN[name] = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(max(4096, 2 * n), base))), dtype=np.uint64)
     return _GROWN[name]
 
 
-def segments(h: np.ndarray, window: int):
-    """Of a text's word hashes: the anchor's hash, first window and number of windows of each segment."""
+def segments(h: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the word hashes of texts, text k having words first[k] to first[k + 1]: the hash of the anchor, the first window
+    and the number of windows of each segment."""
     grams = gram_hashes(h, ANCHOR)
     span = window - ANCHOR + 1
-    n = len(h) - window + 1
+    n = max(0, len(h) - window + 1)
+    # the least of each `span` grams: the high bits are the hash's, so the leftmost of equals wins
     at = np.empty(n, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(grams, span)
-    for i in range(0, n, 8192):
-        at[i : i + 8192] = view[i : i + 8192].argmin(axis=1) + np.arange(i, min(n, i + 8192))
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    width = np.diff(np.concatenate((first, [n])))
-    return grams[at[first]].view(np.int64), first, width
+    for i in range(0, n, _BLOCK):
+        low = (grams[i : min(n, i + _BLOCK) + span - 1] & ~_PLACE) | np.arange(min(n - i, _BLOCK) + span - 1, dtype=np.uint64)
+        size = 1
+        while 2 * size <= span:
+            low = np.minimum(low[:-size], low[size:])
+            size *= 2
+        if size < span:
+            low = np.minimum(low[: size - span], low[span - size :])
+        at[i : i + _BLOCK] = (low & _PLACE).astype(np.int64) + i
+    # windows lie within one text
+    opens = np.zeros(n + 1, np.int64)
+    long = np.flatnonzero(np.diff(first) >= window)
+    opens[first[long]] += 1
+    opens[first[long + 1] - window + 1] -= 1
+    inside = np.flatnonzero(np.cumsum(opens)[:-1])
+    at = at[inside]
+    lead = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.empty(0, np.int64)
+    return grams[at[lead]].view(np.int64), inside[lead], np.diff(np.concatenate((lead, [len(at)])))
 
 
 def _cut(window: int):
     """Texts -> a row for each different (anchor, segment) of a text, with all its starts."""
 
     def run(batches):
-        hashes = WordHashes()
-        for b in batches:
-            made: list[tuple] = []
-            for k1, k2, copies, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                words = (text or b"").split()
-                if len(words) < window:
-                    continue
-                h = hashes.of(words)
-                anchor, first, width = segments(h, window)
+        for whole in batches:
+            for b in pieces(whole, 3):
+                words = Words(b.column(3))
+                h = words.hashes()
+                anchor, first, width = segments(h, words.first, window)
                 seg = run_hashes(h, first, width + window - 1).view(np.int64)
-                order = np.lexsort((first, seg, anchor))
-                anchor, seg, first, width = anchor[order], seg[order], first[order], width[order]
-                lead = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (seg[1:] != seg[:-1]))))
-                count = np.diff(np.concatenate((lead, [len(anchor)])))
-                n = len(lead)
-                made.append((anchor[lead], seg[lead], np.full(n, k1), np.full(n, k2), width[lead].astype(np.int32), count * copies, count, first.astype(np.int32)))
-            yield _segment_batch(made)
+                text = np.searchsorted(words.first, first, "right") - 1
+                order = np.lexsort((seg, anchor, text))
+                anchor, seg, text, first, width = anchor[order], seg[order], text[order], first[order], width[order]
+                new = (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1]) | (seg[1:] != seg[:-1])
+                lead = np.flatnonzero(np.concatenate(([True], new))) if len(text) else np.empty(0, np.int64)
+                ends = np.concatenate((lead, [len(text)]))
+                starts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(first - words.first[text], pa.int32()))
+                k1, k2, copies = (b.column(i).to_numpy(zero_copy_only=False)[text[lead]] for i in range(3))
+                cols = (anchor[lead], seg[lead], k1, k2, width[lead], np.diff(ends) * copies)
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), starts], ["anchor", "seg", "k1", "k2", "width", "occurs", "starts"])
 
     return run
 
 
-def _segment_batch(made: list[tuple]) -> pa.RecordBatch:
-    *cols, count, starts = (np.concatenate(c) for c in zip(*made, strict=True)) if made else (np.empty(0, t) for t in (*[np.int64] * 4, np.int32, np.int64, np.int64, np.int32))
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(starts, pa.int32()))
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-    return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), lists], ["anchor", "seg", "k1", "k2", "width", "occurs", "starts"])
+def runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... for `size[0]` numbers, then those of the next run."""
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
 
 
 def _words_of_segments(window: int):
     """(text, cuts) -> units for the shards: whole segments, or single windows of hot anchors."""
 
     def run(batches):
-        hashes = WordHashes()
-        for b in batches:
-            cols: list[list] = [[] for _ in range(8)]
-            held = 0
-            cuts = b.column(1)
-            ends = cuts.offsets.to_numpy()
-            fields = [cuts.values.field(f).to_numpy(zero_copy_only=False) for f in ("anchor", "seg", "start", "width", "occurs", "hot")]
-            for i, text in enumerate(b.column(0).to_pylist()):
-                h = hashes.of(text.split())
-                for anchor, seg, s, w, occurs, hot in zip(*(f[ends[i] : ends[i + 1]].tolist() for f in fields), strict=True):
-                    # an anchor's segments are told apart by their own hash, its windows by theirs
-                    parts = [(h[j : j + window], j - s) for j in range(s, s + w)] if hot else [(h[s : s + w + window - 1], 0)]
-                    for words, offset in parts:
-                        raw = words.tobytes()
-                        unit = xxhash.xxh3_64_intdigest(raw) - (1 << 63) if hot else seg
-                        held += len(raw)
-                        for col, v in zip(cols, (anchor, seg, hot, offset, unit, 1 if hot else w, occurs, raw), strict=True):
-                            col.append(v)
-                if held > 8 << 20:
-                    yield _unit_batch(cols)
-                    cols, held = [[] for _ in range(8)], 0
-            yield _unit_batch(cols)
+        for whole in batches:
+            for b in pieces(whole, 0, PIECE_BYTES // 2):
+                words = Words(b.column(0))
+                h = words.hashes()
+                cuts = b.column(1)
+                ends = cuts.offsets.to_numpy()
+                anchor, seg, start, width, occurs, hot = (cuts.values.field(f).to_numpy(zero_copy_only=False)[ends[0] : ends[-1]] for f in ("anchor", "seg", "start", "width", "occurs", "hot"))
+                start = start + words.first[np.repeat(np.arange(b.num_rows), np.diff(ends))]
+                # an anchor's segments are told apart by their own hash, its windows by theirs
+                parts = np.where(hot, width, 1)
+                of = np.repeat(np.arange(len(seg)), parts)
+                offset = runs(np.zeros(len(seg), np.int64), parts)
+                hot, start, n = hot[of], start[of] + offset, np.where(hot, window, width + window - 1)[of]
+                unit = np.where(hot, run_hashes(h, start, n).view(np.int64), seg[of])
+                cols = (anchor[of], seg[of], hot, offset, unit, np.where(hot, 1, width[of]), occurs[of])
+                for lo, hi in _bounded(n):
+                    yield _unit_batch([c[lo:hi] for c in cols], h[runs(start[lo:hi], n[lo:hi])], n[lo:hi])
 
     return run
 
 
-def _unit_batch(cols):
-    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["anchor", "seg", "hot", "offset", "unit", "width", "occurs", "words"])
+def _bounded(n: np.ndarray, most: int = 1 << 20):
+    """Slices of units with about `most` words."""
+    total = np.cumsum(n)
+    lo = 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def _unit_batch(cols: list[np.ndarray], flat: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
+    ends = np.concatenate(([0], np.cumsum(n) * 8)).astype(np.int32)
+    words = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(flat))])
+    return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), words], ["anchor", "seg", "hot", "offset", "unit", "width", "occurs", "words"])
 
 
 def _search(window: int):
-    """Units sorted by group -> (anchor, unit, mask). Shards of about SHARD_WORDS words are cut between groups."""
+    """Units sorted by group -> (anchor, unit, mask). Shards of about SHARD_WORDS words are cut between groups.
+
+    A shard's words are numbered, its units indexed, and the same units streamed through the index."""
 
     def flush(rows: pa.Table) -> pa.RecordBatch:
         words = rows.column(5).combine_chunks()
         words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
-        ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
-        flat = np.frombuffer(words.buffers()[2], np.uint64, count=(ends[-1] - ends[0]) // 8, offset=ends[0])
-        index = FMIndex(flat, np.diff(ends) // 8, rows.column(4).to_numpy())
-        masks = repeated_windows(index, rows.column(3).to_numpy(), window)
+        raw, ends = spread(words)
+        sizes = np.diff(ends) // 8
+        codes = np.unique(np.frombuffer(raw.tobytes(), np.uint64), return_inverse=True)[1]
+        index = FMIndex(codes, sizes, rows.column(4).to_numpy() > 1)
+        masks = repeated_windows(index, codes, sizes, rows.column(3).to_numpy(), window)
         return pa.RecordBatch.from_arrays([rows.column(1).combine_chunks(), rows.column(2).combine_chunks(), pa.array(masks)], ["anchor", "unit", "mask"])
 
     def run(batches):
@@ -174,25 +200,39 @@ def _search(window: int):
     return run
 
 
+def _gone(marks: pa.ListArray, words: Words, window: int) -> np.ndarray:
+    """Whether each word lies in a marked window: bits of the masks, moved to every start of their segment."""
+    ends = marks.offsets.to_numpy()
+    marked = marks.values.slice(ends[0], ends[-1] - ends[0])
+    text = np.repeat(np.arange(len(marks)), np.diff(ends))
+    starts, mask = marked.field("starts"), marked.field("mask").to_numpy()
+    at = starts.offsets.to_numpy()
+    of = np.repeat(np.arange(len(mask)), np.diff(at))
+    start = starts.values.to_numpy()[at[0] : at[-1]] + words.first[text[of]]
+    turns = np.zeros(len(words.start) + 1, np.int64)
+    for lo in range(0, len(of), 1 << 16):
+        bits = np.unpackbits(mask[of[lo : lo + (1 << 16)]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        row, bit = np.nonzero(bits)
+        first = start[lo + row] + bit
+        turns += np.bincount(first, minlength=len(turns)) - np.bincount(first + window, minlength=len(turns))
+    return np.cumsum(turns)[:-1] > 0
+
+
 def _remove(window: int):
     def run(batches):
-        for b in batches:
-            n, removed, kept = [], [], []
-            for text, marks in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                words = (text or b"").split()
-                n.append(len(words))
-                if marks:
-                    turns = np.zeros(len(words) + 1, np.int64)
-                    for mark in marks:
-                        bits = [i for i in range(window) if mark["mask"] >> i & 1]
-                        at = (np.array(mark["starts"])[:, None] + np.array(bits)).ravel()
-                        np.add.at(turns, at, 1)
-                        np.add.at(turns, at + window, -1)
-                    stay = (np.cumsum(turns)[:-1] == 0).tolist()
-                    words = [w for w, s in zip(words, stay, strict=True) if s]
-                removed.append(n[-1] - len(words))
-                kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
+        for whole in batches:
+            for b in pieces(whole, 1):
+                words = Words(b.column(1))
+                gone = _gone(b.column(2), words, window)
+                n = np.diff(words.first)
+                removed = np.diff(np.concatenate(([0], np.cumsum(gone)))[words.first])
+                kept = []
+                for text, lost, first in zip(b.column(1).to_pylist(), removed.tolist(), words.first.tolist(), strict=False):
+                    parts = (text or b"").split()
+                    if lost:
+                        parts = list(compress(parts, (~gone[first : first + len(parts)]).tolist()))
+                    kept.append(b" ".join(parts))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
 
     return run
 
@@ -211,15 +251,15 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).alias("id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("k1"), F.crc32(text.cast("binary")).alias("k2"))
     keys = ["k1", "k2"]
     copies = stash(rows.where("text is not null").groupBy(*keys).agg(F.count("*").alias("copies"), F.min("id").alias("first")).where("copies > 1"), "copies")
-    firsts = rows.join(checked(copies), keys, "left").where(F.col("copies").isNull() | F.col("id").eqNullSafe(F.col("first")))
+    firsts = rows.where("text is not null").join(checked(copies), keys, "left").where(F.col("copies").isNull() | F.col("id").eqNullSafe(F.col("first")))
     firsts = firsts.select(*keys, F.coalesce("copies", F.lit(1).cast("long")).alias("copies"), "text")
 
     found = stash(firsts.mapInArrow(_cut(window), "anchor long, seg long, k1 long, k2 long, width int, occurs long, starts array<int>"), "segments")
-    again = found.groupBy("anchor").agg(F.sum("occurs").alias("n")).where("n > 1").select("anchor")
-    kept = stash(found.join(again, "anchor"), "anchored")
-    drop_stash(found)
+    again = stash(found.groupBy("anchor").agg(F.sum("occurs").alias("occurs"), F.count("*").alias("n")).where("occurs > 1"), "again")
+    kept = stash(spread_join(found, again.select("anchor"), ["anchor"], again, keys), "anchored")
+    drop_stash(found, again)
     distinct = stash(
-        kept.groupBy("anchor", "seg", "width").agg(F.sum("occurs").alias("occurs"), F.min(F.struct("k1", "k2", F.col("starts")[0].alias("start"))).alias("at")).select("anchor", "seg", "width", "occurs", "at.*"),
+        kept.groupBy("anchor", "seg", "width").agg(F.sum("occurs").alias("occurs"), F.count("*").alias("n"), F.min(F.struct("k1", "k2", F.col("starts")[0].alias("start"))).alias("at")).select("anchor", "seg", "width", "occurs", "n", "at.*"),
         "distinct",
     )
     hot = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT_SEGMENTS).select("anchor", F.lit(True).alias("hot"))
@@ -236,8 +276,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     # back from units to segments, from segments to texts
     of_unit = units.select("anchor", "seg", "offset", "unit").join(masks, ["anchor", "unit"])
     of_segment = of_unit.groupBy("anchor", "seg").agg(F.bit_or(F.call_function("shiftleft", F.col("mask"), F.col("offset"))).alias("mask"))
-    marks = kept.join(of_segment, ["anchor", "seg"]).groupBy(*keys).agg(F.collect_list(F.struct("starts", "mask")).alias("marks"))
-    out = rows.join(marks, keys, "left").select("id", "text", "marks")
+    marks = spread_join(kept, of_segment, ["anchor", "seg"], distinct, keys).groupBy(*keys).agg(F.collect_list(F.struct("starts", "mask")).alias("marks"))
+    out = spread_join(rows, marks, keys, copies.withColumnRenamed("copies", "n"), ["id"], "left").select("id", "text", "marks")
     return out.mapInArrow(_remove(window), f"doc_id {kind}, n_words long, n_removed long, kept binary")
 
 
