@@ -1,7 +1,8 @@
 """Sharding by histogram sort: exact byte counts below candidate key boundaries, refined until the splitters fit.
 
-Rows are ordered by a 62-bit key: 30 bits of the text's hash, then 32 of the id's. So equal texts lie together, and a
-group of copies that is larger than a shard can still be cut. Every round counts the bytes of each key interval that
+Rows are ordered by a 62-bit key: 30 bits of the text's hash, 20 of the id's, and 12 that deal out rows of equal id and
+text by where they are read. So equal texts lie together, and a group of copies that is larger than a shard can still be
+cut, whatever its ids. Every round counts the bytes of each key interval that
 still holds an unmet splitter, cut into 2^BITS equal intervals (one row an interval reaches the driver: at most
 splitters * 2^BITS), and puts the splitter at the nearest boundary; it is met when its error is within `tolerance` of
 a shard's size or the key's bits are used up. Only rows inside open intervals are counted again.
@@ -22,15 +23,16 @@ from pyspark.sql import functions as F
 
 from lightframe.llm.shared import stash
 
-KEY_BITS, TEXT_BITS, BITS = 62, 30, 6
+KEY_BITS, TEXT_BITS, TIE_BITS, BITS = 62, 30, 12, 6
 #: A part has about so many rows at most, as far as MOST_CUTS parts a shard allow.
 PART_ROWS, LEAST_CUTS, MOST_CUTS = 1_000_000, 32, 512
 
 
 def _key(text: Column, row_id: Column) -> Column:
     of_text = F.shiftrightunsigned(F.xxhash64(text), 64 - TEXT_BITS)
-    of_id = F.shiftrightunsigned(F.xxhash64(row_id.cast("string")), 64 - (KEY_BITS - TEXT_BITS))
-    return F.shiftleft(of_text, KEY_BITS - TEXT_BITS).bitwiseOR(of_id)
+    of_id = F.shiftrightunsigned(F.xxhash64(row_id.cast("string")), 64 - (KEY_BITS - TEXT_BITS - TIE_BITS))
+    tie = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - TIE_BITS)
+    return F.shiftleft(of_text, KEY_BITS - TEXT_BITS).bitwiseOR(F.shiftleft(of_id, TIE_BITS)).bitwiseOR(tie)
 
 
 def _intervals(rows: DataFrame, shift: int, wide: list[int] | None, wide_shift: int) -> dict[int, tuple[int, int]]:
@@ -111,9 +113,9 @@ def _snapped(rows: DataFrame, keys: list[int], every: int, slack: float) -> list
 def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, tolerance: float = 0.002, group_slack: float = 0.01) -> DataFrame:
     """doc_id, size (UTF-8 bytes plus 1), text_crc32, shard, slot (gapless from 0 in each shard) for every row.
 
-    Sizes differ by about `tolerance` of a shard plus one row. Null texts have size 1 and the empty text's checksum. Rows
-    of equal id and text have equal keys and stay together; null ids take part as one id. An empty table gives an
-    empty result; shards may be empty where there are few rows."""
+    Sizes differ by about `tolerance` of a shard, what `group_slack` moves, and one row. Null texts have size 1 and the empty
+    text's checksum. Null ids take part as one id; rows that repeat id and text may be cut like any group of equal texts. An
+    empty table gives an empty result; shards may be empty where there are few rows."""
     text = F.col(text_col).cast("string")
     raw = F.coalesce(text, F.lit("")).cast("binary")
     narrow = docs.select(
