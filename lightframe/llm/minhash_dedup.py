@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lightframe.llm.shared import checked, stash
-from lightframe.llm.words import WordHashes, gram_hashes, mix
+from lightframe.llm.shared import checked, drop_stash, hot_keys, spread_join, stash
+from lightframe.llm.words import Words, gram_hashes, mix, pieces
 
 SHINGLE = 5
 #: A pair just at the threshold is missed with at most this probability.
@@ -48,12 +48,15 @@ def plan(percent: int) -> tuple[int, int, int]:
     raise ValueError("the similarity is too low for this index")
 
 
-def shingle_set(text: bytes | None, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the text's 5-word shingles; of the whole sequence where it is shorter."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    return np.unique(gram_hashes(hashes.of(words), min(SHINGLE, len(words))))
+def shingle_sets(batch: pa.RecordBatch, column: int):
+    """For each text the sorted distinct hashes of its 5-word shingles; of the whole sequence where it is shorter."""
+    for piece in pieces(batch, column):
+        words = Words(piece.column(column), lower=True)
+        h = words.hashes()
+        grams = gram_hashes(h, SHINGLE)
+        first = words.first.tolist()
+        for lo, hi in zip(first, first[1:], strict=False):
+            yield np.unique(grams[lo : hi - SHINGLE + 1] if hi - lo >= SHINGLE else gram_hashes(h[lo:hi], max(1, hi - lo)))
 
 
 def _orders(k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,13 +75,11 @@ def signature(shingles: np.ndarray, k: int) -> np.ndarray:
 
 def _sketch(k: int):
     def run(batches):
-        hashes = WordHashes()
         for b in batches:
             n, keys, sigs = [], [], []
-            for text in b.column(1).to_pylist():
-                s = shingle_set(text, hashes)
+            for s in shingle_sets(b, 1):
                 n.append(len(s))
-                keys.append(xxhash.xxh3_128_digest(s.tobytes()))
+                keys.append(xxhash.xxh3_128_digest(s))
                 sigs.append(signature(s, k).tobytes() if len(s) else b"")
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
@@ -124,12 +125,10 @@ def _near_signatures(k: int, d: int):
 
 
 def _sets(batches):
-    hashes = WordHashes()
     for b in batches:
         keys, sets = [], []
-        for text in b.column(0).to_pylist():
-            s = shingle_set(text, hashes)
-            keys.append(xxhash.xxh3_128_digest(s.tobytes()))
+        for s in shingle_sets(b, 0):
+            keys.append(xxhash.xxh3_128_digest(s))
             sets.append(s.view(np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["skey", "shingles"])
 
@@ -137,17 +136,36 @@ def _sets(batches):
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of `edges` (u, v): label is the smallest node of its connected component.
 
-    Min-label propagation with pointer jumping; each round is a written table, the driver sees one count a round."""
+    Min-label propagation with pointer jumping; each round is a written table, the driver sees one count a round. Hubs, and
+    labels of large components, are dealt over several tasks where they are joined."""
     both = stash(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    degrees = stash(both.groupBy("v").agg(F.count("*").alias("n")), "degrees")
     labels = stash(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("m"))
+        near = spread_join(both, labels.withColumnRenamed("node", "v"), ["v"], degrees, ["u"]).groupBy(F.col("u").alias("node")).agg(F.min("label").alias("m"))
         low = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = stash(low.join(up, "label").select("node", "was", F.least("label", "up").alias("label")), "labels")
-        if not new.where("was != label").limit(1).count():
-            return new.select("node", "label")
+        sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
+        new = stash(spread_join(low, up, ["label"], sizes, ["node"]).select("node", "was", F.least("label", "up").alias("label")), "labels")
+        drop_stash(labels)
         labels = new.select("node", "label")
+        if not new.where("was != label").limit(1).count():
+            drop_stash(both, degrees)
+            return labels
+
+
+def blocks_join(df: DataFrame, on: list[str], node: str, condition, columns) -> DataFrame:
+    """Pairs of rows of `df` with equal `on` that meet `condition` (over columns with _u and _v). A key of many rows is dealt into
+    blocks by the hash of `node`, and each pair of blocks is a task's own."""
+    hot = hot_keys(df.groupBy(*on).agg(F.count("*").alias("n")), on, power=2)
+    keys, x, y = list(on), df, df
+    if hot is not None:
+        dealt = df.join(hot, on, "left").withColumn("__parts", F.coalesce("__parts", F.lit(1)))
+        dealt = dealt.withColumns({"__a": F.pmod(F.xxhash64(node), "__parts").cast("int"), "__b": F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))})
+        turned = [F.col("__b").alias("__a"), F.col("__a").alias("__b")]  # each pair of blocks from both sides
+        x, y, keys = dealt, dealt.select(*on, *(c for c in columns if c not in on), *turned), [*on, "__a", "__b"]
+    side = lambda d, z: d.select(*(F.col(k) for k in keys), *(F.col(c).alias(f"{c}_{z}") for c in columns))
+    return side(x, "u").join(side(y, "v"), keys).where(condition)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -164,14 +182,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     sk = stash(rows.mapInArrow(_sketch(k), f"id {kind}, n long, skey binary, sig binary"), "sketches")
     nodes = stash(
-        sk.where("n > 0").groupBy("skey").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("sig").alias("sig")).withColumn("node", F.monotonically_increasing_id()),
+        sk.where("n > 0").groupBy("skey").agg(F.min("id").alias("id"), F.count("*").alias("rows"), F.max("sig").alias("sig")).withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
     postings = nodes.select("node", "sig").mapInArrow(_postings(k, m), "key long, node long")
 
     def near(pairs: DataFrame) -> DataFrame:
         u, v = (nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "uv")
-        return pairs.join(u, "u").join(v, "v").select("u", "v", "sig_u", "sig_v").mapInArrow(_near_signatures(k, d), "u long, v long")
+        return spread_join(pairs.join(u, "u"), v, ["v"], pairs.groupBy("v").agg(F.count("*").alias("n")), ["u"]).select("u", "v", "sig_u", "sig_v").mapInArrow(_near_signatures(k, d), "u long, v long")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """The full shingle sets of some nodes, made again from their texts."""
@@ -180,38 +198,47 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if ids.where("id is null").limit(1).count():  # no row of these texts has an id; they are found by their keys alone
             texts = texts.unionByName(rows.where("id is null").select("text"))
         made = texts.mapInArrow(_sets, "skey binary, shingles array<long>")
-        return stash(made.join(checked(ids.select("skey", "node")), "skey").select("node", "shingles").dropDuplicates(["node"]), "sets")
+        sets = stash(made.join(checked(ids.select("skey", "node")), "skey").select("node", "shingles").dropDuplicates(["node"]), "sets")
+        drop_stash(ids)
+        return sets
 
     def linked(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         pairs = stash(pairs, "pairs")
         ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-        sets = sets_of(ends) if sets is None else sets
+        made = sets is None
+        sets = sets_of(ends) if made else sets
         u, v = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "uv")
         both = F.size(F.array_intersect("set_u", "set_v"))
-        return stash(pairs.join(u, "u").join(v, "v").where(100 * both >= percent * (F.size("set_u") + F.size("set_v") - both)).select("u", "v"), "links")
+        found = stash(spread_join(pairs.join(u, "u"), v, ["v"], pairs.groupBy("v").agg(F.count("*").alias("n")), ["u"]).where(100 * both >= percent * (F.size("set_u") + F.size("set_v") - both)).select("u", "v"), "links")
+        drop_stash(pairs, *([sets] if made else []))
+        return found
 
     # every node of a bucket against the bucket's smallest
-    centres = postings.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("v")).where("c > 1").select("key", "v")
-    found = stash(postings.withColumnRenamed("node", "u").join(centres, "key").where("u != v").select("key", "u", "v"), "buckets")
-    links = linked(near(found.select("u", "v").distinct()))
+    centres = stash(postings.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("v")).where("n > 1"), "centres")
+    found = stash(spread_join(postings.withColumnRenamed("node", "u"), centres.select("key", "v"), ["key"], centres, ["u"]).where("u != v").select("key", "u", "v"), "buckets")
+    pairs = stash(found.select("u", "v").distinct(), "pairs")
+    links = linked(near(pairs))
+    drop_stash(pairs)
     labels = components(links)
 
     # buckets with several labels
     members = found.select("key", F.col("u").alias("node")).union(found.select("key", F.col("v").alias("node")).distinct())
     labelled = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-    rest = stash(labelled.join(mixed, "key"), "rest")
+    rest = stash(spread_join(labelled, mixed, ["key"], centres, ["node"]), "rest")
+    drop_stash(found)
     if rest.limit(1).count():
         sets = sets_of(rest.select("node").distinct())
         each = sets.select("node", F.explode("shingles").alias("shingle"))
-        often = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
-        shared = each.join(often, "shingle").groupBy("node").agg(F.count("*").alias("shared"), F.sum("df").alias("weight"))
+        often = stash(each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "often")
+        shared = spread_join(each, often, ["shingle"], often, ["node"]).groupBy("node").agg(F.count("*").alias("shared"), F.sum("n").alias("weight"))
         counts = sets.select("node", F.size("shingles").alias("n")).join(shared, "node").where(100 * F.col("shared") >= percent * F.col("n"))
         alive = stash(rest.join(counts, "node"), "alive")
         hubs = stash(alive.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub")), "hubs")
-        spokes = alive.join(hubs, "key").where("node != hub").select("node", "hub").distinct()
+        spokes = stash(spread_join(alive, hubs, ["key"], centres, ["node"]).where("node != hub").select("node", "hub").distinct(), "spokes")
+        of_hub = stash(spokes.groupBy("hub").agg(F.count("*").alias("n")), "of-hub")
         hub_sets = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("hub_set"))
-        spokes = spokes.join(sets, "node").join(hub_sets, "hub").select(
+        spokes = spread_join(spokes.join(sets, "node"), hub_sets, ["hub"], of_hub, ["node"]).select(
             "node", "hub", F.size("shingles").alias("n_u"), F.size("hub_set").alias("n_v"), F.size(F.array_intersect("shingles", "hub_set")).alias("common")
         )
         spokes = stash(spokes, "spokes")
@@ -220,33 +247,27 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         labels = components(links)
         a = alive.drop("label", "weight").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = a.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-        a = a.join(mixed, "key").join(hubs, "key").join(spokes.select("node", "hub", "common"), ["node", "hub"], "left")
+        a = spread_join(a, mixed.join(hubs, "key"), ["key"], centres, ["node"]).join(spokes.select("node", "hub", "common"), ["node", "hub"], "left")
         a = stash(a.select("key", "hub", "node", "label", "n", "shared", F.coalesce("common", "n").alias("common")), "open")
         # 100 i >= p (n_u + n_v - i)  <=>  (100 + p) i >= p (n_u + n_v), and i is at most either shared count; and i is at
         # most the lesser of what the two have in common with a hub, plus what they share that the hub hasn't
         enough = lambda c: (100 + percent) * F.least(f"{c}_u", f"{c}_v") >= percent * (F.col("n_u") + F.col("n_v"))
-        side = lambda df, x, *on: df.select(*on, *(F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "shared", "common")))
         apart = (F.col("node_u") < F.col("node_v")) & (F.col("label_u") != F.col("label_v")) & enough("shared")
+        columns = ("node", "label", "n", "shared", "common")
         as_pair = (F.col("node_u").alias("u"), F.col("node_v").alias("v"))
-
-        def joined(df: DataFrame, on: list[str], condition) -> DataFrame:
-            x, y = side(df, "u", *on), side(df.select(*(F.col(c).alias(c) for c in df.columns)), "v", *on)
-            match = condition
-            for c in on:
-                match = (x[c] == y[c]) & match
-            return x.join(y, match).select(*as_pair)
-
-        by_hub = joined(a, ["key"], apart & enough("common"))
-        each = a.drop("key").distinct().join(sets, "node").join(hub_sets, "hub")
-        each = each.select("hub", "node", "label", "n", "shared", "common", F.explode(F.array_except("shingles", "hub_set")).alias("shingle"))
-        each = stash(each.join(often.select("shingle"), "shingle"), "beside")
-        by_rest = joined(each, ["hub", "shingle"], apart & ~enough("common"))
-        labels = components(links.unionByName(linked(near(by_hub.union(by_rest).distinct()), sets)))
+        by_hub = blocks_join(a, ["key"], "node", apart & enough("common"), columns).select(*as_pair)
+        each = spread_join(a.join(sets, "node"), hub_sets, ["hub"], a.groupBy("hub").agg(F.count("*").alias("n")), ["node"])
+        each = each.select("key", "node", "label", "n", "shared", "common", F.explode(F.array_except("shingles", "hub_set")).alias("shingle"))
+        each = stash(spread_join(each, often.select("shingle"), ["shingle"], often, ["node"]), "beside")
+        by_rest = blocks_join(each, ["key", "shingle"], "node", apart & ~enough("common"), columns).select(*as_pair)
+        pairs = stash(by_hub.union(by_rest).distinct(), "pairs")
+        labels = components(links.unionByName(linked(near(pairs), sets)))
+        drop_stash(pairs, each, a, alive, sets)
 
     groups = nodes.select("skey", "node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = groups.groupBy("label").agg(F.min("id").alias("component_id"))
-    of_set = groups.join(least, "label").select("skey", "component_id")
-    out = sk.select("id", "n", "skey").join(of_set, "skey", "left")
+    of_set = spread_join(groups, least, ["label"], groups.groupBy("label").agg(F.count("*").alias("n")), ["node"]).select("skey", "component_id")
+    out = spread_join(sk.select("id", "n", "skey"), of_set, ["skey"], nodes.select("skey", F.col("rows").alias("n")), ["id"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
         "kept", F.when(F.col("component_id").isNull(), F.lit(None).cast("boolean")).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType, BinaryType, StringType
 
+from lightframe.operators.skew import hot_keys, spread_join
+
+__all__ = ["checked", "documents", "drop_stash", "hot_keys", "new_path", "shared_dir", "spread_join", "stash"]
+
 #: A join side of at most so many bytes may be broadcast; beyond it, both sides are shuffled.
 BROADCAST_BYTES = 4 << 20
-#: A key with more rows is dealt over several tasks where it would be joined.
-ROWS_A_TASK = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,18 +65,5 @@ def checked(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if (df.agg(F.sum(row.cast("long")).alias("b")).first()["b"] or 0) <= most else df.hint("shuffle_merge")
 
 
-def spread_join(large: DataFrame, small: DataFrame, on: list[str], counts: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
-    """`large` joined to `small`, which has a row for each key. Keys with more than ROWS_A_TASK rows in `counts` (on, n) are
-    dealt over several tasks by the hash of `by`, and their row of `small` goes to each of them."""
-    hot = stash(counts.where(F.col("n") > ROWS_A_TASK).select(*on, F.ceil(F.col("n") / ROWS_A_TASK).cast("int").alias("__parts")), "hot")
-    if not hot.limit(1).count():
-        drop_stash(hot)
-        return large.join(small, on, how)
-    hot, parts = checked(hot), F.coalesce("__parts", F.lit(1))
-    large = large.join(hot, on, "left").withColumn("__part", F.pmod(F.xxhash64(*by), parts).cast("int")).drop("__parts")
-    small = small.join(hot, on, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
-    return large.join(small, [*on, "__part"], how).drop("__part")
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -262,8 +262,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         kept.groupBy("anchor", "seg", "width").agg(F.sum("occurs").alias("occurs"), F.count("*").alias("n"), F.min(F.struct("k1", "k2", F.col("starts")[0].alias("start"))).alias("at")).select("anchor", "seg", "width", "occurs", "n", "at.*"),
         "distinct",
     )
-    hot = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT_SEGMENTS).select("anchor", F.lit(True).alias("hot"))
-    cuts = distinct.join(hot, "anchor", "left").groupBy(*keys).agg(F.collect_list(F.struct("anchor", "seg", "start", "width", "occurs", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("cuts"))
+    many = stash(distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT_SEGMENTS), "many")
+    cuts = spread_join(distinct, many.select("anchor", F.lit(True).alias("hot")), ["anchor"], many, ["seg"], "left").groupBy(*keys).agg(F.collect_list(F.struct("anchor", "seg", "start", "width", "occurs", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("cuts"))
     units = stash(
         firsts.join(cuts, keys).select("text", "cuts").mapInArrow(_words_of_segments(window), "anchor long, seg long, hot boolean, offset int, unit long, width int, occurs long, words binary"), "units"
     )

@@ -8,30 +8,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-#: A worker remembers the hashes of at most so many words.
-REMEMBERED = 300_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
 
 
-class WordHashes(dict):
-    """bytes -> 64-bit hash, bounded; a word's hash is the same in every process."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < REMEMBERED:
-            self[word] = h
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 #: Texts are taken in pieces of about so many bytes, so that arrays over their words stay small.
 PIECE_BYTES = 2 << 20
 #: Longer words are hashed as a whole; shorter ones eight bytes at a time, all words of a piece at once.
 LONG_WORD = 256
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
 _FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
@@ -58,10 +44,12 @@ def pieces(batch: pa.RecordBatch, column: int, size: int = PIECE_BYTES) -> Itera
 
 class Words:
     """The words (runs without ASCII white space) of a column of texts: where they start and end in `raw`, and the number
-    of the first word of each text (`first` has one more entry, the number of all words)."""
+    of the first word of each text (`first` has one more entry, the number of all words). `lower` takes A-Z as a-z."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, lower: bool = False):
         self.raw, rows = spread(column)
+        if lower:
+            self.raw = _LOWER[self.raw]
         blank = _SPACE[self.raw]
         inside = ~blank
         begin, end = inside.copy(), inside.copy()

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lightframe.llm import minhash_dedup as N
+from lightframe.operators import skew
 from lightframe.llm import shard_sort as H
 from lightframe.llm import substring_dedup as U
 from lightframe.llm import warc_revisit as W
@@ -86,6 +87,21 @@ def test_near_duplicates_without_ids(spark, percent):
     assert {r["doc_id"]: r["component_id"] for r in got}[8] == 7
 
 
+def test_near_duplicates_with_hot_keys(spark, monkeypatch):
+    """Hubs, buckets, labels and copies that hold a large share are dealt over tasks; nothing changes for it."""
+    monkeypatch.setattr(skew, "LEAST_HOT", 2)
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(160):  # around one text, some linked and some not
+        w = list(base)
+        for j in rng.sample(range(120), rng.choice([0, 1, 1, 2, 3, 4, 5, 6])):
+            w[j] = f"x{rng.randrange(50)}"
+        rows.append((i, " ".join(w)))
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(brute_components(rows, 85))
+
+
 def test_near_duplicate_edges(edges, nothing):
     got = N.near_duplicates(edges).collect()
     assert len(got) == len(EDGES)
@@ -141,6 +157,7 @@ def test_repeats(spark, docs, rows, edges, nothing):
 @pytest.mark.parametrize("hot", [256, 2])
 def test_repeats_in_random_texts(spark, monkeypatch, hot):
     monkeypatch.setattr(U, "HOT_SEGMENTS", hot)
+    monkeypatch.setattr(skew, "LEAST_HOT", hot)
     monkeypatch.setattr(U, "SHARD_WORDS", 500)
     rng = random.Random(hot)
     passage = [f"p{i}" for i in range(60)]
@@ -179,6 +196,19 @@ def test_shards(spark, docs, rows, edges, nothing):
     assert sorted((r["doc_id"], r["shard"], r["slot"]) for r in got) == sorted((r["doc_id"], r["shard"], r["slot"]) for r in again)
 
 
+@pytest.mark.parametrize("row_id", [None, 5])
+def test_repeated_rows_are_dealt_out(spark, row_id):
+    """A group of equal id and text that is larger than several shards is cut, and the law holds."""
+    rows = [(row_id, "the same text of fifty one bytes, again and again...")] * 400 + [(i, f"text {i}") for i in range(1000, 1400)]
+    got = check_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows, 16)
+    sizes = Counter()
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+    share = sum(sizes.values()) / 16
+    # the tolerance, what may move for small groups, and a row at either end
+    assert len(sizes) == 16 and max(abs(v - share) for v in sizes.values()) <= 0.012 * share + 2 * 53
+
+
 def test_small_groups_stay_together(spark):
     rows = [(3 * i + j, f"text number {i} " * 40) for i in range(1000) for j in range(3)]
     got = H.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=4).collect()
