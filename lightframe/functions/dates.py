@@ -132,3 +132,27 @@ def segment_title(first: Column, last: Column, city: Column, country: Column, ho
     placed = F.when(holiday.isNotNull(), F.concat(holiday, F.lit(" in "), city)).when(several & away, F.concat(F.lit("Stay in "), city)).otherwise(where)
     plain = F.when(holiday.isNotNull(), holiday).when(several, label).otherwise(F.concat(weekday, F.lit(" "), label))
     return F.when(city.isNotNull(), placed).otherwise(plain)
+
+
+def segment_subtitle(first: Column, last: Column, city: Column, country: Column, home: Column, *, home_country: str = "France", holidays: dict[str, str] | None = None) -> Column:
+    """What stands below a moment's title: its dates unless the title has them, a weekend's day, the place of a stay."""
+    known = HOLIDAYS if holidays is None else holidays
+    a = first.cast("date")
+    special, several, label = F.date_format(a, "MM-dd").isin(*known), first != last, range_label(first, last)
+    weekday = F.element_at(F.array(*map(F.lit, WEEKDAYS)), F.dayofweek(a))
+    away = F.coalesce(home.isNotNull() & (city != home), F.lit(False))
+    where = F.when(country.isNotNull() & (country != home_country) & away, F.concat_ws(", ", city, country)).otherwise(city)
+    weekend = ~several & F.dayofweek(a).isin(1, 7)
+    placed = F.when(special, label).when(several & away, F.concat(where, F.lit(" · "), label)).when(weekend, F.concat(weekday, F.lit(" "), label)).otherwise(label)
+    return F.when(city.isNotNull(), placed).when(special, label).otherwise("")
+
+
+def trip_title(cities: Column, first: Column, last: Column, months: tuple[str, ...] = MONTHS, *, nowhere: str = "elsewhere") -> Column:
+    """`Trip to` (a week or more) or `Getaway to` the first cities, then month and dates."""
+    a = first.cast("date")
+    n = F.size(cities)
+    at = lambda i: F.get(cities, F.lit(i))
+    more = F.when(n == 3, " other").otherwise(" others")
+    where = F.when(n == 0, nowhere).when(n == 1, at(0)).when(n == 2, F.concat_ws(" and ", at(0), at(1))).otherwise(F.concat(at(0), F.lit(", "), at(1), F.lit(" and "), (n - 2).cast("string"), more))
+    kind = F.when(F.datediff(last.cast("date"), a) + 1 >= 7, "Trip to ").otherwise("Getaway to ")
+    return F.concat(kind, where, F.lit(" · "), _month(a, months), F.lit(" "), F.year(a).cast("string"), F.lit(" · "), range_label(first, last))

@@ -37,9 +37,10 @@ def aspect_ratio(width: Column, height: Column, orientation: Column) -> Column:
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Great-circle distance; null where a coordinate is."""
     half = lambda a, b: F.pow(F.sin(F.radians(b - a) / 2), F.lit(2.0))
     h = half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lon1, lon2)
-    return 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return 2 * EARTH_KM * F.asin(F.when(h > 1, 1.0).otherwise(F.sqrt(h)))  # `least` would pass over a null
 
 
 def gps_decimal(d: Column, m: Column, s: Column, ref: Column) -> Column:

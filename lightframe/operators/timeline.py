@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lightframe.functions.filters import presets, visible, year_range
+from lightframe.operators.graph import checkpointed
+from lightframe.operators.ordered import PART, rank_within, ranged, running_sum
 
 
 def with_membership(df: DataFrame, members: DataFrame, on: str, flag: str) -> DataFrame:
@@ -46,6 +48,20 @@ def page(df: DataFrame, offset: int, limit: int, *, day: str = "day", at: str =
     return rows.orderBy(*newest(day, at, key)).offset(max(0, offset - first)).limit(limit)
 
 
+def moment_page(rows: DataFrame, moments: DataFrame, offset: int, limit: int, *by: str, at: str = "taken_at", key: str = "asset_id") -> DataFrame:
+    """Rows offset..offset+limit in the order of moments (the latest start first), in order of time within each. Prefix sums
+    over the moments rule out all but those that the page touches."""
+    limit = max(1, min(1000, limit))
+    latest = [F.col("start_at").desc(), *(F.col(c).desc() for c in (*by, "seg"))]
+    counted = running_sum(ranged(moments.select(*by, "seg", "start_at", "n"), *latest), [], latest, F.col("n"), "__end").drop(PART)
+    touched = checkpointed(counted.where((F.col("__end") > offset) & (F.col("__end") - F.col("n") < offset + limit)))
+    lead = touched.agg(F.min(F.col("__end") - F.col("n")).alias("lead")).first()["lead"]
+    if lead is None:
+        return rows.limit(0)
+    page = rows.join(F.broadcast(touched.select(*by, "seg", "start_at")), [*by, "seg"])  # at most `limit` moments
+    return page.orderBy(*latest, at, key).offset(max(0, offset - lead)).limit(limit).drop("start_at")
+
+
 def day_buckets(df: DataFrame, *, day: str = "day") -> DataFrame:
     return df.groupBy(day).agg(F.count("*").alias("n"))
 
@@ -68,15 +84,10 @@ def index_of(df: DataFrame, target: DataFrame, *, day: str = "day", at: str = "t
     return df.join(F.broadcast(t.limit(1)), before, "inner").agg(F.count("*").alias("rank"))
 
 
-def global_row_number(df: DataFrame, order: list[Column], name: str = "row_number", partitions: int | None = None) -> DataFrame:
+def global_row_number(df: DataFrame, order: list[Column], name: str = "row_number") -> DataFrame:
     """Numbers all rows from 1 in the given order without gathering them: a range exchange, a rank within each range and
     the counts of the ranges before."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id())
-    within = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
-    ahead = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    counts = within.groupBy("__p").agg(F.count("*").alias("__n")).withColumn("__o", F.coalesce(F.sum("__n").over(ahead), F.lit(0))).select("__p", "__o")
-    return within.join(F.broadcast(counts), "__p").withColumn(name, F.col("__r") + F.col("__o")).drop("__p", "__r", "__o")
+    return rank_within(df, [], order, name)
 
 
 def counters(df: DataFrame) -> DataFrame:
@@ -126,9 +137,9 @@ def tiles(df: DataFrame, versions: DataFrame, *, key: str = "asset_id") -> DataF
     )
 
 
-def by_ranked_ids(df: DataFrame, ranked: DataFrame, *, ids: str = "ids", key: str = "asset_id") -> DataFrame:
-    """Rows for explicit id lists, with their position; ids that aren't there leave gaps."""
-    return ranked.select(F.posexplode(ids).alias("pos", key)).join(df, key)
+def by_ranked_ids(df: DataFrame, ranked: DataFrame, *, pos: str = "pos", key: str = "asset_id") -> DataFrame:
+    """Rows for an explicit list of ids, given as rows (pos, key), with their position; ids that aren't there leave gaps."""
+    return ranked.select(pos, key).join(df, key)
 
 
 def map_cells(df: DataFrame, *, zoom: int, tile: int = 256, radius: int = 56) -> DataFrame:

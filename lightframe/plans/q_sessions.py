@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lightframe.functions import dates as D
 from lightframe.functions.filters import visible
 from lightframe.operators import curate as C
 from lightframe.operators import sessions as S
 from lightframe.operators import timeline as T
+from lightframe.plans.q_scalars import _RANGE as RANGE_SQL
 from lightframe.plans.registry import query
 from lightframe.sources.adapters import ASSETS_SQL as A
 from lightframe.sources.adapters import assets, table
@@ -16,7 +18,7 @@ V = "NOT hidden AND NOT missing AND NOT trashed"
 SEG = A + f""", o AS (SELECT *, (epoch_us(taken_at) // 1000) AS ms FROM assets WHERE {V}),
 g AS (SELECT *, ms - lag(ms) OVER w AS gap, last_value(CASE WHEN lat IS NOT NULL THEN lat END IGNORE NULLS) OVER b AS plat, last_value(CASE WHEN lat IS NOT NULL THEN lon END IGNORE NULLS) OVER b AS plon,
   lag(city) OVER w AS pcity, lag(day) OVER w AS pday FROM o WINDOW w AS (PARTITION BY source_id ORDER BY taken_at, asset_id), b AS (PARTITION BY source_id ORDER BY taken_at, asset_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-f AS (SELECT *, (gap IS NULL OR gap > 14400000 OR (gap > 2400000 AND (coalesce(2 * 6371 * asin(least(1.0, sqrt(pow(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lon - plon) / 2), 2)))) > 3, false)
+f AS (SELECT *, (gap IS NULL OR gap > 14400000 OR (gap > 2400000 AND (coalesce(CASE WHEN lat IS NOT NULL AND plat IS NOT NULL THEN 2 * 6371 * asin(least(1.0, sqrt(pow(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lon - plon) / 2), 2)))) END > 3, false)
   OR coalesce(pcity <> city, false))) OR (pday <> day AND gap > 7200000))::BIGINT AS fresh FROM g),
 s AS (SELECT *, (sum(fresh) OVER (PARTITION BY source_id ORDER BY taken_at, asset_id))::BIGINT AS seg FROM f)
 """
@@ -24,7 +26,7 @@ SUM = SEG + """, vote AS (SELECT source_id, seg, city, count(*) AS c, min((ms, a
 top AS (SELECT source_id, seg, city FROM vote QUALIFY row_number() OVER (PARTITION BY source_id, seg ORDER BY c DESC, f) = 1),
 vote2 AS (SELECT source_id, seg, country, count(*) AS c, min((ms, asset_id)) AS f FROM s WHERE country IS NOT NULL GROUP BY ALL),
 top2 AS (SELECT source_id, seg, country FROM vote2 QUALIFY row_number() OVER (PARTITION BY source_id, seg ORDER BY c DESC, f) = 1),
-m AS (SELECT source_id, seg, min(ms) AS start_ms, max(ms) AS end_ms, min(day) AS day_start, max(day) AS day_end, count(*) AS n, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, min(asset_id) AS first_id FROM s GROUP BY ALL),
+m AS (SELECT source_id, seg, min(ms) AS start_ms, max(ms) AS end_ms, min(day) AS day_start, max(day) AS day_end, count(*) AS n, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, arg_min(asset_id, (ms, asset_id)) AS first_id FROM s GROUP BY ALL),
 moments AS (SELECT m.*, top.city, top2.country FROM m LEFT JOIN top USING (source_id, seg) LEFT JOIN top2 USING (source_id, seg))
 """
 
@@ -49,9 +51,46 @@ def moments(spark, d):
     return _moments(spark, d).select("source_id", "seg", F.unix_millis("start_at").alias("start_ms"), F.unix_millis("end_at").alias("end_ms"), "day_start", "day_end", "n", r("lat", 6).alias("lat"), r("lon", 6).alias("lon"), "first_id", "city", "country")
 
 
-@query(SUM + "SELECT 'm:' || source_id || ':' || seg AS bucket, coalesce(city, day_start) AS title, n FROM moments")
+TITLED = SUM + """, home AS (SELECT source_id, arg_max(city, (n, city)) AS home FROM (SELECT source_id, city, count(*) AS n FROM assets WHERE NOT hidden AND NOT missing AND city IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+d AS (SELECT moments.*, home, day_start::DATE AS a, day_end::DATE AS b FROM moments LEFT JOIN home USING (source_id)),
+l AS (SELECT *, """ + RANGE_SQL + """ AS label, CASE strftime(a, '%m-%d') WHEN '12-25' THEN 'Christmas' WHEN '12-24' THEN 'Christmas Eve' WHEN '12-31' THEN 'New Year''s Eve' WHEN '01-01' THEN 'New Year'
+  WHEN '07-14' THEN 'Bastille Day' WHEN '10-31' THEN 'Halloween' WHEN '02-14' THEN 'Valentine''s Day' END AS holiday, coalesce(city <> home, false) AS away, strftime(a, '%A') AS wd FROM d),
+w AS (SELECT *, CASE WHEN country <> 'N0' AND away THEN city || ', ' || country ELSE city END AS place FROM l),
+titled AS (SELECT *, CASE WHEN city IS NOT NULL THEN CASE WHEN holiday IS NOT NULL THEN holiday || ' in ' || city WHEN a <> b AND away THEN 'Stay in ' || city ELSE place END
+    WHEN holiday IS NOT NULL THEN holiday WHEN a <> b THEN label ELSE wd || ' ' || label END AS title,
+  CASE WHEN city IS NOT NULL THEN CASE WHEN holiday IS NOT NULL THEN label WHEN a <> b AND away THEN place || ' · ' || label WHEN a = b AND wd IN ('Saturday', 'Sunday') THEN wd || ' ' || label ELSE label END
+    WHEN holiday IS NOT NULL THEN label ELSE '' END AS subtitle FROM w)
+"""
+
+
+def titled(moments, home, *by):
+    """Moments with title and subtitle."""
+    m = moments.join(home, list(by), "left")
+    of = (F.col("day_start"), F.col("day_end"), F.col("city"), F.col("country"), F.col("home"))
+    return m.withColumns({"title": D.segment_title(*of, home_country="N0"), "subtitle": D.segment_subtitle(*of, home_country="N0")})
+
+
+@query(TITLED + "SELECT 'm:' || source_id || ':' || seg AS bucket, title, subtitle, n, row_number() OVER (ORDER BY start_ms DESC, source_id DESC, seg DESC) AS place FROM titled")
 def moment_buckets(spark, d):
-    return _moments(spark, d).select(F.concat_ws(":", F.lit("m"), F.col("source_id").cast("string"), F.col("seg").cast("string")).alias("bucket"), F.coalesce("city", "day_start").alias("title"), "n")
+    """Moments, the latest first."""
+    m = titled(_moments(spark, d), T.home_city(assets(spark, d), "source_id"), "source_id")
+    placed = T.global_row_number(m, [F.col("start_at").desc(), F.col("source_id").desc(), F.col("seg").desc()], "place")
+    return placed.select(F.concat_ws(":", F.lit("m"), F.col("source_id").cast("string"), F.col("seg").cast("string")).alias("bucket"), "title", "subtitle", "n", F.col("place").cast("long").alias("place"))
+
+
+@query(SUM + "SELECT asset_id, source_id, seg FROM s JOIN moments USING (source_id, seg) ORDER BY start_ms DESC, source_id DESC, seg DESC, taken_at, asset_id LIMIT 240 OFFSET 300")
+def moment_page(spark, d):
+    """Rows 300 to 539 in the order of moments: the latest moment first, each in order of time."""
+    s = _segmented(spark, d)
+    return T.moment_page(s, S.summarise(s, "source_id"), 300, 240, "source_id").select("asset_id", "source_id", "seg")
+
+
+@query(SUM + """SELECT a.asset_id, 'm:' || s.source_id || ':' || s.seg AS bucket, coalesce(m.n, 0) AS n FROM assets a LEFT JOIN s ON s.asset_id = a.asset_id LEFT JOIN moments m ON m.source_id = s.source_id AND m.seg = s.seg""")
+def moment_membership(spark, d):
+    """Every row with its moment; hidden, missing and trashed ones have none."""
+    s = _segmented(spark, d)
+    of = s.join(S.summarise(s, "source_id").select("source_id", "seg", "n"), ["source_id", "seg"]).select("asset_id", F.concat_ws(":", F.lit("m"), F.col("source_id").cast("string"), F.col("seg").cast("string")).alias("bucket"), "n")
+    return assets(spark, d).select("asset_id").join(of, "asset_id", "left").select("asset_id", "bucket", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query()
@@ -84,12 +123,21 @@ def trips(spark, d):
   WINDOW w AS (ORDER BY taken_at, asset_id)), i AS (SELECT *, sum((NOT go)::BIGINT) OVER (ORDER BY taken_at, asset_id) AS island FROM g) SELECT min(asset_id) AS first_id, count(*) AS n FROM i GROUP BY island HAVING count(*) > 1""")
 def bracket_islands(spark, d):
     """Runs of frames within a minute, of one camera and stepped exposures, over the whole stream."""
-    i = S.bracket_islands(assets(spark, d).where(visible()).withColumn("all", F.lit(0)), "all", gap_ms=60_000)
+    i = S.bracket_islands(assets(spark, d).where(visible()), gap_ms=60_000)
     return i.groupBy("island").agg(F.min("asset_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("island")
 
 
-@query()
+@query("WITH RECURSIVE " + A.removeprefix("WITH ") + f""", o AS (SELECT *, (epoch_us(taken_at) // 1000) AS ms FROM assets WHERE {V}),
+  g AS (SELECT *, coalesce(ms - lag(ms) OVER w <= 3600000 AND lag(model) OVER w IS NOT DISTINCT FROM model AND abs(log2(exposure) - log2(lag(exposure) OVER w)) >= 0.2, false) AS go FROM o WINDOW w AS (PARTITION BY source_id ORDER BY taken_at, asset_id)),
+  i AS (SELECT *, sum((NOT go)::BIGINT) OVER (PARTITION BY source_id ORDER BY taken_at, asset_id) AS island FROM g),
+  p AS (SELECT source_id, island, asset_id, log2(exposure) AS ev, ms, row_number() OVER (PARTITION BY source_id, island ORDER BY taken_at, asset_id) AS pos, count(*) OVER (PARTITION BY source_id, island) AS n FROM i),
+  f(source_id, island, pos, asset_id, series, evs) AS (SELECT source_id, island, pos, asset_id, asset_id, [ev] FROM p WHERE pos = 1 AND n > 1
+    UNION ALL SELECT p.source_id, p.island, p.pos, p.asset_id, CASE WHEN len(list_filter(f.evs, lambda e: abs(e - p.ev) < 0.2)) = 0 THEN f.series ELSE p.asset_id END,
+      CASE WHEN len(list_filter(f.evs, lambda e: abs(e - p.ev) < 0.2)) = 0 THEN list_append(f.evs, p.ev) ELSE [p.ev] END FROM f JOIN p ON p.source_id = f.source_id AND p.island = f.island AND p.pos = f.pos + 1),
+  s AS (SELECT series, count(*) AS n, max(p.ev) - min(p.ev) AS span, list(f.asset_id ORDER BY p.ev, f.asset_id) AS ids FROM f JOIN p USING (asset_id) GROUP BY series)
+  SELECT source_id, series, asset_id, asset_id = ids[s.n // 2 + 1] AS is_keeper FROM f JOIN s USING (series) WHERE (s.n >= 3 AND span >= 1.5) OR (s.n = 2 AND span >= 2)""")
 def bracket_series(spark, d):
+    """Exposure series of each source; at this stream's pace an hour stands for the feature's seconds."""
     i = S.bracket_islands(assets(spark, d).where(visible()), "source_id", gap_ms=3_600_000)
     return S.bracket_series(i, "source_id", sure_ms=3_600_000)
 

@@ -243,5 +243,6 @@ def map_cells(spark, d):
 
 @query(A + f"SELECT pos, asset_id, day FROM (SELECT unnest(ids) AS asset_id, generate_subscripts(ids, 1) - 1 AS pos FROM (SELECT list(v ORDER BY v DESC) AS ids FROM (SELECT doc_id * 3 AS v FROM documents))) JOIN assets USING (asset_id) WHERE {V}")
 def tiles_by_ids(spark, d):
-    ranked = table(spark, d, "documents").agg(F.reverse(F.array_sort(F.collect_list(F.col("doc_id") * 3))).alias("ids"))
-    return T.by_ranked_ids(assets(spark, d).where(P.visible()), ranked).select(F.col("pos").cast("long").alias("pos"), "asset_id", "day")
+    ids = table(spark, d, "documents").select((F.col("doc_id") * 3).alias("asset_id"))
+    ranked = T.global_row_number(ids, [F.col("asset_id").desc()], "pos").withColumn("pos", (F.col("pos") - 1).cast("long"))
+    return T.by_ranked_ids(assets(spark, d).where(P.visible()), ranked).select("pos", "asset_id", "day")
