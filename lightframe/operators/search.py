@@ -2,59 +2,95 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lightframe.operators.graph import checkpointed
+
+
+def _folds() -> tuple[str, str]:
+    """Lower-case letters that are another letter with marks, and that letter: what Unicode's decomposition says."""
+    marked = {}
+    for c in map(chr, range(0xC0, 0x2C00)):
+        base, *marks = unicodedata.normalize("NFD", c)
+        if marks and c == c.lower() and all(unicodedata.combining(m) for m in marks):
+            marked[c] = base
+    return "".join(marked), "".join(marked.values())
+
+
+_FOLDS = _folds()
+
 
 def folded(text: Column) -> Column:
-    """Lower case without Latin diacritics."""
-    marks = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return F.translate(F.lower(text), *marks)
+    """Lower case without diacritics, whether they are part of a letter or follow it."""
+    return F.regexp_replace(F.translate(F.lower(text), *_FOLDS), r"\p{Mn}+", "")
 
 
 def terms(text: Column) -> Column:
+    """Runs of letters and digits, folded. Documents and queries are both split by it."""
     return F.filter(F.split(folded(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def postings(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(term, key, tf, length): one row a term and document. Write it sorted by term, so that prefix ranges prune files."""
+    """(term, key, tf, length): one row a term and document. Write it with `write_index`, so that it is made once."""
     each = docs.select(key, terms(F.coalesce(text, F.lit(""))).alias("t")).select(key, F.size("t").alias("length"), F.explode("t").alias("term"))
-    return each.groupBy("term", key).agg(F.count("*").alias("tf"), F.max("length").alias("length"))
-
-
-def bm25(index: DataFrame, query: str, *, docs: int, mean_length: float, k: int = 400, k1: float = 1.2, b: float = 0.75, key: str = "doc_id") -> DataFrame:
-    """The `k` best documents that hold, for every query word of two or more letters, a term with that prefix."""
-    import re
-    import unicodedata
-
-    plain = "".join(c for c in unicodedata.normalize("NFD", query.lower()) if not unicodedata.combining(c))
-    words = list(dict.fromkeys(w for w in re.split(r"[^\w]+", plain) if len(w) > 1))
-    if not words:
-        return index.select(key, F.lit(0.0).alias("score")).limit(0)
-    hit = F.array_compact(F.array(*(F.when(F.col("term").startswith(w), F.lit(i)) for i, w in enumerate(words))))
-    any_word = F.lit(False)
-    for w in words:
-        any_word = any_word | F.col("term").startswith(w)
-    rows = index.where(any_word).select(key, "tf", "length", F.explode(hit).alias("q"))
-    per = rows.groupBy(key, "q").agg(F.sum("tf").alias("tf"), F.max("length").alias("length"))
-    df = per.groupBy("q").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((docs - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean_length))
-    scored = per.join(F.broadcast(df), "q").groupBy(key).agg(F.count("*").alias("n"), F.sum(part).alias("score")).where(F.col("n") == len(words))
-    return scored.select(key, "score").orderBy(F.col("score").desc(), key).limit(k)
-
-
-def hybrid(text_hits: DataFrame, vector_hits: DataFrame, *, k: int = 400, floor: float = 0.2, least: float = 0.55, key: str = "doc_id") -> DataFrame:
-    """Text hits by rank (1.2 down to 0.8) and vector hits by relative score (kept from `least`); the better one counts.
-    Both inputs are short ranked lists."""
-    w = Window.orderBy(F.col("score").desc(), F.col(key))
-    whole = Window.partitionBy()
-    t = text_hits.select(key, (1.2 - 0.4 * (F.row_number().over(w) - 1) / F.count("*").over(whole)).alias("t"))
+    return each.groupBy("term", key, "length").agg(F.count("*").alias("tf"))
+
+
+def write_index(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text") -> None:
+    """Stores postings sorted by term, so that prefixes read few row groups."""
+    postings(docs, key=key, text=text).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+
+
+def query_words(queries: DataFrame, *, key: str = "query_id", text: str = "text") -> DataFrame:
+    """(key, word): the distinct words of two or more letters of each query, folded like the documents'."""
+    return queries.select(key, F.explode(F.array_distinct(terms(F.coalesce(text, F.lit(""))))).alias("word")).where(F.length("word") > 1)
+
+
+def bm25(index: DataFrame, words: DataFrame, *, docs: int, k: int = 400, k1: float = 1.2, b: float = 0.75, key: str = "doc_id", query: str = "query_id") -> DataFrame:
+    """(query, key, score, rank): for each query the `k` best documents that hold, for each of its `words` (query, word), a term
+    with that prefix. `index` has the postings of all `docs` documents.
+
+    The vocabulary meets the words by their prefixes. A query's documents are those of its rarest word; its other words are
+    looked up for these alone."""
+    words = checkpointed(words.select(query, "word").distinct())
+    index = index.select("term", key, "tf", "length")
+    total = index.agg(F.sum("tf").alias("t")).first()["t"] or 0
+    vocabulary = index.groupBy("term").agg(F.count("*").alias("n"))
+    sizes = [r["n"] for r in words.select(F.length("word").alias("n")).distinct().collect()]  # lengths of words: a few numbers
+    prefix = F.explode(F.transform(F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: n <= F.length("term")), lambda n: F.substring(F.col("term"), F.lit(1), n)))
+    wanted = vocabulary.select("term", "n", prefix.alias("word")).join(words.select("word").distinct(), "word")
+    wanted = checkpointed(wanted) if sizes else wanted.limit(0)
+    each = index.join(wanted.select("term", "word"), "term")
+    hits = checkpointed(each.groupBy("word", key, "length").agg(F.sum("tf").alias("tf")))
+    df = checkpointed(hits.groupBy("word").agg(F.count("*").alias("n")))
+    idf = F.greatest(F.log((docs - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
+    mean = total / max(1, docs)
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
+    scored = hits.join(df, "word").select("word", key, part.alias("part"))
+    ranked = words.join(df, "word", "left")
+    each_query = ranked.groupBy(query).agg(F.count("*").alias("words"), F.count("n").alias("found"), F.min_by("word", F.struct("n", "word")).alias("lead")).where("words = found")
+    candidates = scored.select(F.col("word").alias("lead"), key).join(each_query.select(query, "lead"), "lead").drop("lead")
+    pairs = candidates.join(words, query).join(scored, ["word", key])
+    out = pairs.groupBy(query, key).agg(F.count("*").alias("hits"), F.sum("part").alias("score")).join(each_query.select(query, "words"), query).where("hits = words")
+    best = F.row_number().over(Window.partitionBy(query).orderBy(F.round("score", 9).desc(), key))
+    return out.select(query, key, "score", best.alias("rank")).where(F.col("rank") <= k)
+
+
+def hybrid(text_hits: DataFrame, vector_hits: DataFrame, *, k: int = 400, floor: float = 0.2, least: float = 0.55, key: str = "doc_id", query: str = "query_id") -> DataFrame:
+    """Per query, text hits by rank (1.2 down to 0.8) and vector hits by relative score (kept from `least`); the better one
+    counts. Both inputs are ranked lists of bounded length for each query."""
+    w = Window.partitionBy(query).orderBy(F.round("score", 9).desc(), F.col(key))
+    whole = Window.partitionBy(query)
+    t = text_hits.select(query, key, (1.2 - 0.4 * (F.row_number().over(w) - 1) / F.count("*").over(whole)).alias("t"))
     v = vector_hits.where(F.col("score") >= floor)
     rel = (F.col("score") - floor) / F.greatest(F.lit(0.05), F.max("score").over(whole) - floor)
-    v = v.select(key, rel.alias("v")).where(F.col("v") >= least)
-    both = t.join(v, key, "full_outer").select(key, F.greatest(F.coalesce("t", F.lit(0.0)), F.coalesce("v", F.lit(0.0))).alias("score"))
-    return both.orderBy(F.col("score").desc(), key).limit(k)
+    v = v.select(query, key, rel.alias("v")).where(F.col("v") >= least)
+    both = t.join(v, [query, key], "full_outer").select(query, key, F.greatest(F.coalesce("t", F.lit(0.0)), F.coalesce("v", F.lit(0.0))).alias("score"))
+    best = F.row_number().over(Window.partitionBy(query).orderBy(F.round("score", 9).desc(), key))
+    return both.withColumn("rank", best).where(F.col("rank") <= k).drop("rank")
 
 
 def search_document(df: DataFrame, people: DataFrame, labels: DataFrame, *, key: str = "asset_id") -> DataFrame:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lightframe.functions.vectors import dot, normalised
+from lightframe.operators.graph import checkpointed
+from lightframe.operators.skew import meet
 
 
 def top_per_key(df: DataFrame, *by: str, k: int, order: list[Column]) -> DataFrame:
@@ -21,9 +27,15 @@ def search(df: DataFrame, query: list[float], *, k: int = 400, least: float = -1
 
 
 def similar(df: DataFrame, queries: DataFrame, *, k: int = 60, least: float = 0.7, key: str = "vec_id", emb: str = "embedding") -> DataFrame:
-    """For each of a stated, bounded set of query rows the most similar other rows; the queries are broadcast."""
+    """For each of a stated set of query rows the most similar other rows; the queries meet all rows in broadcast blocks."""
+    return search_all(df, queries, k=k, least=least, key=key, emb=emb, other=True)
+
+
+def search_all(df: DataFrame, queries: DataFrame, *, k: int = 400, least: float = -1.0, key: str = "vec_id", emb: str = "embedding", other: bool = False) -> DataFrame:
+    """`search` for each row of a stated set of query rows (with `other`, without the query's own row)."""
     q = queries.select(F.col(key).alias("query_id"), F.col(emb).alias("__q"))
-    pairs = df.select(key, emb).join(F.broadcast(q), F.col(key) != F.col("query_id")).select("query_id", key, dot(F.col(emb), F.col("__q")).alias("score")).where(F.col("score") >= least)
+    met = meet(df.select(key, emb), q, "query_id", F.col(key) != F.col("query_id") if other else None)
+    pairs = met.select("query_id", key, dot(F.col(emb), F.col("__q")).alias("score")).where(F.col("score") >= least)
     return top_per_key(pairs, "query_id", k=k, order=[F.col("score").desc(), F.col(key)]).select("query_id", key, "score")
 
 
@@ -35,20 +47,64 @@ def centroids(df: DataFrame, by: str, *, emb: str = "embedding") -> DataFrame:
     return whole.select(by, normalised(F.transform("v", lambda e: e["s"])).alias("centroid"), "n")
 
 
+def running_mean(df: DataFrame, by: str, *, memory: int = 50, key: str = "vec_id", emb: str = "embedding", start: DataFrame | None = None) -> DataFrame:
+    """Per group, members taken in order of key: the mean moves by (c * min(n, memory) + v), to length one; centroid, n. `start`
+    (by, centroid, n) says where groups begin; others begin with their first member.
+
+    Groups are streamed in order; what a task holds is one centroid and one batch."""
+    kind = df.schema[by].dataType.simpleString()
+    rows = df.where(F.col(by).isNotNull() & F.col(emb).isNotNull()).select(F.col(by).alias("g"), F.lit(1).alias("later"), F.col(key).alias("k"), F.col(emb).cast("array<double>").alias("v"), F.lit(1).cast("long").alias("n"))
+    if start is not None:
+        rows = rows.unionByName(start.select(F.col(by).alias("g"), F.lit(0).alias("later"), F.lit(None).cast(df.schema[key].dataType).alias("k"), F.col("centroid").cast("array<double>").alias("v"), F.col("n").cast("long").alias("n")))
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = mean = None
+        n = 0
+        for pdf in frames:
+            out = []
+            for g, later, _, v, weight in pdf.itertuples(index=False, name=None):
+                v = np.asarray(v, float)
+                if g != at:
+                    if at is not None:
+                        out.append((at, mean, n))
+                    at, mean, n = g, v, int(weight)
+                else:
+                    mean = mean * min(n, memory) + v
+                    mean = mean / (np.linalg.norm(mean) or 1.0)
+                    n += 1
+            yield pd.DataFrame(out, columns=[by, "centroid", "n"])
+        if at is not None:
+            yield pd.DataFrame([(at, mean, n)], columns=[by, "centroid", "n"])
+
+    dealt = rows.repartition("g").sortWithinPartitions("g", "later", "k")
+    return dealt.mapInPandas(fold, f"{by} {kind}, centroid array<double>, n long")
+
+
 def assign(df: DataFrame, centres: DataFrame, *, least: float = 0.55, key: str = "vec_id", emb: str = "embedding", centre: str = "label") -> DataFrame:
-    """The best centre of each row if its cosine is over `least`; others are loose (null). Centres are a small table."""
+    """The best centre of each row if its cosine is over `least`; others are loose (null). Centres meet rows in blocks."""
     c = centres.select(F.col(centre).alias("__c"), F.col("centroid").alias("__v"))
-    scored = df.select(key, emb).join(F.broadcast(c)).select(key, "__c", dot(F.col(emb), F.col("__v")).alias("score"))
+    scored = meet(df.select(key, emb), c, "__c").select(key, "__c", dot(F.col(emb), F.col("__v")).alias("score"))
     best = scored.groupBy(key).agg(F.max(F.struct("score", (-F.col("__c")).alias("m"))).alias("b"))
     return best.select(key, F.when(F.col("b.score") > least, -F.col("b.m")).alias("cluster"), F.col("b.score").alias("score"))
 
 
+def loose_mates(loose: DataFrame, *, found: float = 0.62, key: str = "vec_id", emb: str = "embedding") -> DataFrame:
+    """Pairs (a, b, score), a < b, of unassigned rows that are each other's best mate, over `found`. Ties go to the lowest
+    key. The rows meet each other in blocks; each row keeps its best mate as it goes."""
+    rows = checkpointed(loose.select(key, emb))
+    other = rows.select(F.col(key).alias("__k"), F.col(emb).alias("__v"))
+    scored = meet(rows, other, "__k", F.col(key) != F.col("__k")).select(key, "__k", dot(F.col(emb), F.col("__v")).alias("s")).where(F.col("s") > found)
+    best = checkpointed(scored.groupBy(key).agg(F.max(F.struct("s", (-F.col("__k")).alias("m"))).alias("b")).select(F.col(key).alias("a"), (-F.col("b.m")).alias("b"), F.col("b.s").alias("score")))
+    back = best.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    return best.join(back, ["a", "b"]).where("a < b").select("a", "b", "score")
+
+
 def merge_suggestions(centres: DataFrame, refused: DataFrame, *, least: float = 0.40, k: int = 40) -> DataFrame:
     """Pairs of clusters that may be one: (id, named, n, centroid), named or bigger first. Pairs answered no, and pairs
     of two named ones, are left out; the best `k` by score."""
     a = centres.select(*(F.col(c).alias(f"{c}_a") for c in ("id", "named", "n", "centroid")))
     b = centres.select(*(F.col(c).alias(f"{c}_b") for c in ("id", "named", "n", "centroid")))
-    pairs = a.join(F.broadcast(b), (F.col("id_a") < F.col("id_b")) & ~(F.col("named_a") & F.col("named_b")))
+    pairs = meet(a, b, "id_b", (F.col("id_a") < F.col("id_b")) & ~(F.col("named_a") & F.col("named_b")))
     pairs = pairs.withColumn("score", dot(F.col("centroid_a"), F.col("centroid_b"))).where(F.col("score") >= least)
     pairs = pairs.join(refused.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")), ["id_a", "id_b"], "left_anti")
     swap = (F.col("named_b") & ~F.col("named_a")) | ((F.col("named_a") == F.col("named_b")) & (F.col("n_b") > F.col("n_a")))
@@ -59,7 +115,7 @@ def merge_suggestions(centres: DataFrame, refused: DataFrame, *, least: float =
 def zero_shot(df: DataFrame, prompts: DataFrame, *, scale: float = 100.0, least: float = 0.3, k: int = 3, key: str = "vec_id", emb: str = "embedding") -> DataFrame:
     """Labels by prompts (category, emb): best cosine per category, softmax over categories, the top `k` over `least`."""
     p = prompts.select("category", F.col("emb").alias("__p"))
-    best = df.select(key, emb).join(F.broadcast(p)).groupBy(key, "category").agg(F.max(dot(F.col(emb), F.col("__p"))).alias("s"))
+    best = meet(df.select(key, emb), p, "category").groupBy(key, "category").agg(F.max(dot(F.col(emb), F.col("__p"))).alias("s"))
     row = Window.partitionBy(key)
     e = F.exp((F.col("s") - F.max("s").over(row)) * scale)
     soft = best.withColumn("e", e).withColumn("score", F.col("e") / F.sum("e").over(row)).where(F.col("score") >= least)
@@ -69,7 +125,7 @@ def zero_shot(df: DataFrame, prompts: DataFrame, *, scale: float = 100.0, least:
 def bad_share(df: DataFrame, prompts: DataFrame, *, scale: float = 100.0, key: str = "vec_id", emb: str = "embedding") -> DataFrame:
     """Softmax mass that falls on the prompts marked bad."""
     p = prompts.select("is_bad", F.col("emb").alias("__p"))
-    s = df.select(key, emb).join(F.broadcast(p)).select(key, "is_bad", dot(F.col(emb), F.col("__p")).alias("s"))
+    s = meet(df.select(key, emb), p, "__p").select(key, "is_bad", dot(F.col(emb), F.col("__p")).alias("s"))
     top = F.max("s").over(Window.partitionBy(key))
     e = s.withColumn("e", F.exp((F.col("s") - top) * scale))
     return e.groupBy(key).agg((F.sum(F.when(F.col("is_bad"), F.col("e")).otherwise(0.0)) / F.sum("e")).alias("bad"))

@@ -14,6 +14,12 @@ from lightframe.sources.adapters import assets, files, table
 V = "NOT hidden AND NOT missing AND NOT trashed"
 
 
+def _sig(key: str) -> str:
+    """SQL of the signature of a group of keys."""
+    part = lambda i: f"sum(('0x' || substr(md5({key}::VARCHAR), {i}, 8))::BIGINT)::BIGINT"
+    return f"count(*) || ':' || min({key}) || ':' || {part(1)} || ':' || {part(9)}"
+
+
 @query("SELECT min(doc_id) AS group_id, count(*) AS n FROM documents GROUP BY sha256(text) HAVING count(*) > 1")
 def exact_dups(spark, d):
     rows = files(spark, d).withColumn("qhash", F.sha2(F.encode("content", "UTF-8"), 256))
@@ -33,16 +39,16 @@ def _burst_rows(spark, d):
 
 
 BURST = A + f""", v AS (SELECT *, epoch_us(taken_at) // 1000 AS ms FROM assets WHERE {V}),
-p AS (SELECT a.asset_id AS a, b.asset_id AS b, a.phash = b.phash AS same, row_number() OVER (PARTITION BY a.asset_id ORDER BY b.ms, b.asset_id) AS r,
+p AS (SELECT a.asset_id AS a, b.asset_id AS b, 
   bit_count(xor(('0x' || substr(a.phash, 1, 8))::BIGINT, ('0x' || substr(b.phash, 1, 8))::BIGINT)) + bit_count(xor(('0x' || substr(a.phash, 9, 8))::BIGINT, ('0x' || substr(b.phash, 9, 8))::BIGINT)) AS bits
   FROM v a JOIN v b ON b.ms BETWEEN a.ms AND a.ms + 20000 AND (b.ms > a.ms OR b.asset_id > a.asset_id)),
-pairs AS (SELECT a, b, bits::BIGINT AS bits FROM p WHERE r <= 39 AND bits <= 14)
+pairs AS (SELECT a, b, bits::BIGINT AS bits FROM p WHERE bits <= 14)
 """
 
 
 @query(BURST + "SELECT * FROM pairs")
 def burst_pairs(spark, d):
-    """All pairs of photos of like hash within 20 s. The feature looks at 39 successors (`successors`); its SQL still does."""
+    """All pairs of photos of like hash within 20 s. The feature looks at 39 successors only, which `successors` gives."""
     return D.burst_pairs(_burst_rows(spark, d), successors=None).select("a", "b", F.col("bits").cast("long").alias("bits"))
 
 
@@ -54,13 +60,13 @@ def components(spark, d):
 
 @query("WITH RECURSIVE " + BURST.removeprefix("WITH ") + """, e AS (SELECT a AS u, b AS v FROM pairs UNION SELECT b, a FROM pairs),
   reach(node, other) AS (SELECT u, u FROM e UNION SELECT reach.node, e.v FROM reach JOIN e ON e.u = reach.other), c AS (SELECT node, min(other) AS component FROM reach GROUP BY node)
-  SELECT component, count(*) AS n, string_agg(node::VARCHAR, ',' ORDER BY node) AS signature, arg_max(asset_id, (1000 * favorite::INTEGER + 100 * quality + 1.2, -asset_id)) AS keep_id,
-    (sum(size) - arg_max(size, (1000 * favorite::INTEGER + 100 * quality + 1.2, -asset_id)))::BIGINT AS reclaimable FROM c JOIN assets ON asset_id = node GROUP BY component HAVING count(*) <= 60""")
+  SELECT component, count(*) AS n, """ + _sig("node") + """ AS signature, arg_max(asset_id, (1000 * favorite::INTEGER + 100 * quality + 1.2, -asset_id)) AS keep_id,
+    (sum(size) - arg_max(size, (1000 * favorite::INTEGER + 100 * quality + 1.2, -asset_id)))::BIGINT AS reclaimable FROM c JOIN assets ON asset_id = node GROUP BY component""")
 def keeper_burst(spark, d):
-    """Burst groups of any size with keeper, signature and bytes to reclaim; the feature, and the SQL, leave out those of over 60."""
+    """Burst groups of any size with keeper, signature and bytes to reclaim; the feature leaves out those of over 60."""
     rows = _burst_rows(spark, d)
     of = rows.join(connected(D.burst_pairs(rows, successors=None)), F.col("asset_id") == F.col("node")).withColumn("in_album", F.lit(False))
-    return D.groups(of, "component", score=D.keep_score("burst"))
+    return D.groups(of, "component", score=D.keep_score("burst")).drop("group_id")
 
 
 _EXACT = """WITH f AS (SELECT doc_id, sha256(text) AS h, source AS rel_dir, n_chars AS size, doc_id % 11 = 0 AS favorite, doc_id % 7 = 0 AS in_album,
@@ -69,7 +75,7 @@ s AS (SELECT *, 100 * favorite::INTEGER + 50 * in_album::INTEGER + 5 * (doc_id %
 """
 
 
-@query(_EXACT + """SELECT min(doc_id) AS group_id, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS signature, arg_max(doc_id, (score, -doc_id)) AS keep_id, (sum(size) - arg_max(size, (score, -doc_id)))::BIGINT AS reclaimable
+@query(_EXACT + """SELECT min(doc_id) AS group_id, count(*) AS n, """ + _sig("doc_id") + """ AS signature, arg_max(doc_id, (score, -doc_id)) AS keep_id, (sum(size) - arg_max(size, (score, -doc_id)))::BIGINT AS reclaimable
   FROM s GROUP BY h HAVING count(*) > 1""")
 def keeper_exact(spark, d):
     i = F.col("doc_id")
@@ -78,10 +84,10 @@ def keeper_exact(spark, d):
         F.concat(i.cast("string"), F.when(i % 4 == 0, " copy").otherwise(""), F.lit(".txt")).alias("name"), F.timestamp_millis(i * 1000).alias("added_at"),
     )
     g = D.groups(rows, "h", score=D.keep_score("exact"), key="doc_id").where("n > 1")
-    return g.select(F.split("signature", ",")[0].cast("long").alias("group_id"), "n", "signature", "keep_id", "reclaimable")
+    return g.select("group_id", "n", "signature", "keep_id", "reclaimable")
 
 
-@query(_EXACT + """, g AS (SELECT string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS signature, min(doc_id) AS m, count(*) AS n FROM s GROUP BY h HAVING count(*) > 1) SELECT signature, n FROM g WHERE m % 3 <> 0""")
+@query(_EXACT + """, g AS (SELECT """ + _sig("doc_id") + """ AS signature, min(doc_id) AS m, count(*) AS n FROM s GROUP BY h HAVING count(*) > 1) SELECT signature, n FROM g WHERE m % 3 <> 0""")
 def ignored_groups(spark, d):
     """Groups left when some signatures are ignored."""
     g = keeper_exact(spark, d)
@@ -110,10 +116,11 @@ def word_simhash(spark, d):
     return rows.where("phash is not null")
 
 
-@query(SIM + """, e AS (SELECT f.doc_id, phash, sha256(text) AS digest, unnest(range(4)) AS k FROM f JOIN documents USING (doc_id)), x AS (SELECT *, substr(phash, (k * 4 + 1)::INTEGER, 4) AS band FROM e),
-  g AS (SELECT k, band FROM x GROUP BY ALL HAVING count(*) BETWEEN 2 AND 400), y AS (SELECT x.* FROM x JOIN g USING (k, band)),
-  p AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, (bit_count(xor(('0x' || substr(a.phash, 1, 8))::BIGINT, ('0x' || substr(b.phash, 1, 8))::BIGINT)) + bit_count(xor(('0x' || substr(a.phash, 9, 8))::BIGINT, ('0x' || substr(b.phash, 9, 8))::BIGINT)))::BIGINT AS bits
-    FROM y a JOIN y b ON a.k = b.k AND a.band = b.band AND a.doc_id < b.doc_id AND a.digest <> b.digest) SELECT * FROM p WHERE bits <= 3""")
+@query(SIM.replace("WITH w", "WITH RECURSIVE w") + """, h2 AS (SELECT doc_id, sha256(text) AS digest, ('0x' || substr(phash, 1, 8))::BIGINT AS x, ('0x' || substr(phash, 9, 8))::BIGINT AS y FROM f JOIN documents USING (doc_id)),
+  p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM h2 a JOIN h2 b ON a.digest <> b.digest AND bit_count(xor(a.x, b.x)) + bit_count(xor(a.y, b.y)) <= 3),
+  reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, p.b FROM reach JOIN p ON p.a = reach.b), cl AS (SELECT a, min(b) AS class_id FROM reach GROUP BY a), ln AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+  SELECT cl.a AS doc_id, class_id, coalesce(n, 0) AS n_links FROM cl LEFT JOIN ln ON ln.a = cl.a""")
 def near_dup_pairs(spark, d):
+    """Near-duplicates by word simhash: each document's class and the number of its links."""
     rows = table(spark, d, "documents").select("doc_id", D.word_simhash(F.col("text")).alias("phash"), F.sha2(F.encode("text", "UTF-8"), 256).alias("qhash"))
-    return D.near_pairs(rows, key="doc_id").select("a", "b", F.col("bits").cast("long").alias("bits"))
+    return D.near_classes(rows, key="doc_id")

@@ -21,15 +21,22 @@ def _vectors(spark, d):
     return table(spark, d, "embeddings")
 
 
-def _first(df, n=1):
-    return df.orderBy("vec_id").limit(n)
+_ASKED = E + """, q AS (SELECT vec_id AS query_id, v AS w FROM e WHERE vec_id % 100 = 0), p AS (SELECT query_id, vec_id, list_dot_product(v, w) AS s FROM e, q)
+"""
 
 
-@query(E + "SELECT vec_id, round(score, 6) AS score FROM (SELECT vec_id, list_dot_product(v, (SELECT v FROM e ORDER BY vec_id LIMIT 1)) AS score FROM e) WHERE score >= 0.1 ORDER BY score DESC, vec_id LIMIT 400")
+@query(_ASKED + "SELECT query_id, vec_id, round(s, 6) AS score FROM p WHERE s >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) <= 400")
 def vector_topk(spark, d):
+    """For every hundredth vector, itself included, the most like it of all rows."""
     e = _vectors(spark, d)
-    q = _first(e).first()["embedding"]  # the query vector is an input
-    return X.search(e, q, least=0.1).select("vec_id", F.round("score", 6).alias("score"))
+    return X.search_all(e, e.where("vec_id % 100 = 0"), least=0.1).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query(E + """, s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) AS s FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 3 = 0 AND b.vec_id % 3 = 0),
+  m AS (SELECT a, arg_max(b, (s, -b)) AS b, max(s) AS s FROM s WHERE s > 0.3 GROUP BY a) SELECT x.a, x.b, round(x.s, 6) AS score FROM m x JOIN m y ON x.b = y.a AND y.b = x.a WHERE x.a < x.b""")
+def loose_mates(spark, d):
+    """Unassigned vectors (a third of all) that are each other's best mate."""
+    return X.loose_mates(_vectors(spark, d).where("vec_id % 3 = 0"), found=0.3).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query(E + """, q AS (SELECT vec_id AS query_id, v AS w FROM e WHERE vec_id % 100 = 0), p AS (SELECT query_id, vec_id, list_dot_product(v, w) AS s FROM e JOIN q ON vec_id <> query_id)
@@ -103,35 +110,57 @@ def geocode(spark, d):
     return G.geocode(points, cities).select("point_id", "city_id", F.round("km", 4).alias("km"))
 
 
-BM25 = """WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM documents),
-n AS (SELECT count(*) AS n, sum(len(t)) / count(*) AS avg FROM t), x AS (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM t), q AS (SELECT unnest(['the', 'and']) AS q),
-h AS (SELECT doc_id, q, count(*) AS tf, max(length) AS length FROM x JOIN q ON starts_with(term, q) GROUP BY ALL), df AS (SELECT q, count(*) AS df FROM h GROUP BY q),
-s AS (SELECT doc_id, count(*) AS hits, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg))) AS score FROM h JOIN df USING (q), n GROUP BY doc_id),
-top AS (SELECT doc_id, score FROM s WHERE hits = 2 ORDER BY score DESC, doc_id LIMIT 400)
+BM25 = """WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(strip_accents(lower(coalesce(text, ''))), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM documents),
+n AS (SELECT count(*) AS n, sum(len(t)) / count(*) AS avg FROM t), x AS (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM t),
+q AS (SELECT doc_id AS query_id, term AS q FROM (SELECT DISTINCT doc_id, term FROM x WHERE doc_id % 100 = 0) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY len(term) DESC, term) <= 2),
+qs AS (SELECT query_id, q FROM q WHERE len(q) > 1), h AS (SELECT doc_id, q, count(*) AS tf, max(length) AS length FROM x JOIN (SELECT DISTINCT q FROM qs) ON starts_with(term, q) GROUP BY ALL),
+df AS (SELECT q, count(*) AS df FROM h GROUP BY q), s AS (SELECT query_id, doc_id, count(*) AS hits, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg))) AS score
+  FROM qs JOIN h USING (q) JOIN df USING (q), n GROUP BY ALL), w AS (SELECT query_id, count(*) AS words FROM qs GROUP BY 1),
+top AS (SELECT query_id, doc_id, score FROM s JOIN w USING (query_id) WHERE hits = words QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= 400)
 """
 
 
-def _index(spark, d):
-    index = T.postings(table(spark, d, "documents"))
-    n = table(spark, d, "documents").select(F.size(T.terms(F.coalesce("text", F.lit("")))).alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).first()
-    return index, n["docs"], n["mean"]
+def _text_hits(spark, d):
+    """Every hundredth document asks for its two longest words."""
+    from lightframe.operators.graph import checkpointed
+
+    docs = table(spark, d, "documents")
+    index = checkpointed(T.postings(docs))
+    longest = F.slice(F.array_sort(F.transform(F.array_distinct(T.terms(F.coalesce("text", F.lit("")))), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), 1, 2)
+    words = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.explode(longest).alias("x")).select("query_id", F.col("x.t").alias("word")).where(F.length("word") > 1)
+    return T.bm25(index, words, docs=docs.count())
 
 
-@query(BM25 + "SELECT doc_id, round(score, 9) AS score FROM top")
+@query(BM25 + "SELECT query_id, doc_id, round(score, 6) AS score FROM top")
 def bm25_search(spark, d):
-    """Two prefixes over all documents; the feature reports four hundred."""
-    index, docs, mean = _index(spark, d)
-    return T.bm25(index, "The AND", docs=docs, mean_length=mean).select("doc_id", F.round("score", 9).alias("score"))
+    """The four hundred best documents for each query, of an index that is built once for all of them."""
+    return _text_hits(spark, d).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
-@query(BM25 + """, e AS (SELECT vec_id AS doc_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), vs AS (SELECT doc_id, list_dot_product(v, (SELECT v FROM e ORDER BY doc_id LIMIT 1)) AS score FROM e),
-  v AS (SELECT doc_id, (score - 0.2) / greatest(0.05, max(score) OVER () - 0.2) AS v FROM vs WHERE score >= 0.2), w AS (SELECT * FROM v WHERE v >= 0.1),
-  r AS (SELECT doc_id, 1.2 - 0.4 * (row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) - 1) / count(*) OVER () AS t FROM top)
-  SELECT doc_id, round(greatest(coalesce(t, 0), coalesce(v, 0)), 6) AS score FROM r FULL JOIN w USING (doc_id) ORDER BY round(greatest(coalesce(t, 0), coalesce(v, 0)), 6) DESC, doc_id LIMIT 400""")
+@query(BM25 + """, e AS (SELECT vec_id AS doc_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), vs AS (SELECT a.doc_id AS query_id, b.doc_id, list_dot_product(a.v, b.v) AS score FROM e a, e b WHERE a.doc_id % 100 = 0),
+  vk AS (SELECT * FROM vs WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 400),
+  v AS (SELECT query_id, doc_id, (score - 0.2) / greatest(0.05, max(score) OVER (PARTITION BY query_id) - 0.2) AS v FROM vk), k AS (SELECT * FROM v WHERE v >= 0.1),
+  r AS (SELECT query_id, doc_id, 1.2 - 0.4 * (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) - 1) / count(*) OVER (PARTITION BY query_id) AS t FROM top),
+  b AS (SELECT query_id, doc_id, greatest(coalesce(t, 0), coalesce(v, 0)) AS score FROM r FULL JOIN k USING (query_id, doc_id))
+  SELECT query_id, doc_id, round(score, 6) AS score FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= 400""")
 def hybrid_search(spark, d):
     e = _vectors(spark, d)
-    hits = X.search(e, _first(e).first()["embedding"], least=0.2).select(F.col("vec_id").alias("doc_id"), "score")
-    return T.hybrid(bm25_search(spark, d), hits, least=0.1).select("doc_id", F.round("score", 6).alias("score"))
+    near = X.search_all(e, e.where("vec_id % 100 = 0"), least=0.2).select("query_id", F.col("vec_id").alias("doc_id"), "score")
+    return T.hybrid(_text_hits(spark, d), near, least=0.1).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query("""WITH d AS (SELECT doc_id, 'Škoda foo_bar Őrség ' || CASE doc_id % 4 WHEN 0 THEN 'ÅNGSTRÖM' WHEN 1 THEN 'Čapek' WHEN 2 THEN 'e' || chr(769) || 'toile' ELSE 'Việt Nam' END AS t FROM documents),
+  q AS (SELECT * FROM (VALUES (1, ['skoda']), (2, ['orseg', 'foo', 'bar']), (3, ['angstrom']), (4, ['capek']), (5, ['etoile']), (6, ['viet', 'nam'])) v(query_id, ws)),
+  x AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(strip_accents(lower(t)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS term FROM d)
+  SELECT query_id, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM (SELECT query_id, doc_id FROM q, x WHERE list_contains(ws, term) GROUP BY query_id, doc_id, ws HAVING count(DISTINCT term) = len(ws)) GROUP BY 1""")
+def folded_search(spark, d):
+    """Queries with and without diacritics and signs find the same documents."""
+    i = F.col("doc_id") % 4
+    tail = F.when(i == 0, "ÅNGSTRÖM").when(i == 1, "Čapek").when(i == 2, "e\u0301toile").otherwise("Việt Nam")
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("Škoda foo_bar Őrség "), tail).alias("text"))
+    asked = spark.createDataFrame([(1, "Škoda"), (2, "foo_bar Örség"), (3, "Angstrom"), (4, "ČAPEK"), (5, "Étoile"), (6, "viet-nam")], "query_id int, text string")
+    hits = T.bm25(T.postings(docs), T.query_words(asked), docs=docs.count(), k=1 << 30)
+    return hits.groupBy("query_id").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
 
 @query(A + """SELECT asset_id, trim(regexp_replace(concat_ws(' ', 'IMG ' || asset_id, event_type || ' x', concat_ws(' ', city, country), concat_ws(' ', city, country), concat_ws(' ', city, country), model, day, 'P' || source_id, 'l' || (k % 5)), ' +', ' ', 'g')) AS content FROM assets""")

@@ -45,9 +45,10 @@ def initial_rows(files: DataFrame, *, now: Column) -> DataFrame:
     )
 
 
-def cities(spark: SparkSession, path: str) -> DataFrame:
-    """A place table from JSON of positional arrays: {countries: {cc: name}, cities: [[name, lat, lon, cc, admin, pop]]}."""
-    raw = spark.read.schema("countries map<string,string>, cities array<array<string>>").option("multiLine", True).json(path)
+def cities(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
+    """A place table from JSON of positional arrays: {countries: {cc: name}, cities: [[name, lat, lon, cc, admin, pop]]}, one
+    document a file, or a line."""
+    raw = spark.read.schema("countries map<string,string>, cities array<array<string>>").option("multiLine", multi_line).json(path)
     each = raw.select("countries", F.explode("cities").alias("c"))
     at = lambda i: F.get(F.col("c"), F.lit(i))
     return each.select(at(0).alias("city"), at(1).cast("double").alias("lat"), at(2).cast("double").alias("lon"), at(3).alias("cc"), at(4).alias("admin"), at(5).cast("double").cast("long").alias("population"), F.try_element_at("countries", at(3)).alias("country"))

@@ -10,7 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lightframe.functions.vectors import dot, normalised
+from lightframe.operators import vectors as X
+from lightframe.operators.graph import checkpointed, components
 from lightframe.operators.reconcile import reconcile, vanished_under
+from lightframe.operators.skew import meet
 
 
 def _km(a: tuple[float, float], b: tuple[float, float]) -> float:
@@ -30,7 +34,7 @@ def live_segments(stream: DataFrame, by: str = "source_id", *, key: str = "asset
     def run(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, lat, lon, city, day, seg = state.get if state.exists else (None, None, None, None, None, 0)
         out = []
-        rows = pd.concat(list(frames)).sort_values(["ms", key])
+        rows = pd.concat(list(frames)).sort_values(["ms", key])  # of one key in one micro-batch, which the source's rate bounds
         for r in rows.itertuples(index=False):
             ms, here = int(r.ms), (None if pd.isna(r.lat) or pd.isna(r.lon) else (float(r.lat), float(r.lon)))
             if last is not None and ms < last:
@@ -110,61 +114,44 @@ def live_near(stream: DataFrame, known: DataFrame, *, bits: int = 3, key: str =
 LOOSE_POOL = 40_000
 
 
-def cluster_batch(batch: DataFrame, clusters: DataFrame, loose: DataFrame, *, join: float = 0.55, found: float = 0.62, least_quality: float = 0.3, memory: int = 50, next_id: int = 0) -> tuple[DataFrame, DataFrame]:
-    """One micro-batch of clustering: (clusters, loose) after it.
+def cluster_batch(batch: DataFrame, clusters: DataFrame, loose: DataFrame, *, join: float = 0.55, found: float = 0.62, merge: float = 0.72, least_quality: float = 0.3, memory: int = 50, pool: int = LOOSE_POOL) -> tuple[DataFrame, DataFrame]:
+    """One micro-batch of clustering: (clusters, loose) after it. Clusters have id, centroid, n and, where they have one, name.
 
     Vectors (id, emb of length one, quality) over `join` to the best centroid of the snapshot join it; its centroid moves
-    by a running mean that remembers `memory` members at most, in order of id. Of what is left, pairs that are each other's
-    best mate over `found` make clusters. Others stay loose, the newest LOOSE_POOL of them. Unlike one-by-one clustering, all
-    of a batch meets the snapshot; vectors under `least_quality` never join. Centroids (id, centroid, n) are a small table."""
-    spark = batch.sparkSession
-    centres = clusters.toPandas()  # a dimension: one row a cluster
-    ids, mat = centres["id"].tolist(), np.array(centres["centroid"].tolist(), float)
-
-    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            if not len(pdf):
-                continue
-            e = np.array(pdf["emb"].tolist(), float)
-            if len(ids):
-                s = e @ mat.T
-                best = s.argmax(axis=1)
-                hit = (s[np.arange(len(e)), best] > join) & (pdf["quality"].to_numpy() >= least_quality)
-                cluster = [ids[b] if ok else None for b, ok in zip(best, hit, strict=True)]
-            else:
-                cluster = [None] * len(pdf)
-            yield pdf.assign(cluster=pd.array(cluster, dtype="Int64"))
-
-    given = batch.select("id", "emb", "quality").mapInPandas(assign, "id long, emb array<double>, quality double, cluster long").persist()
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        c, n = np.array(pdf["centroid"].iloc[0], float), int(pdf["n"].iloc[0])
-        for v in pdf.sort_values("id")["emb"]:
-            w = min(n, memory)
-            c = (c * w + np.asarray(v)) / (w + 1)
-            c /= np.linalg.norm(c) or 1.0
-            n += 1
-        return pd.DataFrame({"id": [pdf["cluster"].iloc[0]], "centroid": [c], "n": [n]})
-
-    joined = given.where("cluster is not null").join(F.broadcast(clusters.select(F.col("id").alias("cluster"), "centroid", "n")), "cluster")
-    moved = joined.groupBy("cluster").applyInPandas(fold, "id long, centroid array<double>, n long")
-    kept = clusters.join(moved.select("id"), "id", "left_anti").select("id", "centroid", "n").unionByName(moved)
-
-    free = given.where("cluster is null").select("id", "emb", "quality").unionByName(loose.select("id", "emb", "quality")).orderBy(F.col("id").desc()).limit(LOOSE_POOL)
-    pool = free.where(F.col("quality") >= least_quality).toPandas()  # bounded by LOOSE_POOL
-    made, used, e = [], set(), np.array(pool["emb"].tolist(), float)
-    mate, score = np.full(len(pool), -1), np.full(len(pool), -1.0)
-    for i in range(0, len(pool), 1024):
-        s = e[i : i + 1024] @ e.T
-        s[np.arange(len(s)), np.arange(i, i + len(s))] = -1
-        mate[i : i + 1024], score[i : i + 1024] = s.argmax(axis=1), s.max(axis=1)
-    for i in range(len(pool)):
-        j = int(mate[i])
-        if i < j and mate[j] == i and score[i] > found:
-            c = e[i] + e[j]
-            made.append((next_id + len(made), (c / np.linalg.norm(c)).tolist(), 2))
-            used |= {int(pool["id"].iloc[i]), int(pool["id"].iloc[j])}
-    if made:
-        kept = kept.unionByName(spark.createDataFrame(made, "id long, centroid array<double>, n long"))
-        free = free.join(spark.createDataFrame([(u,) for u in used], "id long"), "id", "left_anti")
-    return kept, free
+    by a running mean that remembers `memory` members at most, in order of id. Of all that is left, in the batch and the
+    pool, pairs that are each other's best mate over `found` make clusters, named by their lower id. Then clusters over `merge`
+    of each other become one, unless both have names. Only what is still loose is trimmed to the newest `pool`, as the
+    feature has it. Vectors under `least_quality` never join and are not held. Unlike one-by-one clustering, all of a batch
+    meets the snapshot."""
+    name = F.col("name") if "name" in clusters.columns else F.lit(None).cast("string")
+    known = checkpointed(clusters.select("id", F.col("centroid").cast("array<double>").alias("centroid"), F.col("n").cast("long").alias("n"), name.alias("name")))
+    given = batch.where(F.col("quality") >= least_quality).select("id", F.col("emb").cast("array<double>").alias("emb"), F.col("quality").cast("double").alias("quality"))
+    if known.limit(1).count():
+        best = X.assign(given, known, least=join, key="id", emb="emb", centre="id").select("id", "cluster")
+        given = checkpointed(given.join(best, "id"))
+    else:
+        given = checkpointed(given.withColumn("cluster", F.lit(None).cast("long")))
+    hit = given.where("cluster is not null")
+    touched = known.join(hit.select(F.col("cluster").alias("id")).distinct(), "id", "left_semi")
+    moved = X.running_mean(hit.select(F.col("cluster").alias("id"), F.col("id").alias("key"), "emb"), "id", memory=memory, key="key", emb="emb", start=touched).join(known.select("id", "name"), "id")
+    kept = known.join(touched.select("id"), "id", "left_anti").unionByName(moved.select("id", "centroid", "n", "name"))
+
+    free = checkpointed(given.where("cluster is null").select("id", "emb", "quality").unionByName(loose.where(F.col("quality") >= least_quality).select("id", F.col("emb").cast("array<double>").alias("emb"), F.col("quality").cast("double").alias("quality"))))
+    pairs = checkpointed(X.loose_mates(free, found=found, key="id", emb="emb"))
+    a, b = (free.select(F.col("id").alias(x), F.col("emb").alias(f"emb_{x}")) for x in "ab")
+    made = pairs.join(a, "a").join(b, "b").select(F.col("a").alias("id"), normalised(F.zip_with("emb_a", "emb_b", lambda x, y: x + y)).alias("centroid"), F.lit(2).cast("long").alias("n"), F.lit(None).cast("string").alias("name"))
+    rest = free.join(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id", "left_anti").orderBy(F.col("id").desc()).limit(pool)
+    return merged_clusters(kept.unionByName(made), least=merge), rest
+
+
+def merged_clusters(clusters: DataFrame, *, least: float = 0.72) -> DataFrame:
+    """Clusters (id, centroid, n, name) over `least` of each other become one: components over pairs with an unnamed end. It gets the
+    lowest id, the mean by members and, of the names, the one of most members."""
+    c = checkpointed(clusters)
+    x, y = (c.select(*(F.col(k).alias(f"{k}_{s}") for k in ("id", "centroid", "name"))) for s in "ab")
+    near = meet(x, y, "id_b", (F.col("id_a") < F.col("id_b")) & (F.col("name_a").isNull() | F.col("name_b").isNull()))
+    edges = near.where(dot(F.col("centroid_a"), F.col("centroid_b")) >= least).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    of = c.join(components(edges), F.col("id") == F.col("node"), "left").withColumn("into", F.coalesce("component", "id"))
+    sums = of.select("into", "n", F.posexplode("centroid").alias("i", "x")).groupBy("into", "i").agg(F.sum(F.col("x") * F.col("n")).alias("s"))
+    mean = sums.groupBy("into").agg(normalised(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda e: e["s"])).alias("centroid"))  # one row a dimension
+    return of.groupBy("into").agg(F.sum("n").alias("n"), F.max_by("name", F.when(F.col("name").isNotNull(), F.struct("n", (-F.col("id")).alias("k")))).alias("name")).join(mean, "into").select(F.col("into").alias("id"), "centroid", "n", "name")
