@@ -1,4 +1,4 @@
-"""Every query with SQL gives DuckDB's rows; every other one gives rows."""
+"""Every query with SQL gives DuckDB's rows."""
 
 from __future__ import annotations
 
@@ -38,9 +38,10 @@ def test_matches_sql(spark, duck, sf_dir, name):
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in cur.fetchall()), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_runs(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() >= 0
+def test_others_are_held_against_loops():
+    """Queries without SQL have a test of their values in test_jobs."""
+    held = {"cleanup_report", "moments_plan", "memory_proposals", "slideshow_plan", "live_moments", "merged_moments", "mmr_select", "keeper_reasons", "cluster_stream"}
+    assert set(QUERIES) - set(ORACLES) == held
 
 
 def test_entry(spark):
