@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,6 +20,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the folder that the cluster shares; a local one only in local mode."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or ("file://" + tempfile.mkdtemp(prefix="spark-") if sc.master.startswith("local") else None)
+    if root is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def components(edges: DataFrame, *, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node with an edge; a component is named by its smallest node.
 

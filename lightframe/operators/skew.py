@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: No key with fewer rows counts as hot.
-LEAST_HOT = 256
+LEAST_HOT = 1024
 #: Rows of a query set, or of a small side joined to every row, that are broadcast at once.
 BLOCK_ROWS = 4096
 
 
 def hot_keys(counts: DataFrame, on: list[str], power: int = 1) -> DataFrame | None:
-    """Of keys with their rows (on, n) those whose n ** power is over a quarter of a task's share, with the number of tasks
+    """Of keys with their rows (on, n; a written table) those whose n ** power is over a quarter of a task's share, with the number of tasks
     (`__parts`) that they are dealt over; None where there are none. There are at most four a task, so they are broadcast."""
     work = F.pow(F.col("n").cast("double"), F.lit(power))
     total = counts.agg(F.sum(work).alias("work"), F.max("n").alias("most")).first()
@@ -24,10 +24,9 @@ def hot_keys(counts: DataFrame, on: list[str], power: int = 1) -> DataFrame | No
     return F.broadcast(counts.where(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).cast("int").alias("__parts")))
 
 
-def spread_join(large: DataFrame, small: DataFrame, on: list[str], counts: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
-    """`large` joined to `small`, which has a row for each key. Hot keys of `counts` (on, n: rows of `large`; a written table)
-    are dealt over several tasks by the hash of `by`, and their row of `small` goes to each of them."""
-    hot = hot_keys(counts, on)
+def spread_join(large: DataFrame, small: DataFrame, on: list[str], hot: DataFrame | None, by: list[str], how: str = "inner") -> DataFrame:
+    """`large` joined to `small`, which has a row for each key. The keys in `hot` (see `hot_keys`) are dealt over several tasks by
+    the hash of `by`, and their row of `small` goes to each of them."""
     if hot is None:
         return large.join(small, on, how)
     parts = F.coalesce("__parts", F.lit(1))

@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lightframe.functions.filters import visible
 from lightframe.operators import vectors as X
+from lightframe.operators.graph import shared_folder
 from lightframe.plans.registry import query
 from lightframe.sources import export as E
 from lightframe.sources.adapters import ASSETS_SQL as A
 from lightframe.sources.adapters import assets, table
 from lightframe.streaming import live as L
 
-V = "NOT hidden AND NOT missing AND NOT trashed"
-
-
-def _new_folder(spark: SparkSession, tag: str) -> str:
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or ("file://" + tempfile.mkdtemp(prefix="spark-") if sc.master.startswith("local") else None)
-    if root is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -45,7 +33,7 @@ def live_moments(spark, d) -> DataFrame:
         F.col("event_id").alias("asset_id"), F.col("user_id").alias("source_id"), F.col("ts").cast("timestamp").alias("taken_at"), F.date_format("ts", "yyyy-MM-dd").alias("day"),
         F.when(k % 3 != 0, F.concat(F.lit("C"), (k % 5).cast("string"))).alias("city"), F.when(k % 3 != 0, F.lit(40.0) + (k % 5) * F.lit(0.1)).alias("lat"), F.when(k % 3 != 0, (k % 7) * F.lit(0.1)).alias("lon"),
     )
-    return _through(L.live_segments(rows), _new_folder(spark, "live"))
+    return _through(L.live_segments(rows), shared_folder(spark))
 
 
 @query("""WITH e AS (SELECT o_orderkey AS seq, 'g' || (o_custkey % 20) || '/f' || (o_orderkey % 200) AS path, o_custkey % 2 + o_orderkey % 3 AS size, o_orderkey % 5 AS mtime, o_orderstatus = 'F' AS gone FROM orders
@@ -65,7 +53,7 @@ def change_feed(spark, d) -> DataFrame:
     o = F.col("o_orderkey")
     feed = _stream(spark, d, "orders").select(path(F.col("o_custkey"), o).alias("path"), (F.col("o_custkey") % 2 + o % 3).alias("size"), (o % 5).alias("mtime"), (F.col("o_orderstatus") == "F").alias("gone"), o.alias("seq"))
     folders = table(spark, d, "customer").where("c_custkey % 20 = 3 and c_custkey < 20").select(F.concat(F.lit("g"), F.col("c_custkey").cast("string")).alias("path"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("mtime"), F.lit(True).alias("gone"), (F.col("c_custkey") + 10_000_000).alias("seq"))
-    base = _new_folder(spark, "feed")
+    base = shared_folder(spark)
     # an action table keyed by batch: a batch that runs again overwrites its own
     number: list[int] = []
     apply = L.change_batches(lambda: catalogue, lambda actions: actions.write.mode("overwrite").parquet(f"{base}/out/batch={number[-1]}"))
@@ -93,7 +81,7 @@ def staged_work(spark, d) -> DataFrame:
 def live_exact(spark, d) -> DataFrame:
     """First arrivals of each digest, from a stream that is read once."""
     e = _stream(spark, d, "events").select(F.col("ts").cast("timestamp").alias("taken_at"), F.concat_ws(":", "event_type", F.floor("value").cast("string")).alias("digest"))
-    return _through(L.live_exact(e, digest="digest", delay="60 days").select("digest"), _new_folder(spark, "exact"))
+    return _through(L.live_exact(e, digest="digest", delay="60 days").select("digest"), shared_folder(spark))
 
 
 @query("""WITH h AS (SELECT event_id, substr(md5((event_id // 2)::VARCHAR), 1, 15) || (event_id % 2 * 7) AS phash FROM events), x AS (SELECT *, ('0x' || substr(phash, 1, 8))::BIGINT AS a, ('0x' || substr(phash, 9, 8))::BIGINT AS b FROM h)
@@ -105,7 +93,7 @@ def live_near(spark, d) -> DataFrame:
     hashed = lambda e: e.select("event_id", F.concat(F.substring(F.md5(F.floor(i / 2).cast("string").cast("binary")), 1, 15), (i % 2 * 7).cast("string")).alias("phash"))
     new = hashed(_stream(spark, d, "events").where("event_id % 4 = 1"))
     known = hashed(table(spark, d, "events").where("event_id % 4 != 1"))
-    return _through(L.live_near(new, known, key="event_id"), _new_folder(spark, "near")).distinct()
+    return _through(L.live_near(new, known, key="event_id"), shared_folder(spark)).distinct()
 
 
 @query("""WITH RECURSIVE e AS (SELECT label, list_transform(embedding, lambda x: x::DOUBLE) AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings),
@@ -136,7 +124,7 @@ def load_cities(spark, d) -> DataFrame:
     city = F.array("s_name", (s % 180 - 90).cast("string"), (s % 360 - 180).cast("string"), F.col("n_nationkey").cast("string"), F.when(s % 3 == 0, F.concat(F.lit("A"), (s % 5).cast("string"))), (s * 10).cast("string"))
     # a document holds a thousand places at most
     each = rows.groupBy("n_nationkey", "n_name", F.floor(s / 1000).alias("part")).agg(F.collect_list(city).alias("cities"))
-    path = f"{_new_folder(spark, 'cities')}/places"
+    path = f"{shared_folder(spark)}/places"
     each.select(F.to_json(F.struct(F.create_map(F.col("n_nationkey").cast("string"), F.col("n_name")).alias("countries"), "cities"), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
     return E.cities(spark, path, multi_line=False).select("city", "country", "cc", "lat", "lon", "admin", "population")
 

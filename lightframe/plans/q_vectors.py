@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lightframe.functions.filters import visible
-from lightframe.functions.vectors import dot
 from lightframe.operators import geo as G
 from lightframe.operators import images as M
 from lightframe.operators import search as T
@@ -165,13 +164,38 @@ def folded_search(spark, d):
 
 @query(A + """SELECT asset_id, trim(regexp_replace(concat_ws(' ', 'IMG ' || asset_id, event_type || ' x', concat_ws(' ', city, country), concat_ws(' ', city, country), concat_ws(' ', city, country), model, day, 'P' || source_id, 'l' || (k % 5)), ' +', ' ', 'g')) AS content FROM assets""")
 def search_document(spark, d):
-    a = assets(spark, d)
+    return _search_texts(assets(spark, d))
+
+
+def _search_texts(a):
     rows = a.withColumns({"name": F.concat(F.lit("IMG_"), F.col("asset_id").cast("string"), F.lit(".jpg")), "rel_dir": F.concat("event_type", F.lit("/x")), "make": F.lit(None).cast("string")})
     people = a.select("asset_id", F.concat(F.lit("P"), F.col("source_id").cast("string")).alias("name"))
     labels = a.select("asset_id", F.concat(F.lit("l"), (F.col("k") % 5).cast("string")).alias("label"))
     return T.search_document(rows, people, labels)
 
 
+_ASSET_TEXT = """trim(regexp_replace(concat_ws(' ', 'IMG ' || asset_id, event_type || ' x', concat_ws(' ', city, country), concat_ws(' ', city, country), concat_ws(' ', city, country), model, day, 'P' || source_id, 'l' || (k % 5)), ' +', ' ', 'g'))"""
+
+
+@query(A + f""", t AS (SELECT asset_id, regexp_split_to_array(lower({_ASSET_TEXT}), '[^a-z0-9]+') AS t FROM assets WHERE NOT hidden AND NOT missing AND NOT trashed),
+  n AS (SELECT count(*) AS n, sum(len(t)) / count(*) AS avg FROM t), x AS (SELECT asset_id, len(t) AS length, unnest(t) AS term FROM t),
+  qs AS (SELECT asset_id AS query_id, unnest([event_type, 'p' || source_id, substr(day, 9, 2)]) AS q FROM assets WHERE asset_id % 100 = 0), h AS (SELECT asset_id, q, count(*) AS tf, max(length) AS length FROM x JOIN (SELECT DISTINCT q FROM qs) ON starts_with(term, q) GROUP BY ALL),
+  df AS (SELECT q, count(*) AS df FROM h GROUP BY q), s AS (SELECT query_id, asset_id, count(*) AS hits, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg))) AS score FROM qs JOIN h USING (q) JOIN df USING (q), n GROUP BY ALL),
+  w AS (SELECT query_id, count(DISTINCT q) AS words FROM qs WHERE len(q) > 1 GROUP BY 1)
+  SELECT query_id, asset_id, round(score, 6) AS score FROM s JOIN w USING (query_id) WHERE hits = words QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, asset_id) <= 400""")
+def asset_search(spark, d):
+    """The catalogue's search texts as a stored index; every hundredth row asks for its type, person and day of the month."""
+    from lightframe.operators.graph import shared_folder
+
+    a = assets(spark, d)
+    shown = a.where(visible())
+    path = f"{shared_folder(spark)}/index"
+    T.write_index(_search_texts(shown), path, key="asset_id", text="content")
+    asked = a.where("asset_id % 100 = 0").select(F.col("asset_id").alias("query_id"), F.concat_ws(" ", "event_type", F.concat(F.lit("P"), F.col("source_id").cast("string")), F.substring("day", 9, 2)).alias("text"))
+    hits = T.bm25(spark.read.parquet(path), T.query_words(asked), docs=shown.count(), key="asset_id")
+    return hits.select("query_id", "asset_id", F.round("score", 6).alias("score"))
+
+
 @query("""WITH b AS (SELECT l_orderkey, l_discount * 10 AS x, l_tax * 10 AS y, l_quantity AS w FROM lineitem WHERE l_tax * 10 >= 0.2)
   SELECT l_orderkey, round(greatest(0.05, least(0.95, sum(w * x) / sum(w))), 6) AS fx, round(greatest(0.05, least(0.95, sum(w * y) / sum(w))), 6) AS fy FROM b GROUP BY 1""")
 def focal_point(spark, d):
