@@ -7,8 +7,8 @@ are the positions (code points, end exclusive).
 
 Entropy: candidate strings are maximal runs of a class (see CLASSES). A window of `window` characters moves over each
 candidate; one step adds the entering character's count and takes off the leaving one's, and the sum of c * log2(c)
-follows by two differences, so a step costs the same however long the window. With S that sum, the entropy of a
-window of w characters is log2(w) - S / w. Windows at or above the class's threshold are joined into spans.
+follows by two differences from a table, so a step costs the same however long the window. Counts are held in a few
+bits each, a dozen to a number. With S that sum, the entropy of a window of w characters is log2(w) - S / w. Windows at or above the class's threshold are joined into spans.
 Candidates that an allow-list pattern matches as a whole (words, paths, dates, fillers) are suppressed, and so are
 spans that lie within a pattern's match. A filler such as `example` doesn't clear the whole of its run: what stands
 before, between and after fillers has to be words, numbers or shorter than a window.
@@ -46,7 +46,8 @@ _FILLER = r"(?i:example|placeholder|changeme|your[_-]?key|xxxx)"
 _BESIDE = "|".join(rf"(?:(?!{_FILLER}){c}(?={_FILLER}|$)" for c in (r"[A-Za-z_=/-])*+", r"[0-9_=/+-])*+", r".){0,19}+"))
 #: A candidate that one of these matches as a whole is no secret.
 ALLOWED = (
-    r"[A-Za-z_=/-]+",  # words, paths and identifiers without digits
+    # words, paths and identifiers without digits; letters of either case without order are none
+    r"(?:(?:[A-Z][a-z])?(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+)|(?<![A-Za-z])[A-Za-z][a-z]?(?![A-Za-z])|[_=/-]++)++",
     r"[0-9_=/+-]+",  # numbers, dates and rules
     rf"(?:(?:{_BESIDE}){_FILLER})++(?:{_BESIDE})",  # fillers, with no room for a secret beside them
 )
@@ -71,26 +72,33 @@ def _spans(kind: str, order: int, found: Column) -> Column:
     return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), m["end"].alias("end")))
 
 
-def _plogp(n: Column) -> Column:
-    return F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
-
-
 def _entropy_runs(candidate: Column, c: CharacterClass) -> Column:
     """Array of (start, end) within the candidate: joined windows whose entropy reaches the threshold."""
-    size = len(c.alphabet) + 1
-    chars = F.transform(F.split(candidate, ""), lambda x: F.instr(F.lit(c.alphabet), x) + 1)
+    bits = c.window.bit_length()
+    each = 63 // bits  # counts in a number
+    numbers = len(c.alphabet) // each + 1
+    # what the sum of c * log2(c) gains when a count of n - 1 becomes n
+    plogp = [n * math.log2(n) if n else 0.0 for n in range(c.window + 2)]
+    gain = F.lit([plogp[n] - plogp[n - 1] for n in range(1, c.window + 2)])
     limit = F.lit(c.window * math.log2(c.window) - c.bits * c.window + 1e-9)  # S <= limit
+    # a character's number, and where its count lies in it; characters beyond the alphabet share a count
+    code = lambda x: F.instr(F.lit(c.alphabet), x)
+    at = lambda k: F.struct(F.floor(k / each).cast("int").alias("number"), (k % each * bits).cast("int").alias("shift"))
+    chars = F.transform(F.split(candidate, ""), lambda x: at(code(x)))
+    nothing = F.struct(F.lit(-1).alias("number"), F.lit(0).alias("shift"))
     begin = F.struct(
-        F.array_repeat(F.lit(0), size).alias("counts"), F.lit(0.0).cast("double").alias("s"), F.lit(0).alias("n"), F.lit(-1).alias("start"), F.lit(-1).alias("end"),
+        F.array_repeat(F.lit(0).cast("long"), numbers).alias("counts"), F.lit(0.0).cast("double").alias("s"), F.lit(0).alias("n"), F.lit(-1).alias("start"), F.lit(-1).alias("end"),
         F.array().cast("array<struct<start:int,end:int>>").alias("out"),
     )
 
     def step(acc: Column, pair: Column) -> Column:
         enter, leave = pair["enter"], pair["leave"]
-        plus = F.element_at(acc["counts"], enter)
-        minus = F.when(leave > 0, F.element_at(acc["counts"], F.greatest(leave, F.lit(1)))) + F.when(enter == leave, 1).otherwise(0)
-        s = acc["s"] + _plogp(plus + 1) - _plogp(plus) + F.coalesce(_plogp(minus - 1) - _plogp(minus), F.lit(0.0))
-        counts = F.transform(acc["counts"], lambda n, i: n + F.when(i + 1 == enter, 1).otherwise(0) - F.when(i + 1 == leave, 1).otherwise(0))
+        count = lambda k: F.call_function("shiftright", F.element_at(acc["counts"], k["number"] + 1), k["shift"]).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+        one = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k["shift"])
+        less = F.when(leave["number"] >= 0, F.element_at(gain, count(leave) + F.when(enter == leave, 1).otherwise(0)))
+        s = acc["s"] + F.element_at(gain, count(enter) + 1) - F.coalesce(less, F.lit(0.0))
+        zero = F.lit(0).cast("long")
+        counts = F.transform(acc["counts"], lambda x, i: x + F.when(i == enter["number"], one(enter)).otherwise(zero) - F.when(i == leave["number"], one(leave)).otherwise(zero))
         n = acc["n"] + 1
         high = (n >= c.window) & (s <= limit)
         joins = high & (acc["end"] >= n - c.window)
@@ -100,7 +108,7 @@ def _entropy_runs(candidate: Column, c: CharacterClass) -> Column:
             F.when(high, n).otherwise(acc["end"]).alias("end"), closed.alias("out"),
         )
 
-    leaving = F.concat(F.array_repeat(F.lit(0), c.window), chars)
+    leaving = F.concat(F.array_repeat(nothing, c.window), chars)
     steps = F.filter(F.arrays_zip(chars.alias("enter"), leaving.alias("leave")), lambda x: x["enter"].isNotNull())
     return F.aggregate(
         steps, begin, step, lambda acc: F.when(acc["start"] >= 0, F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))).otherwise(acc["out"])
