@@ -1,23 +1,28 @@
 """Media columns: a Spark data source over directories of archives.
 
 Writing: every task writes zip archives of stored members, each a lossless grey PNG of one payload, and the commit
-publishes the names of the archives of the tasks that succeeded; archives of failed attempts are never listed.
-Reading: the planner turns the published archives into byte-range partitions (names and sizes alone reach the driver).
-A task opens its archive, reads the members whose headers start in its range, one by one by offset, each with its own
-retries, and streams them as bounded Arrow batches. A member that stays unreadable fails the task, so that Spark tries
-it elsewhere; with `on_error=null` it gives a row with an error and no bytes.
+publishes a list of the archives of the tasks that succeeded; archives of failed attempts are never listed. Every commit has
+a list of its own, put in place by one rename, so commits at the same time don't lose each other's archives.
+Reading: the planner turns the published archives into byte-range partitions (names and sizes alone reach the driver). A
+directory without such lists is taken as it is: all its zip files are read.
+A task reads its archive's directory, then the members whose headers start in its range, block by block, and streams
+them as bounded Arrow batches. A member that doesn't come out of its block whole is read again by its offset, with retries of
+its own, whatever the fault. One that stays unreadable fails the task, so that Spark tries it elsewhere; with
+`on_error=null` it gives a row with an error and no bytes, and so does, once, an archive without a readable directory.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 import time
 import uuid
 import zipfile
 import zlib
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +36,9 @@ from lightframe.llm.shared import new_path
 UNIT, WIDTH = 576, 576
 #: An archive is closed at this size; a partition is a range of this many bytes; a batch holds about this many.
 ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES = 32 << 20, 16 << 20, 4 << 20
-MANIFEST = "_archives.json"
+MANIFEST = "_archives"
+#: What a read of damaged or moving bytes may raise.
+FAULTS = (OSError, ValueError, EOFError, struct.error, zlib.error, zipfile.BadZipFile)
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -102,7 +109,7 @@ class ArchiveWriter(DataSourceArrowWriter):
                     name, n = f"{uuid.uuid4().hex}.zip", 0
                     out = fs.open_output_stream(f"{root}/{name}")
                     zipped = zipfile.ZipFile(_Forward(out), "w", zipfile.ZIP_STORED)
-                info = zipfile.ZipInfo(f"{n:08d}/{'' if member is None else member}.png")
+                info = zipfile.ZipInfo(f"{n:08d}.png" if member is None else f"{n:08d}/{quote(member, safe='')}.png")
                 zipped.writestr(info, to_png(padded(text)))
                 n += 1
                 if out.tell() >= self.archive_bytes:
@@ -115,10 +122,13 @@ class ArchiveWriter(DataSourceArrowWriter):
     def commit(self, messages):
         fs, root = _open(self.path)
         fs.create_dir(root, recursive=True)
-        listed = [] if self.overwrite else _listed(self.path)
-        listed += [list(f) for m in messages if m is not None for f in m.files]
-        with fs.open_output_stream(f"{root}/{MANIFEST}") as f:
-            f.write(json.dumps(listed).encode())
+        before = _manifests(fs, root) if self.overwrite else []
+        name = f"{root}/{MANIFEST}-{uuid.uuid4().hex}"
+        with fs.open_output_stream(f"{name}.part") as f:
+            f.write(json.dumps([list(f) for m in messages if m is not None for f in m.files]).encode())
+        fs.move(f"{name}.part", f"{name}.json")
+        for old in before:
+            fs.delete_file(old)
 
     def abort(self, messages):
         fs, root = _open(self.path)
@@ -139,12 +149,22 @@ class _Forward:
         pass
 
 
+def _manifests(fs: pafs.FileSystem, root: str) -> list[str]:
+    found = fs.get_file_info(pafs.FileSelector(root))
+    return sorted(f.path for f in found if f.base_name.startswith(f"{MANIFEST}-") and f.base_name.endswith(".json"))
+
+
 def _listed(path: str) -> list:
+    """Names and sizes of the archives in a directory; an error if there is no such directory."""
     fs, root = _open(path)
-    if fs.get_file_info(f"{root}/{MANIFEST}").type == pafs.FileType.NotFound:
-        return []
-    with fs.open_input_stream(f"{root}/{MANIFEST}") as f:
-        return json.loads(f.read())
+    lists = _manifests(fs, root)
+    if not lists:
+        return sorted([f.base_name, f.size] for f in fs.get_file_info(pafs.FileSelector(root)) if f.type == pafs.FileType.File and f.base_name.lower().endswith(".zip"))
+    out = []
+    for name in lists:
+        with fs.open_input_stream(name) as f:
+            out += json.loads(f.read())
+    return out
 
 
 @dataclass
@@ -162,25 +182,16 @@ class ArchiveReader(DataSourceReader):
         found = [ByteRange(name, a, min(size, a + self.range_bytes)) for name, size in _listed(self.path) for a in range(0, size, self.range_bytes)]
         return found or [ByteRange("", 0, 0)]
 
-    def _member(self, fs, path: str, info: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
-        """One member by its offset: the header there must name it, and its bytes must have their sum."""
+    def _tried(self, work):
+        """work(), tried again after a fault; or None and the last fault, if that is what is asked for."""
         for attempt in range(self.retries + 1):
             try:
-                with fs.open_input_file(path) as f:
-                    head = f.read_at(30, info.header_offset)
-                    mark, name_size, extra = head[:4], *struct.unpack("<HH", head[26:30])
-                    data = f.read_at(name_size + extra + info.compress_size, info.header_offset + 30)
-                if mark != b"PK\x03\x04" or data[:name_size].decode() != info.filename:
-                    raise OSError(f"no member {info.filename} at {info.header_offset}")
-                body = data[name_size + extra :]
-                if zlib.crc32(body) != info.CRC:
-                    raise OSError(f"the sum of {info.filename} is wrong")
-                return body, None
-            except OSError as e:
+                return work(), None
+            except FAULTS as e:
                 if attempt == self.retries:
                     if self.on_error != "null":
                         raise
-                    return None, str(e)
+                    return None, f"{type(e).__name__}: {e}"
                 time.sleep(0.05 * 2**attempt)
         raise AssertionError
 
@@ -189,19 +200,67 @@ class ArchiveReader(DataSourceReader):
             return
         fs, root = _open(self.path)
         path = f"{root}/{partition.name}"
-        with fs.open_input_file(path) as f, zipfile.ZipFile(f) as z:
-            mine = [i for i in z.infolist() if partition.start <= i.header_offset < partition.end]
-        rows: list[tuple] = []
-        held = 0
-        for info in mine:
-            media, error = self._member(fs, path, info)
-            rows.append((info.filename.split("/", 1)[1].removesuffix(".png") or None, partition.name, info.header_offset, media, error))
-            held += len(media or b"")
-            if held >= BATCH_BYTES:
-                yield _batch(rows)
-                rows, held = [], 0
-        if rows:
+
+        def directory() -> tuple[list[zipfile.ZipInfo], int]:
+            with fs.open_input_file(path) as f, zipfile.ZipFile(f) as z:
+                return sorted((i for i in z.infolist() if not i.is_dir()), key=lambda i: i.header_offset), z.start_dir
+
+        def alone(info: zipfile.ZipInfo) -> bytes:
+            with fs.open_input_file(path) as f:
+                head = f.read_at(30, info.header_offset)
+                size = sum(struct.unpack("<HH", head[26:30])) + info.compress_size
+                return _member(head + f.read_at(size, info.header_offset + 30), 0, info)
+
+        found, error = self._tried(directory)
+        if found is None:
+            if partition.start == 0:
+                yield _batch([(None, partition.name, 0, None, error)])
+            return
+        members, end = found
+        ends = [*(i.header_offset for i in members[1:]), end]
+        mine = [(i, e) for i, e in zip(members, ends, strict=True) if partition.start <= i.header_offset < partition.end]
+        at = 0
+        while at < len(mine):
+            to, start = at + 1, mine[at][0].header_offset
+            while to < len(mine) and mine[to][1] - start <= BATCH_BYTES:
+                to += 1
+            try:
+                with fs.open_input_file(path) as f:
+                    block = f.read_at(mine[to - 1][1] - start, start)
+            except FAULTS:
+                block = b""  # each member is read alone
+            rows = []
+            for info, _ in mine[at:to]:
+                try:
+                    media, error = _member(block, info.header_offset - start, info), None
+                except FAULTS:
+                    media, error = self._tried(lambda info=info: alone(info))
+                rows.append((_id_of(info.filename), partition.name, info.header_offset, media, error))
             yield _batch(rows)
+            at = to
+
+
+def _id_of(name: str) -> str | None:
+    """The id in a member's name; other archives' members are named by their path."""
+    if m := re.fullmatch(r"\d{8}(?:/(.*))?\.png", name, re.DOTALL):
+        return None if m[1] is None else unquote(m[1])
+    return name
+
+
+def _member(block: bytes, at: int, info: zipfile.ZipInfo) -> bytes:
+    """One member's bytes out of a block: the header there must name it, and its bytes must have their sum."""
+    names, extra = struct.unpack("<HH", block[at + 26 : at + 30])
+    start = at + 30 + names + extra
+    if block[at : at + 4] != b"PK\x03\x04" or block[at + 30 : at + 30 + names] != info.orig_filename.encode("utf-8" if info.flag_bits & 0x800 else "cp437"):
+        raise ValueError(f"no member {info.filename} at {info.header_offset}")
+    body = block[start : start + info.compress_size]
+    if info.compress_type == zipfile.ZIP_DEFLATED:
+        body = zlib.decompress(body, -15)
+    elif info.compress_type != zipfile.ZIP_STORED:
+        raise ValueError(f"{info.filename} is packed by a method that is not read")
+    if zlib.crc32(body) != info.CRC or len(body) != info.file_size:
+        raise ValueError(f"the sum of {info.filename} is wrong")
+    return body
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

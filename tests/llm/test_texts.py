@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,8 +92,24 @@ def test_secrets_beside_fillers(spark):
     assert not any(secret in out[i] for i in range(len(found)))
 
 
+def test_secrets_of_letters_alone(spark):
+    """Letters without order are reported, words of letters aren't."""
+    found = ["qZkTbXrLmWvJnHcYpDsFgQaEuRoIiKtGwBxM", "key_qZkTbXrLmWvJnHcYpDsFgQaEuRoIiKtGwBxM", "aBcDeFgHiJkLmNoPqRsTuVwXyZ"]
+    clear = ["getElementByIdentifierAndNamespace", "path/to/Some/ClassNameOfThings/HTMLParser", "SOME_CONSTANT_NAME_IN_CAPITALS", "donaudampfschifffahrtsgesellschaft", "a/b/c/d/e/f/g/h/i/j/k/l/m/n/o/p"]
+    texts = found + clear
+    got = {r["doc_id"]: r["spans"] for r in S.report(S.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    assert all(got[i] for i in range(len(found))) and not any(got[len(found) + i] for i in range(len(clear)))
+    check_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), dict(enumerate(texts)))
+
+
 def test_secret_edges(edges, nothing):
-    assert S.report(S.scan(edges)).count() == len(EDGES)
+    got = sorted((str(r["doc_id"]), r["spans"]) for r in S.report(S.scan(edges)).collect())
+    want = []
+    for i, t in EDGES:
+        base = base_spans(t or "")
+        new = [z for z in entropy_spans(t or "") if not any(b[0] <= z[0] and b[2] >= z[2] for b in base)]
+        want.append((str(i), listed(base + new)))
+    assert got == sorted(want)
     assert S.report(S.scan(nothing)).count() == 0
 
 
@@ -127,6 +144,21 @@ def test_token_counts(docs, rows, edges, nothing, model):
     assert [counter.count(t) for t in odd] == [len(sp.encode(t)) for t in odd]
 
 
+@pytest.mark.parametrize("field, value", [("remove_extra_whitespaces", True), ("add_dummy_prefix", False)])
+def test_other_normalisation_is_refused(model, tmp_path, field, value):
+    from sentencepiece import sentencepiece_model_pb2
+
+    other = sentencepiece_model_pb2.ModelProto()
+    with open(model, "rb") as f:
+        other.ParseFromString(f.read())
+    setattr(other.normalizer_spec, field, value)
+    path = tmp_path / "other.model"
+    path.write_bytes(other.SerializeToString())
+    for make in (T.MergeCounter, V.PieceAutomaton):
+        with pytest.raises(ValueError):
+            make(str(path))
+
+
 def test_viterbi(docs, rows, edges, nothing, model):
     from lightframe.llm.piece_vocab import NORMAL, pieces
 
@@ -178,6 +210,26 @@ def test_quality(spark, sf_dir, edges, nothing):
     assert Q.keep(edges, m).columns == edges.columns
 
 
+def test_quality_against_another_discriminant(spark, sf_dir):
+    """The textbook's formulas over the same statistics: covariances, determinants and solved systems."""
+    stats = Q.statistics(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    x = {r["doc_id"]: np.array([r[c] for c in Q.STATISTICS]) for r in stats.collect()}
+    y = {r["doc_id"]: r["quality"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["doc_id"] in x}
+    of = [np.array([x[i] for i in y if y[i] == k]) for k in (0, 1)]
+    covs = [np.cov(m.T, bias=True) for m in of]
+    pooled = sum(len(m) * c for m, c in zip(of, covs, strict=True)) / len(y)
+    density = []
+    for m, c in zip(of, covs, strict=True):
+        c = 0.85 * c + 0.15 * pooled + 1e-3 * np.diag(np.diag(pooled) + 1e-6)
+        mean, logdet, prior = m.mean(axis=0), np.linalg.slogdet(c)[1], math.log(len(m) / len(y))
+        density.append(lambda v, c=c, mean=mean, logdet=logdet, prior=prior: prior - 0.5 * logdet - 0.5 * (v - mean) @ np.linalg.solve(c, v - mean))
+    got = {r["doc_id"]: r["score"] for r in Q.score(stats, Q.fit(stats, labels)).collect()}
+    assert len(got) == len(x)
+    for i, v in x.items():
+        assert got[i] == pytest.approx(1 / (1 + math.exp(max(-700.0, min(700.0, density[0](v) - density[1](v))))), abs=1e-6)
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -285,3 +337,67 @@ def test_media_ranges_and_errors(spark, docs, tmp_path):
     bad = M.read(spark, path, range_bytes=7_000, retries=1, on_error="null")
     assert bad.where("error is not null").count() == 1 and bad.count() == docs.count()
     assert M.features(bad).where("n_bytes is null").count() == 1
+
+
+def test_media_of_other_archives(spark, tmp_path):
+    """A directory without lists is read as it is: stored and packed members, whatever their names."""
+    import zipfile
+
+    (tmp_path / "in").mkdir()
+    with zipfile.ZipFile(tmp_path / "in" / "a.zip", "w") as z:
+        z.writestr("plain.bin", b"x" * 100)
+        z.writestr(zipfile.ZipInfo("folder/"), b"")
+        z.writestr("folder/f\u00e9.txt", b"y" * 50_000, zipfile.ZIP_DEFLATED)
+    (tmp_path / "in" / "notes.txt").write_text("no archive")
+    got = {r["member"]: bytes(r["media"]) for r in M.read(spark, str(tmp_path / "in"), range_bytes=60).collect()}
+    assert got == {"plain.bin": b"x" * 100, "folder/f\u00e9.txt": b"y" * 50_000}
+    with pytest.raises(Exception, match="(?i)no such file|not.?found|cannot"):
+        M.read(spark, str(tmp_path / "nowhere")).count()
+
+
+def test_media_of_damaged_archives(spark, tmp_path):
+    path = str(tmp_path / "archives")
+    M.write(spark.createDataFrame([(i, "text " * i) for i in range(40)], "doc_id long, text string").coalesce(1), path, archive_bytes=900)
+    files = sorted((tmp_path / "archives").glob("*.zip"), key=lambda p: p.stat().st_size)
+    broken, damaged = files[-1], files[-2]
+    n = {f.name: M.read(spark, path).where(F.col("archive") == f.name).count() for f in files}
+    broken.write_bytes(broken.read_bytes()[:-30])  # its directory can't be read
+    data = bytearray(damaged.read_bytes())
+    data[:10] = b"\xff" * 10  # its first member's header
+    damaged.write_bytes(data)
+    with pytest.raises(Exception):
+        M.read(spark, path, retries=0).count()
+    rows = M.read(spark, path, retries=1, on_error="null", range_bytes=1_000).collect()
+    assert [(r["member"], r["archive"]) for r in rows if r["error"] and r["member"] is None] == [(None, broken.name)]
+    assert sum(r["archive"] == damaged.name for r in rows) == n[damaged.name] and sum(bool(r["error"]) for r in rows) == 2
+    assert sum(r["error"] is None for r in rows) == 40 - n[broken.name] - 1
+
+
+def test_media_appends_and_ids(spark, tmp_path):
+    path = str(tmp_path / "archives")
+    ids = ["", None, "a/b", "x\x00y", "\u00fc", "plain", "", "%2F"]
+    M.write(spark.createDataFrame([(i, "t") for i in ids], "doc_id string, text string"), path)
+    M.write(spark.createDataFrame([("more", "t")], "doc_id string, text string"), path)
+    key = lambda x: (x is None, x or "")
+    assert sorted((r["member"] for r in M.read(spark, path).collect()), key=key) == sorted([*ids, "more"], key=key)
+    assert len(list((tmp_path / "archives").glob("*.json"))) == 2 and not list((tmp_path / "archives").glob("*.part"))
+    # a list is another commit's own: one that is written at the same time loses nothing
+    one, two = (M.ArchiveWriter(path, 1 << 20, False) for _ in range(2))
+    one.commit([M.Archives((("p.zip", 1),))])
+    two.commit([M.Archives((("q.zip", 1),))])
+    assert {"p.zip", "q.zip"} <= {n for n, _ in M._listed(path)}
+    M.ArchiveWriter(path, 1 << 20, True).commit([M.Archives((("r.zip", 1),))])
+    assert [n for n, _ in M._listed(path)] == ["r.zip"]
+
+
+def test_media_features(spark):
+    """The feature: mean, deviation, entropy and mean step of the padded bytes, by plain loops."""
+    texts = ["", "abc", "é🙂" * 300, "x" * 576]
+    got = {r["doc_id"]: r["feature"] for r in M.round_trip(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        raw = t.encode()
+        p = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+        mean = sum(p) / len(p)
+        shares = [p.count(b) / len(p) for b in set(p)]
+        want = (mean, math.sqrt(sum((b - mean) ** 2 for b in p) / len(p)), -sum(x * math.log2(x) for x in shares), sum(abs(a - b) for a, b in zip(p, p[1:], strict=False)) / (len(p) - 1))
+        assert [float(x) for x in got[i].split(";")] == pytest.approx(want, abs=1e-4)
