@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -156,6 +157,18 @@ def _blocks(items: DataFrame):
         yield [(r["item_id"], words_of(r["text"])) for r in part.collect()]
 
 
+#: A worker keeps the automaton of the block that it met last, by the broadcast's name.
+_BUILT: dict[tuple[str, int], WindowAutomaton] = {}
+
+
+def _automaton(shared, window: int) -> WindowAutomaton:
+    key = (shared.value[0], window)
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = WindowAutomaton([w for _, w in shared.value[1]], window)
+    return _BUILT[key]
+
+
 def find_spans(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 10, finish=None) -> DataFrame:
     """doc_id, text, n_words, spans (array of start, end in words: merged, sorted), item_ids (sorted) for every row.
 
@@ -173,11 +186,11 @@ def find_spans(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
     block, k = next(blocks), 0
     while block is not None:
         after = next(blocks, None)
-        shared, last = sc.broadcast(block), finish[0] if finish and after is None else None
+        shared, last = sc.broadcast((uuid.uuid4().hex, block)), finish[0] if finish and after is None else None
 
         def run(batches, shared=shared, last=last):
-            ids = [i for i, _ in shared.value]
-            automaton = WindowAutomaton([w for _, w in shared.value], window)
+            ids = [i for i, _ in shared.value[1]]
+            automaton = _automaton(shared, window)
             for b in batches:
                 n, spans, hit = [], [], []
                 for text, was, had in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
