@@ -9,30 +9,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the shared folder that the session names; a new local one only where none is set, in local mode."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        path = sc.getConf().get("spark.checkpoint.dir")
-        if not path and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 def shared_folder(spark: SparkSession) -> str:
     """A new path in the folder that the cluster shares; a local one only in local mode."""
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or ("file://" + tempfile.mkdtemp(prefix="spark-") if sc.master.startswith("local") else None)
-    if root is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    root = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_lightframe_dir", None)
+    if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = sc._lightframe_dir = "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Writes `df` once into the folder that the cluster shares and reads it back: lineage ends here, lost executors cost no
+    rework, and later reads take the columns that they need."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame, *, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node with an edge; a component is named by its smallest node.
 
-    Large-star and small-star in turn (Kiveris et al., 2014) until nothing moves; each round is checkpointed, and the
+    Large-star and small-star in turn (Kiveris et al., 2014) until nothing moves; each round is a written table, and the
     driver sees one number a round. Self-loops and nulls are ignored."""
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u != v")
     e = checkpointed(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
