@@ -64,14 +64,14 @@ def _cleanup_rows(spark, d) -> DataFrame:
 
 
 @query()
-def cleanup_report(spark, d) -> DataFrame:
-    """Groups, rows and bytes of each tab. At this stream's pace minutes stand for a bracket's seconds, and a day for a burst's; every group whose
-    lowest id is a multiple of 11 is ignored, and so is every row whose id is one of 41."""
+def cleanup_report(spark, d, seconds: int = 900) -> DataFrame:
+    """Groups, rows and bytes of each tab. At this stream's pace minutes stand for the seconds of brackets and bursts; every group
+    whose lowest id is a multiple of 11 is ignored, and so is every row whose id is one of 41."""
     catalogue = _cleanup_rows(spark, d)
     rows = catalogue.where(visible())
     now = F.lit("2024-04-15").cast("timestamp")
     nothing = spark.createDataFrame([], "result long, source long")
-    options = {"now": now, "gap_ms": 600_000, "sure_ms": 600_000, "seconds": 86_400}
+    options = {"now": now, "gap_ms": 600_000, "sure_ms": 600_000, "seconds": seconds}
     items = rows.where("asset_id % 41 = 0").select(F.concat(F.lit("item:"), F.col("asset_id").cast("string")).alias("signature"))
     groups, suggested = cleanup(rows, items, nothing, catalogue, **options)
     groups = checkpointed(groups)

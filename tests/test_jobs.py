@@ -158,7 +158,7 @@ def test_cleanup_report(spark, sf_dir):
     for r in each.select("size", F.explode(cleanup_classes(F.lit("2024-04-15").cast("timestamp"))).alias("t")).collect():
         n, size = want.get(r["t"], (0, 0, 0))[1:]
         want[r["t"]] = (0, n + 1, size + r["size"])
-    got = {r["tab"]: (r["groups"], r["items"], r["bytes"]) for r in QUERIES["cleanup_report"](spark, sf_dir).collect()}
+    got = {r["tab"]: (r["groups"], r["items"], r["bytes"]) for r in QUERIES["cleanup_report"](spark, sf_dir, seconds=86_400).collect()}
     assert got == want and {"exact", "bursts", "visual", "brackets"} <= set(want)
 
 
