@@ -48,15 +48,14 @@ def plan(percent: int) -> tuple[int, int, int]:
     raise ValueError("the similarity is too low for this index")
 
 
-def shingle_sets(batch: pa.RecordBatch, column: int):
+def shingle_sets(texts: pa.Array):
     """For each text the sorted distinct hashes of its 5-word shingles; of the whole sequence where it is shorter."""
-    for piece in pieces(batch, column):
-        words = Words(piece.column(column), lower=True)
-        h = words.hashes()
-        grams = gram_hashes(h, SHINGLE)
-        first = words.first.tolist()
-        for lo, hi in zip(first, first[1:], strict=False):
-            yield np.unique(grams[lo : hi - SHINGLE + 1] if hi - lo >= SHINGLE else gram_hashes(h[lo:hi], max(1, hi - lo)))
+    words = Words(texts, lower=True)
+    h = words.hashes()
+    grams = gram_hashes(h, SHINGLE)
+    first = words.first.tolist()
+    for lo, hi in zip(first, first[1:], strict=False):
+        yield np.unique(grams[lo : hi - SHINGLE + 1] if hi - lo >= SHINGLE else gram_hashes(h[lo:hi], max(1, hi - lo)))
 
 
 def _orders(k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,9 +74,9 @@ def signature(shingles: np.ndarray, k: int) -> np.ndarray:
 
 def _sketch(k: int):
     def run(batches):
-        for b in batches:
+        for b in (piece for whole in batches for piece in pieces(whole, 1)):
             n, keys, sigs = [], [], []
-            for s in shingle_sets(b, 1):
+            for s in shingle_sets(b.column(1)):
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s))
                 sigs.append(signature(s, k).tobytes() if len(s) else b"")
@@ -125,9 +124,9 @@ def _near_signatures(k: int, d: int):
 
 
 def _sets(batches):
-    for b in batches:
+    for b in (piece for whole in batches for piece in pieces(whole, 0)):
         keys, sets = [], []
-        for s in shingle_sets(b, 0):
+        for s in shingle_sets(b.column(0)):
             keys.append(xxhash.xxh3_128_digest(s))
             sets.append(s.view(np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["skey", "shingles"])
@@ -141,12 +140,13 @@ def components(edges: DataFrame) -> DataFrame:
     both = stash(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     degrees = stash(both.groupBy("v").agg(F.count("*").alias("n")), "degrees")
     labels = stash(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    hubs = hot_keys(degrees, ["v"])
     while True:
-        near = spread_join(both, labels.withColumnRenamed("node", "v"), ["v"], degrees, ["u"]).groupBy(F.col("u").alias("node")).agg(F.min("label").alias("m"))
+        near = spread_join(both, labels.withColumnRenamed("node", "v"), ["v"], hubs, ["u"]).groupBy(F.col("u").alias("node")).agg(F.min("label").alias("m"))
         low = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
-        new = stash(spread_join(low, up, ["label"], sizes, ["node"]).select("node", "was", F.least("label", "up").alias("label")), "labels")
+        new = stash(spread_join(low, up, ["label"], hot_keys(sizes, ["label"]), ["node"]).select("node", "was", F.least("label", "up").alias("label")), "labels")
         drop_stash(labels)
         labels = new.select("node", "label")
         if not new.where("was != label").limit(1).count():
@@ -189,7 +189,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def near(pairs: DataFrame) -> DataFrame:
         u, v = (nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "uv")
-        return spread_join(pairs.join(u, "u"), v, ["v"], pairs.groupBy("v").agg(F.count("*").alias("n")), ["u"]).select("u", "v", "sig_u", "sig_v").mapInArrow(_near_signatures(k, d), "u long, v long")
+        return spread_join(pairs.join(u, "u"), v, ["v"], hot_keys(pairs.groupBy("v").agg(F.count("*").alias("n")), ["v"]), ["u"]).select("u", "v", "sig_u", "sig_v").mapInArrow(_near_signatures(k, d), "u long, v long")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """The full shingle sets of some nodes, made again from their texts."""
@@ -209,13 +209,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         sets = sets_of(ends) if made else sets
         u, v = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "uv")
         both = F.size(F.array_intersect("set_u", "set_v"))
-        found = stash(spread_join(pairs.join(u, "u"), v, ["v"], pairs.groupBy("v").agg(F.count("*").alias("n")), ["u"]).where(100 * both >= percent * (F.size("set_u") + F.size("set_v") - both)).select("u", "v"), "links")
+        found = stash(spread_join(pairs.join(u, "u"), v, ["v"], hot_keys(pairs.groupBy("v").agg(F.count("*").alias("n")), ["v"]), ["u"]).where(100 * both >= percent * (F.size("set_u") + F.size("set_v") - both)).select("u", "v"), "links")
         drop_stash(pairs, *([sets] if made else []))
         return found
 
     # every node of a bucket against the bucket's smallest
     centres = stash(postings.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("v")).where("n > 1"), "centres")
-    found = stash(spread_join(postings.withColumnRenamed("node", "u"), centres.select("key", "v"), ["key"], centres, ["u"]).where("u != v").select("key", "u", "v"), "buckets")
+    full = hot_keys(centres, ["key"])
+    found = stash(spread_join(postings.withColumnRenamed("node", "u"), centres.select("key", "v"), ["key"], full, ["u"]).where("u != v").select("key", "u", "v"), "buckets")
     pairs = stash(found.select("u", "v").distinct(), "pairs")
     links = linked(near(pairs))
     drop_stash(pairs)
@@ -225,20 +226,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = found.select("key", F.col("u").alias("node")).union(found.select("key", F.col("v").alias("node")).distinct())
     labelled = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-    rest = stash(spread_join(labelled, mixed, ["key"], centres, ["node"]), "rest")
+    rest = stash(spread_join(labelled, mixed, ["key"], full, ["node"]), "rest")
     drop_stash(found)
     if rest.limit(1).count():
         sets = sets_of(rest.select("node").distinct())
         each = sets.select("node", F.explode("shingles").alias("shingle"))
         often = stash(each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "often")
-        shared = spread_join(each, often, ["shingle"], often, ["node"]).groupBy("node").agg(F.count("*").alias("shared"), F.sum("n").alias("weight"))
+        common = hot_keys(often, ["shingle"])
+        shared = spread_join(each, often, ["shingle"], common, ["node"]).groupBy("node").agg(F.count("*").alias("shared"), F.sum("n").alias("weight"))
         counts = sets.select("node", F.size("shingles").alias("n")).join(shared, "node").where(100 * F.col("shared") >= percent * F.col("n"))
         alive = stash(rest.join(counts, "node"), "alive")
         hubs = stash(alive.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub")), "hubs")
-        spokes = stash(spread_join(alive, hubs, ["key"], centres, ["node"]).where("node != hub").select("node", "hub").distinct(), "spokes")
+        spokes = stash(spread_join(alive, hubs, ["key"], full, ["node"]).where("node != hub").select("node", "hub").distinct(), "spokes")
         of_hub = stash(spokes.groupBy("hub").agg(F.count("*").alias("n")), "of-hub")
         hub_sets = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("hub_set"))
-        spokes = spread_join(spokes.join(sets, "node"), hub_sets, ["hub"], of_hub, ["node"]).select(
+        spokes = spread_join(spokes.join(sets, "node"), hub_sets, ["hub"], hot_keys(of_hub, ["hub"]), ["node"]).select(
             "node", "hub", F.size("shingles").alias("n_u"), F.size("hub_set").alias("n_v"), F.size(F.array_intersect("shingles", "hub_set")).alias("common")
         )
         spokes = stash(spokes, "spokes")
@@ -247,7 +249,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         labels = components(links)
         a = alive.drop("label", "weight").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = a.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-        a = spread_join(a, mixed.join(hubs, "key"), ["key"], centres, ["node"]).join(spokes.select("node", "hub", "common"), ["node", "hub"], "left")
+        a = spread_join(a, mixed.join(hubs, "key"), ["key"], full, ["node"]).join(spokes.select("node", "hub", "common"), ["node", "hub"], "left")
         a = stash(a.select("key", "hub", "node", "label", "n", "shared", F.coalesce("common", "n").alias("common")), "open")
         # 100 i >= p (n_u + n_v - i)  <=>  (100 + p) i >= p (n_u + n_v), and i is at most either shared count; and i is at
         # most the lesser of what the two have in common with a hub, plus what they share that the hub hasn't
@@ -256,9 +258,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         columns = ("node", "label", "n", "shared", "common")
         as_pair = (F.col("node_u").alias("u"), F.col("node_v").alias("v"))
         by_hub = blocks_join(a, ["key"], "node", apart & enough("common"), columns).select(*as_pair)
-        each = spread_join(a.join(sets, "node"), hub_sets, ["hub"], a.groupBy("hub").agg(F.count("*").alias("n")), ["node"])
+        each = spread_join(a.join(sets, "node"), hub_sets, ["hub"], hot_keys(a.groupBy("hub").agg(F.count("*").alias("n")), ["hub"]), ["node"])
         each = each.select("key", "node", "label", "n", "shared", "common", F.explode(F.array_except("shingles", "hub_set")).alias("shingle"))
-        each = stash(spread_join(each, often.select("shingle"), ["shingle"], often, ["node"]), "beside")
+        each = stash(spread_join(each, often.select("shingle"), ["shingle"], common, ["node"]), "beside")
         by_rest = blocks_join(each, ["key", "shingle"], "node", apart & ~enough("common"), columns).select(*as_pair)
         pairs = stash(by_hub.union(by_rest).distinct(), "pairs")
         labels = components(links.unionByName(linked(near(pairs), sets)))
@@ -266,8 +268,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     groups = nodes.select("skey", "node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = groups.groupBy("label").agg(F.min("id").alias("component_id"))
-    of_set = spread_join(groups, least, ["label"], groups.groupBy("label").agg(F.count("*").alias("n")), ["node"]).select("skey", "component_id")
-    out = spread_join(sk.select("id", "n", "skey"), of_set, ["skey"], nodes.select("skey", F.col("rows").alias("n")), ["id"], "left")
+    of_set = spread_join(groups, least, ["label"], hot_keys(groups.groupBy("label").agg(F.count("*").alias("n")), ["label"]), ["node"]).select("skey", "component_id")
+    out = spread_join(sk.select("id", "n", "skey"), of_set, ["skey"], hot_keys(nodes.select("skey", F.col("rows").alias("n")), ["skey"]), ["id"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
         "kept", F.when(F.col("component_id").isNull(), F.lit(None).cast("boolean")).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

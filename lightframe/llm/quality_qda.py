@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lightframe.llm.words import pieces
+
 STATISTICS = ("words", "upper", "marks", "bars", "bangs", "digits", "points", "distinct", "repeated", "length", "lines", "odd_ends")
 _UPPER = bytes(range(65, 91))
 _LETTERS = _UPPER + bytes(range(97, 123))
@@ -51,7 +53,7 @@ def document_statistics(text: bytes | None) -> list[float]:
 
 
 def _kernel(batches):
-    for b in batches:
+    for b in (piece for whole in batches for piece in pieces(whole, 1)):
         made = np.array([document_statistics(t) for t in b.column(1).to_pylist()], dtype=float).reshape(-1, len(STATISTICS))
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(made[:, i]) for i in range(made.shape[1]))], ["doc_id", *STATISTICS])
 

@@ -14,7 +14,7 @@ _M2 = np.uint64(0x94D049BB133111EB)
 
 
 #: Texts are taken in pieces of about so many bytes, so that arrays over their words stay small.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 #: Longer words are hashed as a whole; shorter ones eight bytes at a time, all words of a piece at once.
 LONG_WORD = 256
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
