@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lightframe.llm.oracles import OP5_SQL, OP6_SQL, OP7_SQL
+from lightframe.llm.oracles import OP5_SQL, OP6_SQL, OP7_SQL, OP11_SQL, OP12_SQL, OP13_SQL
 from lightframe.llm.shared import documents, stash
 
 
@@ -110,5 +110,33 @@ def op10_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcoded(documents(spark, sf_dir), piece_model())
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_warc_revisit, op3_media_archive, op4_shard_sort, op5_minhash_dedup, op6_substring_dedup, op7_decontaminate, op8_token_counts, op9_quality_qda, op10_piece_viterbi)}
-ORACLES: dict[str, str] = {"op2_warc_revisit": OP2_SQL, "op5_minhash_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_decontaminate": OP7_SQL}
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lightframe.llm.fill_middle import cut, digests, in_order
+
+    return digests(in_order(cut(documents(spark, sf_dir), seed=42, rate=50, spm=80)))
+
+
+def op12_centroid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lightframe.llm.centroid_search import clustered, report
+
+    return report(*clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=16, rounds=3, dims=64, scale=64, seed=1))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one of number -1 whose texts are made of the template's own control strings."""
+    from lightframe.llm.chat_format import formatted, report
+
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    own = spark.sql("SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    return report(formatted(given.unionByName(own)))
+
+
+_ALL = (
+    op1_secret_scan, op2_warc_revisit, op3_media_archive, op4_shard_sort, op5_minhash_dedup, op6_substring_dedup, op7_decontaminate, op8_token_counts, op9_quality_qda, op10_piece_viterbi,
+    op11_fill_middle, op12_centroid_search, op13_chat_format,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLES: dict[str, str] = {
+    "op2_warc_revisit": OP2_SQL, "op5_minhash_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_decontaminate": OP7_SQL,
+    "op11_fill_middle": OP11_SQL, "op12_centroid_search": OP12_SQL, "op13_chat_format": OP13_SQL,
+}
