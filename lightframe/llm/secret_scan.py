@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,19 +54,53 @@ ALLOWED = (
 )
 
 
+#: Arrays of up to so many elements are folded one by one.
+FEW = 64
+#: Steps of the entropy fold that share one list of runs; longer candidates are folded in blocks of so many.
+BLOCK = 4096
+#: Code points of a piece of text from which redaction takes its parts.
+PAGE = 4096
+
+
+def _running(values: Column, join, levels: int = 3) -> Column:
+    """Running totals of an array of ints under `join` (a sum or a maximum). A fold that appends copies its list at every
+    step, so lists are folded in blocks of FEW, what the blocks come to likewise, and added to the next blocks."""
+
+    def fold(a: Column) -> Column:
+        start = F.array().cast("array<int>")
+        return F.aggregate(a, start, lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) > 0, join(x, F.get(acc, F.size(acc) - 1))).otherwise(x))))
+
+    def in_blocks(a: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.size(a) - 1, F.lit(FEW)), lambda at: fold(F.slice(a, at + 1, FEW)))
+        return _bound(blocks, lambda bs: _bound(_running(F.transform(bs, lambda x: F.element_at(x, -1)), join, levels - 1), partial(ahead, bs)))
+
+    def ahead(blocks: Column, before: Column) -> Column:
+        return F.flatten(F.transform(blocks, lambda b, i: F.when(i == 0, b).otherwise(F.transform(b, lambda x: join(x, F.get(before, i - 1))))))
+
+    return _bound(values, lambda v: F.when(F.size(v) <= FEW, fold(v)).otherwise(in_blocks(v))) if levels else fold(values)
+
+
+def _bound(value: Column, make) -> Column:
+    """make(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), lambda v: make(v)), 0)
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def _positions(text: Column, pattern: str, group: int = 0) -> Column:
     """Array of (start, end, s): the leftmost matches that don't overlap."""
     pieces = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,s:string>>").alias("out"))
+    pairs = F.filter(F.arrays_zip(pieces.alias("p"), matches.alias("m")), lambda x: x["m"].isNotNull())
 
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + F.length(pair["p"])
-        end = begin + F.length(pair["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), pair["m"].alias("s")))).alias("out"))
+    def placed(found: Column) -> Column:
+        ends = _running(F.transform(found, lambda x: F.length(x["p"]) + F.length(x["m"])), _sum)
+        return F.zip_with(found, ends, lambda x, end: F.struct((end - F.length(x["m"])).alias("start"), end.alias("end"), x["m"].alias("s")))
 
-    pairs = F.filter(F.arrays_zip(pieces.alias("p"), matches.alias("m")), lambda x: x["m"].isNotNull())
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(start["out"])
+    nothing = F.array().cast("array<struct<start:int,end:int,s:string>>")
+    return F.when(F.regexp_like(text, F.lit(pattern)), _bound(pairs, placed)).otherwise(nothing)
 
 
 def _spans(kind: str, order: int, found: Column) -> Column:
@@ -108,11 +143,32 @@ def _entropy_runs(candidate: Column, c: CharacterClass) -> Column:
             F.when(high, n).otherwise(acc["end"]).alias("end"), closed.alias("out"),
         )
 
-    leaving = F.concat(F.array_repeat(nothing, c.window), chars)
-    steps = F.filter(F.arrays_zip(chars.alias("enter"), leaving.alias("leave")), lambda x: x["enter"].isNotNull())
-    return F.aggregate(
-        steps, begin, step, lambda acc: F.when(acc["start"] >= 0, F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))).otherwise(acc["out"])
-    )
+    def runs(entering: Column, at: Column) -> Column:
+        """Runs in the block of windows that end with its characters; it starts a window before them, with nothing counted."""
+        block = F.slice(entering, F.greatest(at - c.window + 1, F.lit(0)) + 1, BLOCK + c.window - 1 - F.greatest(c.window - 1 - at, F.lit(0)))
+        leaving = F.concat(F.array_repeat(nothing, c.window), block)
+        steps = F.filter(F.arrays_zip(block.alias("enter"), leaving.alias("leave")), lambda x: x["enter"].isNotNull())
+        first = F.greatest(at - c.window + 1, F.lit(0))
+        ends = F.aggregate(
+            steps, begin, step, lambda acc: F.when(acc["start"] >= 0, F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))).otherwise(acc["out"])
+        )
+        return F.transform(ends, lambda r: F.struct((r["start"] + first).alias("start"), (r["end"] + first).alias("end")))
+
+    def whole(entering: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size(entering) - 1, F.lit(0)), F.lit(BLOCK))
+        return _bound(F.flatten(F.transform(places, lambda at: runs(entering, at))), _joined)
+
+    return _bound(chars, whole)
+
+
+def _joined(runs: Column) -> Column:
+    """Runs, sorted by start and by end, of which those that touch become one."""
+    n = F.size(runs)
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(places, lambda i: (i == 0) | (F.get(runs, i)["start"] > F.get(runs, i - 1)["end"]))
+    nexts = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(n))
+    pairs = F.filter(F.arrays_zip(starts.alias("a"), nexts.alias("b")), lambda p: p["a"].isNotNull())
+    return F.transform(pairs, lambda p: F.struct(F.get(runs, p["a"])["start"].alias("start"), F.get(runs, p["b"] - 1)["end"].alias("end")))
 
 
 def _entropy_spans(text: Column, c: CharacterClass, order: int, allowed: tuple[str, ...]) -> Column:
@@ -136,11 +192,23 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cla
     df = df.withColumn("base", F.array_sort(F.concat(*base)))
     more = F.concat(*(_entropy_spans(text, c, len(BASE) + i, allowed) for i, c in enumerate(classes)))
     df = df.withColumn("more", more)
-    new = F.filter("more", lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])))
-    df = df.withColumn("spans", F.array_sort(F.concat("base", new)))
+    df = df.withColumn("spans", F.when((F.size("base") == 0) | (F.size("more") == 0), F.array_sort(F.concat("base", "more"))).otherwise(_bound(_by_start(F.col("base"), F.col("more")), _outside)))
     return df.select("doc_id", *(["text"] if keep_text else []), "base", "spans")
 
 
+def _by_start(base: Column, more: Column) -> Column:
+    """Both lists in one order: by start, matches of patterns before spans of the method."""
+    tagged = lambda spans, new: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(new).alias("new"), s.alias("span")))
+    return F.array_sort(F.concat(tagged(base, False), tagged(more, True)))
+
+
+def _outside(both: Column) -> Column:
+    """All spans but the method's that lie within a pattern's match: one that begins no later and ends no earlier."""
+    reach = _running(F.transform(both, lambda x: F.when(x["new"], -1).otherwise(x["span"]["end"])), F.greatest)
+    kept = F.filter(F.zip_with(both, reach, lambda x, r: F.struct(x.alias("x"), r.alias("r"))), lambda p: ~p["x"]["new"] | (p["r"] < p["x"]["span"]["end"]))
+    return F.array_sort(F.transform(kept, lambda p: p["x"]["span"]))
+
+
 def _listed(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -152,12 +220,26 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each span, or run of spans that overlap, replaced by `mark`."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], before, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))))
+    """The text with each span, or run of spans that overlap, replaced by `mark`.
+
+    What stands between runs is taken from pages of the text, as a position in a long string is found by walking there."""
+    ends = _running(F.transform(spans, lambda s: s["end"]), F.greatest)
+    lists = F.struct(spans.alias("spans"), ends.alias("ends"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0)).alias("pages"))
+
+    def part(pages: Column, a: Column, b: Column) -> Column:
+        """Code points a to b; b is null for the end."""
+        last = F.floor(F.coalesce(b, F.lit(0)) / PAGE).cast("int")
+        first = F.floor(a / PAGE).cast("int")
+        head = F.coalesce(F.get(pages, first), F.lit(""))
+        whole = F.substring(head, a % PAGE + 1, F.lit(PAGE))
+        tail = F.when(b.isNull(), F.array_join(F.slice(pages, first + 2, F.size(pages)), "")).otherwise(F.concat(F.array_join(F.slice(pages, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.substring(F.coalesce(F.get(pages, last), F.lit("")), F.lit(1), b % PAGE)))
+        return F.when(b.isNotNull() & (first == last), F.substring(head, a % PAGE + 1, b - a)).otherwise(F.concat(whole, tail))
+
+    def made(x: Column) -> Column:
+        n = F.size(x["spans"])
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(x["spans"], i)["start"] >= F.get(x["ends"], i - 1)))
+        # a gap before each run, and one after the last
+        gaps = F.transform(F.concat(starts, F.array(n)), lambda i: F.struct(F.when(i == 0, 0).otherwise(F.get(x["ends"], i - 1)).alias("a"), F.when(i < n, F.get(x["spans"], i)["start"]).alias("b")))
+        return F.array_join(F.transform(gaps, lambda g: part(x["pages"], g["a"], g["b"])), mark)
+
+    return F.when(F.size(spans) == 0, text).otherwise(_bound(lists, made))

@@ -250,9 +250,17 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("k1"), F.crc32(text.cast("binary")).alias("k2"))
     keys = ["k1", "k2"]
-    copies = stash(rows.where("text is not null").groupBy(*keys).agg(F.count("*").alias("copies"), F.min("id").alias("first")).where("copies > 1"), "copies")
-    firsts = rows.where("text is not null").join(checked(copies), keys, "left").where(F.col("copies").isNull() | F.col("id").eqNullSafe(F.col("first")))
-    firsts = firsts.select(*keys, F.coalesce("copies", F.lit(1).cast("long")).alias("copies"), "text")
+    texts = rows.where("text is not null")
+    # of the rows that repeat a text, one of the least id; its id may be on several, which then fold into one
+    per_id = texts.groupBy(*keys, "id").agg(F.count("*").alias("n"))
+    copies = per_id.groupBy(*keys).agg(F.sum("n").alias("copies"), F.min(F.struct("id", "n")).alias("least")).where("copies > 1")
+    copies = stash(copies.select(*keys, "copies", F.col("least.id").alias("first"), (F.col("least.n") > 1).alias("again")), "copies")
+    firsts = texts.join(checked(copies), keys, "left").where(F.col("copies").isNull() | F.col("id").eqNullSafe(F.col("first")))
+    fields = [*keys, F.coalesce("copies", F.lit(1).cast("long")).alias("copies"), "text"]
+    again = F.coalesce("again", F.lit(False))
+    firsts, folded = firsts.where(~again).select(*fields), firsts.where(again).select(*fields)
+    if copies.where("again").limit(1).count():
+        firsts = firsts.unionByName(stash(folded.groupBy(*keys, "copies").agg(F.first("text").alias("text")), "folded"))
 
     found = stash(firsts.mapInArrow(_cut(window), "anchor long, seg long, k1 long, k2 long, width int, occurs long, starts array<int>"), "segments")
     again = stash(found.groupBy("anchor").agg(F.sum("occurs").alias("occurs"), F.count("*").alias("n")).where("occurs > 1"), "again")
