@@ -42,8 +42,7 @@ def cleanup(rows: DataFrame, ignored: DataFrame, made: DataFrame, catalogue: Dat
     single = timed.join(frames.select("asset_id"), "asset_id", "left_anti")
     bursts = checkpointed(components(U.burst_pairs(single, seconds=seconds, successors=None)))
     burst = photos.join(bursts.select(F.col("node").alias("asset_id"), F.col("component").alias("burst")), "asset_id", "left")
-    alike = components(U.near_pairs(burst, burst="burst"))
-    visual = photos.join(alike.select(F.col("node").alias("asset_id"), "component"), "asset_id")
+    visual = photos.join(U.near_groups(burst, burst="burst"), "asset_id")
     tab = lambda df, name: df.select(F.lit(name).alias("tab"), "group_id", "n", "signature", "keep_id", "reclaimable")
     groups = tab(exact, "exact").unionByName(tab(U.without_fused(series, made, catalogue), "brackets")).unionByName(tab(U.groups(visual, "component", score=U.keep_score("visual")), "visual"))
     groups = groups.unionByName(tab(U.groups(burst.where("burst is not null"), "burst", score=U.keep_score("burst")), "bursts"))
