@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lightframe.functions.filters import visible
 from lightframe.operators.graph import checkpointed
-from lightframe.operators.ordered import rank_within
+from lightframe.operators.ordered import PART, laid_out, rank_within, running_sum, with_previous
 
 
 def candidates(df: DataFrame, labels: DataFrame, faces: DataFrame, *, key: str = "asset_id") -> DataFrame:
@@ -110,10 +110,12 @@ def sampled_by_year(df: DataFrame, by: str, target: int, *, key: str = "asset_id
 
 def capped_running(df: DataFrame, *by: str, item: Column, cap: Column, at: str = "taken_at", key: str = "asset_id") -> DataFrame:
     """At most `cap` of the rows that `item` marks, in time order, and a flag where the year changes."""
-    w = Window.partitionBy(*by).orderBy(at, key)
-    rows = df.withColumn("__i", F.sum(F.when(item, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where(~item | (F.col("__i") <= cap)).drop("__i")
+    by = list(by)
+    parts, split = laid_out(df.withColumns({"__item": F.coalesce(item, F.lit(False)), "__cap": cap}), by, at, key)
+    rows = running_sum(parts, by, [at, key], F.col("__item").cast("long"), "__i", split=split).where(~F.col("__item") | (F.col("__i") <= F.col("__cap"))).drop("__i", "__item", "__cap")
     year = F.substring("day", 1, 4)
-    return rows.withColumn("new_year", F.coalesce(year != F.lag(year).over(w), F.lit(True)))
+    seen = with_previous(rows, by, [at, key], split, __prev=(F.struct(year.alias("year")), False))
+    return seen.withColumn("new_year", F.coalesce(year != F.col("__prev.year"), F.lit(True))).drop("__prev", PART)
 
 
 def cover(df: DataFrame, *by: str, score: Column, key: str = "asset_id") -> DataFrame:

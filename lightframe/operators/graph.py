@@ -28,23 +28,38 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discarded(*dfs: DataFrame) -> None:
+    """Deletes written tables (see `checkpointed`) that nothing reads any more."""
+    for df in dfs:
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for file in df.inputFiles()[:1]:
+            path = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(conf).delete(path, True)
+
+
 def components(edges: DataFrame, *, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node with an edge; a component is named by its smallest node.
 
-    Large-star and small-star in turn (Kiveris et al., 2014) until nothing moves; each round is a written table, and the
-    driver sees one number a round. Self-loops and nulls are ignored."""
+    Large-star and small-star in turn (Kiveris et al., 2014) until nothing moves; each round is a written table that the next
+    replaces, and the driver sees a few numbers a round. A star's centre is one key of its many edges: such keys are dealt over
+    tasks. Self-loops and nulls are ignored."""
+    from lightframe.operators.skew import hot_keys, spread_join
+
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u != v")
     e = checkpointed(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while True:
         # large star: neighbours above a node go to its smallest neighbour
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        low = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+        up = spread_join(both.where("v > u"), low.select("u", "m"), ["u"], hot_keys(low, ["u"]), ["v"])
+        large = checkpointed(up.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
         # small star: a node and its neighbours below it go to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        least = checkpointed(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        down = spread_join(large, least.select("u", "m"), ["u"], hot_keys(least, ["u"]), ["v"])
+        small = down.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         new = checkpointed(small)
         moved = new.join(e, ["u", "v"], "left_anti").limit(1).count() + e.join(new, ["u", "v"], "left_anti").limit(1).count()
+        discarded(e, low, large, least)
         e = new
         if not moved:
             break

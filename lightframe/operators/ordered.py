@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from lightframe.operators.graph import checkpointed
 
 PART = "__part"
+#: Groups of up to so many rows are one task's, whatever their share.
+WHOLE_ROWS = 1024
+#: Groups of more rows are never one task's.
+MOST_ROWS = 1 << 20
 
 
 def ranged(df: DataFrame, *order: Column | str, partitions: int | None = None) -> DataFrame:
@@ -17,6 +21,17 @@ def ranged(df: DataFrame, *order: Column | str, partitions: int | None = None) -
     return checkpointed(df.repartitionByRange(n, *order).withColumn(PART, F.spark_partition_id()))
 
 
+def laid_out(df: DataFrame, by: list[str], *order: Column | str) -> tuple[DataFrame, bool]:
+    """`df` with PART, and whether groups may span parts. Where no group holds more than a quarter of a task's share, each
+    is one part and nothing is written; else rows are `ranged`."""
+    if by:
+        sizes = df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("total")).first()
+        share = (sizes["total"] or 0) // (4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        if (sizes["most"] or 0) <= max(WHOLE_ROWS, min(share, MOST_ROWS)):
+            return df.withColumn(PART, F.lit(0)), False
+    return ranged(df, *by, *order), True
+
+
 def before(parts: DataFrame, by: list[str], **carried: Column) -> DataFrame:
     """For each (by, PART) that follows another of its group: what `carried`, aggregates of a part, were in the earlier
     parts: the last one that isn't null."""
@@ -36,15 +51,31 @@ def carried(parts: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
     return parts.join(t, match, "left").drop(*(f"__on_{c}" for c in (*by, PART)))
 
 
-def running_sum(parts: DataFrame, by: list[str], order: list[Column | str], value: Column, name: str) -> DataFrame:
-    """Adds the running sum of `value` within each group, in order."""
+def running_sum(parts: DataFrame, by: list[str], order: list[Column | str], value: Column, name: str, *, split: bool = True) -> DataFrame:
+    """Adds the running sum of `value` within each group, in order; `split` as `laid_out` says."""
+    within = F.sum(value).over(Window.partitionBy(*by, PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    if not split:
+        return parts.withColumn(name, within)
     sums = parts.groupBy(*by, PART).agg(F.sum(value).alias("__sum"))
     earlier = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     ahead = sums.withColumn("__ahead", F.sum("__sum").over(earlier)).where("__ahead is not null").select(*by, PART, "__ahead")
-    within = F.sum(value).over(Window.partitionBy(*by, PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return carried(parts.withColumn(name, within), F.broadcast(ahead), by).withColumn(name, F.col(name) + F.coalesce("__ahead", F.lit(0))).drop("__ahead")
 
 
 def rank_within(df: DataFrame, by: list[str], order: list[Column | str], name: str) -> DataFrame:
     """Adds each row's rank, from 1, within its group."""
-    return running_sum(ranged(df, *by, *order), by, order, F.lit(1).cast("long"), name).drop(PART)
+    parts, split = laid_out(df, by, *order)
+    return running_sum(parts, by, order, F.lit(1).cast("long"), name, split=split).drop(PART)
+
+
+def with_previous(parts: DataFrame, by: list[str], order: list[str], split: bool, **columns: tuple[Column, bool]) -> DataFrame:
+    """Adds, under each name, what a column was in the row before; or, where told to skip nulls, in the last row before that
+    had it. Groups may span parts."""
+    w = Window.partitionBy(*by, PART).orderBy(*order)
+    back = w.rowsBetween(Window.unboundedPreceding, -1)
+    out = parts.withColumns({k: F.last(c, ignorenulls=True).over(back) if skip else F.lag(c).over(w) for k, (c, skip) in columns.items()})
+    if not split:
+        return out
+    place = F.struct(*order)
+    ends = before(parts, by, **{f"__end_{k}": F.max_by(c, F.when(c.isNotNull(), place) if skip else place) for k, (c, skip) in columns.items()})
+    return carried(out, ends, by).withColumns({k: F.coalesce(k, f"__end_{k}") for k in columns}).drop(*(f"__end_{k}" for k in columns))

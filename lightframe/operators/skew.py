@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lightframe.operators.graph import checkpointed
+
 #: No key with fewer rows counts as hot.
 LEAST_HOT = 1024
 #: Rows of a query set, or of a small side joined to every row, that are broadcast at once.
@@ -35,6 +37,14 @@ def spread_join(large: DataFrame, small: DataFrame, on: list[str], hot: DataFram
     return large.join(small, [*on, "__part"], how).drop("__part")
 
 
+def with_facts(df: DataFrame, facts: DataFrame, *by: str, deal: str, rows: str = "n") -> DataFrame:
+    """`df` with what `facts` has on its group (by, `rows`, ...; one row each), null groups as well. Groups that hold much of all rows
+    are dealt over tasks by the hash of `deal`; nothing gathers a group. The number of rows isn't added."""
+    group = F.struct(*(F.col(c).alias(c) for c in by)) if by else F.struct(F.lit(0).alias("all"))
+    held = checkpointed(facts.select(group.alias("__g"), F.col(rows).alias("n"), *(c for c in facts.columns if c not in (*by, rows))))
+    return spread_join(df.withColumn("__g", group), held.drop("n"), ["__g"], hot_keys(held, ["__g"]), [deal]).drop("__g")
+
+
 def blocks(queries: DataFrame, key: str, *, rows: int = BLOCK_ROWS) -> Iterator[DataFrame]:
     """A query set in broadcast blocks of about `rows` rows, so that all rows meet it block by block however large it is."""
     n = queries.count()

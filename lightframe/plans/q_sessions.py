@@ -9,6 +9,7 @@ from lightframe.functions.filters import visible
 from lightframe.operators import curate as C
 from lightframe.operators import sessions as S
 from lightframe.operators import timeline as T
+from lightframe.operators.skew import with_facts
 from lightframe.plans.q_scalars import _RANGE as RANGE_SQL
 from lightframe.plans.registry import query
 from lightframe.sources.adapters import ASSETS_SQL as A
@@ -156,9 +157,9 @@ def year_quota(spark, d):
 @query(A + f""", w AS (SELECT *, sum((kind = 'video')::INTEGER) OVER (PARTITION BY source_id ORDER BY taken_at, asset_id) AS i, count(*) OVER (PARTITION BY source_id) AS n FROM assets WHERE {V}),
   k AS (SELECT * FROM w WHERE kind <> 'video' OR i <= greatest(1, n // 6)) SELECT asset_id, source_id, kind, coalesce(substr(day, 1, 4) <> lag(substr(day, 1, 4)) OVER (PARTITION BY source_id ORDER BY taken_at, asset_id), true) AS new_year FROM k""")
 def running_cap(spark, d):
-    from pyspark.sql import Window
-
-    rows = assets(spark, d).where(visible()).withColumn("n", F.count("*").over(Window.partitionBy("source_id")))
+    rows = assets(spark, d).where(visible())
+    sizes = rows.groupBy("source_id").agg(F.count("*").alias("rows")).withColumn("n", F.col("rows"))
+    rows = with_facts(rows, sizes, "source_id", deal="asset_id", rows="rows")
     out = C.capped_running(rows, "source_id", item=F.col("kind") == "video", cap=F.greatest(F.lit(1), F.floor(F.col("n") / 6)))
     return out.select("asset_id", "source_id", "kind", "new_year")
 

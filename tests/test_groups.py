@@ -76,3 +76,93 @@ def test_series_carry_over_batches(spark):
     for s in want:
         by_light = sorted(s, key=lambda x: (x["exposure"], x["id"]))
         assert {i for i, k in got[s[0]["id"]] if k} == {by_light[len(s) // 2]["id"]}
+
+
+@pytest.mark.parametrize("whole", [0, 1 << 20])
+def test_ordered_by_either_route(spark, sf_dir, monkeypatch, whole):
+    """Groups in one part or over many: the same trips, islands, ranks, caps and names; one source holds a third of all rows."""
+    from lightframe.operators import curate as C
+    from lightframe.operators import ordered
+    from lightframe.operators import timeline as T
+    from lightframe.sources.adapters import assets
+
+    monkeypatch.setattr(ordered, "WHOLE_ROWS", whole)
+    a = assets(spark, sf_dir).withColumn("source_id", F.when(F.col("asset_id") % 3 == 0, None).otherwise(F.col("source_id") % 5))
+    rows = [r.asDict() | {"id": r["asset_id"]} for r in a.withColumn("ms", F.unix_millis("taken_at")).collect()]
+    rows.sort(key=lambda r: (r["ms"], r["id"]))
+    per = defaultdict(list)
+    for r in rows:
+        per[r["source_id"]].append(r)
+    home = T.home_city(a.where("source_id is not null"), "source_id")
+    m = S.summarise(S.segment(a.where("source_id is not null"), "source_id"), "source_id")
+    got = {(r["source_id"], r["first_id"], r["moments"]) for r in S.trips(m, home, "source_id").collect()}
+    homes = {r["source_id"]: r["home"] for r in home.collect()}
+    want = {(u, moments[run[0]][0]["id"], len(run)) for u, mine in per.items() if u is not None for moments in [B.segments(mine)] for run in B.trips(moments, homes[u])}
+    assert got == want
+    one = T.home_city(a).limit(1)
+    whole_library = S.summarise(S.segment(a))
+    moments = B.segments(rows)
+    assert {r["first_id"] for r in S.trips(whole_library, one).collect()} == {moments[run[0]][0]["id"] for run in B.trips(moments, one.first()["home"])}
+    ranks = {r["asset_id"]: r["k"] for r in ordered.rank_within(a, ["source_id"], ["taken_at", "asset_id"], "k").collect()}
+    assert all(ranks[r["id"]] == i for mine in per.values() for i, r in enumerate(mine, 1))
+    capped = {r["asset_id"]: r["new_year"] for r in C.capped_running(a, "source_id", item=F.col("kind") == "video", cap=F.lit(7)).collect()}
+    for mine in per.values():
+        n, year = 0, None
+        for r in mine:
+            n += r["kind"] == "video"
+            if r["kind"] == "video" and n > 7:
+                assert r["id"] not in capped
+            else:
+                assert capped[r["id"]] == (r["day"][:4] != year)
+                year = r["day"][:4]
+
+
+def test_hot_group_has_its_keeper_and_reasons(spark, monkeypatch):
+    """A group of a third of all rows, dealt over tasks: the same keeper and reasons as a plain loop's; null groups too."""
+    from lightframe.operators import skew
+
+    monkeypatch.setattr(skew, "LEAST_HOT", 5)
+    r = random.Random(9)
+    rows = [(i, r.choice([1, None, *range(10, 30)]) if i % 3 else 0, r.random() < 0.01, r.random() < 0.05, r.random(), r.random(), r.random() / 9, r.random() / 9, r.random() * 99, r.randint(1, 4000), r.randint(1, 4000), r.choice(("jpg", "heic", None)), r.randint(1, 10**6)) for i in range(900)]
+    df = spark.createDataFrame(rows, "asset_id long, g long, favorite boolean, in_album boolean, quality double, brightness double, clip_bright double, clip_dark double, sharpness double, width int, height int, ext string, size long")
+    groups = defaultdict(list)
+    for x in df.withColumns({"s": U.keep_score("burst"), "v": U.keep_score("visual"), "e": U.exposure_distance(F.col("brightness"), F.col("clip_bright"), F.col("clip_dark"))}).collect():
+        groups[x["g"]].append(x)
+    got = {x["g"]: (x["keep_id"], x["reasons"]) for x in U.burst_reasons(df, "g").collect()}
+    seen = {x["g"]: (x["keep_id"], x["reasons"]) for x in U.visual_reasons(df, "g").collect()}
+    assert set(got) == set(groups) and None in got
+    for g, mine in groups.items():
+        best, *others = sorted(mine, key=lambda x: (-x["s"], x["asset_id"]))
+        why = ["favourite"] * best["favorite"] + ["sharpest"] * bool(others and best["sharpness"] > 1.25 * sum(x["sharpness"] for x in others) / len(others)) + ["best exposed"] * bool(others and best["e"] + 0.04 < min(x["e"] for x in others))
+        assert got[g] == (best["asset_id"], why or ["best overall"])
+        best, *others = sorted(mine, key=lambda x: (-x["v"], x["asset_id"]))
+        mp = lambda x: x["width"] * x["height"] / 1e6
+        why = ["favourite"] * best["favorite"]
+        if others:
+            why += ["best resolution"] * (mp(best) > 1.2 * mp(others[0])) + ["original format"] * bool(best["ext"] and others[0]["ext"] and best["ext"] != others[0]["ext"] and best["ext"] in U.ORIGINAL) + ["most complete"] * (best["size"] > 1.3 * others[0]["size"])
+        assert seen[g] == (best["asset_id"], why or ["equal quality"])
+    stamps = df.select(F.col("g").alias("source_id"), "asset_id", F.timestamp_seconds(F.col("size") % 1000).alias("missing_at"))
+    kept = {x["asset_id"]: x["missing_at"] for x in S.restore_batch(stamps, F.lit(True)).collect()}
+    before = {x["asset_id"]: (x["source_id"], x["missing_at"]) for x in stamps.collect()}
+    newest = {g: max(t for s, t in before.values() if s == g) for g in groups}
+    assert all((kept[i] is None) == ((newest[g] - t).total_seconds() <= 120) for i, (g, t) in before.items())
+
+
+def test_finished_rounds_leave_no_tables(spark, tmp_path):
+    """A star, a chain and what components leave behind: the last round alone."""
+    import os
+
+    from lightframe.operators import graph
+
+    old = getattr(spark.sparkContext, "_lightframe_dir", None)
+    spark.sparkContext._lightframe_dir = f"file://{tmp_path}"
+    try:
+        edges = spark.range(1, 3000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")).unionByName(spark.range(5000, 5040).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+        out = graph.components(edges).groupBy("component").agg(F.count("*").alias("n")).collect()
+        assert {(x["component"], x["n"]) for x in out} == {(0, 3000), (5000, 41)}
+        assert len(os.listdir(tmp_path)) <= 1
+    finally:
+        if old is None:
+            del spark.sparkContext._lightframe_dir
+        else:
+            spark.sparkContext._lightframe_dir = old

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lightframe.functions.filters import cleanup_classes, visible
 from lightframe.functions.names import ORIGINAL
 from lightframe.operators import curate as C
+from lightframe.operators import ordered
 from lightframe.operators import sessions as S
 from lightframe.plans import jobs as J
 from lightframe.plans.queries import QUERIES
@@ -46,8 +47,9 @@ def catalogue(spark, sf_dir):
     return rows_of(assets(spark, sf_dir))
 
 
-def test_segments_span_tasks(spark, catalogue):
+def test_segments_span_tasks(spark, catalogue, monkeypatch):
     """One source in many ranges: what one range hands to the next is carried."""
+    monkeypatch.setattr(ordered, "WHOLE_ROWS", 0)
     df = spark.createDataFrame([(r["id"], None if r["id"] % 7 == 0 else 1, r["taken_at"], r["day"], r["city"], r["lat"], r["lon"]) for r in catalogue], "asset_id long, source_id long, taken_at timestamp, day string, city string, lat double, lon double")
     got = {r["asset_id"]: (r["source_id"], r["seg"]) for r in S.segment(df, "source_id").collect()}
     for source, mine in per([r | {"source_id": None if r["id"] % 7 == 0 else 1} for r in catalogue]).items():
