@@ -15,15 +15,19 @@ LEAST_HOT = 1024
 BLOCK_ROWS = 4096
 
 
-def hot_keys(counts: DataFrame, on: list[str], power: int = 1) -> DataFrame | None:
+def hot_keys(counts: DataFrame, on: list[str], power: int = 1, *, always: bool = False) -> DataFrame | None:
     """Of keys with their rows (on, n; a written table) those whose n ** power is over a quarter of a task's share, with the number of tasks
-    (`__parts`) that they are dealt over; None where there are none. There are at most four a task, so they are broadcast."""
+    (`__parts`) that they are dealt over. There are at most four a task, so they are broadcast. Where there are none: None, or with
+    `always` the largest key alone, in one part, so that plans are alike at every size."""
     work = F.pow(F.col("n").cast("double"), F.lit(power))
     total = counts.agg(F.sum(work).alias("work"), F.max("n").alias("most")).first()
     limit = max(LEAST_HOT, ((total["work"] or 0) / (4 * int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))) ** (1 / power))
+    hot = counts.where(F.col("n") > limit)
     if (total["most"] or 0) <= limit:
-        return None
-    return F.broadcast(counts.where(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).cast("int").alias("__parts")))
+        if not always or not total["most"]:
+            return None
+        hot = counts.where(F.col("n") == total["most"]).limit(1)
+    return F.broadcast(hot.select(*on, F.ceil(F.col("n") / limit).cast("int").alias("__parts")))
 
 
 def spread_join(large: DataFrame, small: DataFrame, on: list[str], hot: DataFrame | None, by: list[str], how: str = "inner") -> DataFrame:
