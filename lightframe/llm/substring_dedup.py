@@ -264,14 +264,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     found = stash(firsts.mapInArrow(_cut(window), "anchor long, seg long, k1 long, k2 long, width int, occurs long, starts array<int>"), "segments")
     again = stash(found.groupBy("anchor").agg(F.sum("occurs").alias("occurs"), F.count("*").alias("n")).where("occurs > 1"), "again")
-    kept = stash(spread_join(found, again.select("anchor"), ["anchor"], hot_keys(again, ["anchor"]), keys), "anchored")
+    kept = stash(spread_join(found, again.select("anchor"), ["anchor"], hot_keys(again, ["anchor"], always=True), keys), "anchored")
     drop_stash(found, again)
     distinct = stash(
         kept.groupBy("anchor", "seg", "width").agg(F.sum("occurs").alias("occurs"), F.count("*").alias("n"), F.min(F.struct("k1", "k2", F.col("starts")[0].alias("start"))).alias("at")).select("anchor", "seg", "width", "occurs", "n", "at.*"),
         "distinct",
     )
     many = stash(distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT_SEGMENTS), "many")
-    cuts = spread_join(distinct, many.select("anchor", F.lit(True).alias("hot")), ["anchor"], hot_keys(many, ["anchor"]), ["seg"], "left").groupBy(*keys).agg(F.collect_list(F.struct("anchor", "seg", "start", "width", "occurs", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("cuts"))
+    cuts = spread_join(distinct, many.select("anchor", F.lit(True).alias("hot")), ["anchor"], hot_keys(many, ["anchor"], always=True), ["seg"], "left").groupBy(*keys).agg(F.collect_list(F.struct("anchor", "seg", "start", "width", "occurs", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("cuts"))
     units = stash(
         firsts.join(cuts, keys).select("text", "cuts").mapInArrow(_words_of_segments(window), "anchor long, seg long, hot boolean, offset int, unit long, width int, occurs long, words binary"), "units"
     )
@@ -284,8 +284,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     # back from units to segments, from segments to texts
     of_unit = units.select("anchor", "seg", "offset", "unit").join(masks, ["anchor", "unit"])
     of_segment = of_unit.groupBy("anchor", "seg").agg(F.bit_or(F.call_function("shiftleft", F.col("mask"), F.col("offset"))).alias("mask"))
-    marks = spread_join(kept, of_segment, ["anchor", "seg"], hot_keys(distinct, ["anchor", "seg"]), keys).groupBy(*keys).agg(F.collect_list(F.struct("starts", "mask")).alias("marks"))
-    out = spread_join(rows, marks, keys, hot_keys(copies.withColumnRenamed("copies", "n"), keys), ["id"], "left").select("id", "text", "marks")
+    marks = spread_join(kept, of_segment, ["anchor", "seg"], hot_keys(distinct, ["anchor", "seg"], always=True), keys).groupBy(*keys).agg(F.collect_list(F.struct("starts", "mask")).alias("marks"))
+    out = spread_join(rows, marks, keys, hot_keys(copies.withColumnRenamed("copies", "n"), keys, always=True), ["id"], "left").select("id", "text", "marks")
     return out.mapInArrow(_remove(window), f"doc_id {kind}, n_words long, n_removed long, kept binary")
 
 
