@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lightframe.functions.vectors import dot, normalised
 from lightframe.operators.graph import checkpointed
+from lightframe.operators.similarity import best_mates, similar_pairs
 from lightframe.operators.skew import meet
 
 
@@ -90,11 +91,8 @@ def assign(df: DataFrame, centres: DataFrame, *, least: float = 0.55, key: str =
 
 def loose_mates(loose: DataFrame, *, found: float = 0.62, key: str = "vec_id", emb: str = "embedding") -> DataFrame:
     """Pairs (a, b, score), a < b, of unassigned rows that are each other's best mate, over `found`. Ties go to the lowest
-    key. The rows meet each other in blocks; each row keeps its best mate as it goes."""
-    rows = checkpointed(loose.select(key, emb))
-    other = rows.select(F.col(key).alias("__k"), F.col(emb).alias("__v"))
-    scored = meet(rows, other, "__k", F.col(key) != F.col("__k")).select(key, "__k", dot(F.col(emb), F.col("__v")).alias("s")).where(F.col("s") > found)
-    best = checkpointed(scored.groupBy(key).agg(F.max(F.struct("s", (-F.col("__k")).alias("m"))).alias("b")).select(F.col(key).alias("a"), (-F.col("b.m")).alias("b"), F.col("b.s").alias("score")))
+    key. Rows meet only in cells that can hold a mate (see `similarity`)."""
+    best = checkpointed(best_mates(loose, found=found, key=key, emb=emb))
     back = best.select(F.col("b").alias("a"), F.col("a").alias("b"))
     return best.join(back, ["a", "b"]).where("a < b").select("a", "b", "score")
 
@@ -102,10 +100,10 @@ def loose_mates(loose: DataFrame, *, found: float = 0.62, key: str = "vec_id", e
 def merge_suggestions(centres: DataFrame, refused: DataFrame, *, least: float = 0.40, k: int = 40) -> DataFrame:
     """Pairs of clusters that may be one: (id, named, n, centroid), named or bigger first. Pairs answered no, and pairs
     of two named ones, are left out; the best `k` by score."""
-    a = centres.select(*(F.col(c).alias(f"{c}_a") for c in ("id", "named", "n", "centroid")))
-    b = centres.select(*(F.col(c).alias(f"{c}_b") for c in ("id", "named", "n", "centroid")))
-    pairs = meet(a, b, "id_b", (F.col("id_a") < F.col("id_b")) & ~(F.col("named_a") & F.col("named_b")))
-    pairs = pairs.withColumn("score", dot(F.col("centroid_a"), F.col("centroid_b"))).where(F.col("score") >= least)
+    kept = checkpointed(centres.select("id", "named", "n", "centroid"))
+    a, b = (kept.select(*(F.col(c).alias(f"{c}_{x}") for c in ("id", "named", "n"))) for x in "ab")
+    near = similar_pairs(kept, least=least, key="id", emb="centroid").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), "score")
+    pairs = near.join(a, "id_a").join(b, "id_b").where(~(F.col("named_a") & F.col("named_b")))
     pairs = pairs.join(refused.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")), ["id_a", "id_b"], "left_anti")
     swap = (F.col("named_b") & ~F.col("named_a")) | ((F.col("named_a") == F.col("named_b")) & (F.col("n_b") > F.col("n_a")))
     out = pairs.select(F.when(swap, F.col("id_b")).otherwise(F.col("id_a")).alias("into"), F.when(swap, F.col("id_a")).otherwise(F.col("id_b")).alias("other"), F.round("score", 3).alias("score"))

@@ -9,6 +9,9 @@ from lightframe.operators import geo as G
 from lightframe.operators import images as M
 from lightframe.operators import search as T
 from lightframe.operators import vectors as X
+from lightframe.operators.graph import shared_folder
+from lightframe.operators.similarity import VectorIndex
+from lightframe.operators.similarity import similar_pairs as near_vectors
 from lightframe.plans.registry import query
 from lightframe.sources.adapters import ASSETS_SQL as A
 from lightframe.sources.adapters import assets, table
@@ -31,11 +34,25 @@ def vector_topk(spark, d):
     return X.search_all(e, e.where("vec_id % 100 = 0"), least=0.1).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
-@query(E + """, s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) AS s FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 3 = 0 AND b.vec_id % 3 = 0),
+@query(_ASKED + "SELECT query_id, vec_id, round(s, 6) AS score FROM p WHERE s >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) <= 20")
+def indexed_topk(spark, d):
+    """For every hundredth vector the twenty most like it, from a stored inverted file whose cells are skipped by bounds."""
+    e = _vectors(spark, d)
+    index = VectorIndex.write(e, f"{shared_folder(spark)}/vectors")
+    return index.search(e.where("vec_id % 100 = 0"), k=20, least=0.1).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query(E + "SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v), 6) AS score FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.4")
+def similar_pairs(spark, d):
+    """All pairs of vectors whose product is 0.4 or more."""
+    return near_vectors(_vectors(spark, d), least=0.4).select("a", "b", F.round("score", 6).alias("score"))
+
+
+@query(E + """, s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) AS s FROM e a JOIN e b ON a.vec_id <> b.vec_id),
   m AS (SELECT a, arg_max(b, (s, -b)) AS b, max(s) AS s FROM s WHERE s > 0.3 GROUP BY a) SELECT x.a, x.b, round(x.s, 6) AS score FROM m x JOIN m y ON x.b = y.a AND y.b = x.a WHERE x.a < x.b""")
 def loose_mates(spark, d):
-    """Unassigned vectors (a third of all) that are each other's best mate."""
-    return X.loose_mates(_vectors(spark, d).where("vec_id % 3 = 0"), found=0.3).select("a", "b", F.round("score", 6).alias("score"))
+    """Vectors that are each other's best mate of all."""
+    return X.loose_mates(_vectors(spark, d), found=0.3).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query(E + """, q AS (SELECT vec_id AS query_id, v AS w FROM e WHERE vec_id % 100 = 0), p AS (SELECT query_id, vec_id, list_dot_product(v, w) AS s FROM e JOIN q ON vec_id <> query_id)
@@ -185,8 +202,6 @@ _ASSET_TEXT = """trim(regexp_replace(concat_ws(' ', 'IMG ' || asset_id, event_ty
   SELECT query_id, asset_id, round(score, 6) AS score FROM s JOIN w USING (query_id) WHERE hits = words QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, asset_id) <= 400""")
 def asset_search(spark, d):
     """The catalogue's search texts as a stored index; every hundredth row asks for its type, person and day of the month."""
-    from lightframe.operators.graph import shared_folder
-
     a = assets(spark, d)
     shown = a.where(visible())
     path = f"{shared_folder(spark)}/index"

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lightframe.functions.vectors import dot, normalised
+from lightframe.functions.vectors import normalised
 from lightframe.operators import vectors as X
 from lightframe.operators.graph import checkpointed, components
 from lightframe.operators.reconcile import reconcile, vanished_under
-from lightframe.operators.skew import meet
+from lightframe.operators.similarity import similar_pairs
 
 
 def _km(a: tuple[float, float], b: tuple[float, float]) -> float:
@@ -148,9 +148,9 @@ def merged_clusters(clusters: DataFrame, *, least: float = 0.72) -> DataFrame:
     """Clusters (id, centroid, n, name) over `least` of each other become one: components over pairs with an unnamed end. It gets the
     lowest id, the mean by members and, of the names, the one of most members."""
     c = checkpointed(clusters)
-    x, y = (c.select(*(F.col(k).alias(f"{k}_{s}") for k in ("id", "centroid", "name"))) for s in "ab")
-    near = meet(x, y, "id_b", (F.col("id_a") < F.col("id_b")) & (F.col("name_a").isNull() | F.col("name_b").isNull()))
-    edges = near.where(dot(F.col("centroid_a"), F.col("centroid_b")) >= least).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    x, y = (c.select(F.col("id").alias(s), F.col("name").alias(f"name_{s}")) for s in "ab")
+    near = similar_pairs(c, least=least, key="id", emb="centroid").join(x, "a").join(y, "b")
+    edges = near.where(F.col("name_a").isNull() | F.col("name_b").isNull()).select("a", "b")
     of = c.join(components(edges), F.col("id") == F.col("node"), "left").withColumn("into", F.coalesce("component", "id"))
     sums = of.select("into", "n", F.posexplode("centroid").alias("i", "x")).groupBy("into", "i").agg(F.sum(F.col("x") * F.col("n")).alias("s"))
     mean = sums.groupBy("into").agg(normalised(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda e: e["s"])).alias("centroid"))  # one row a dimension
