@@ -34,16 +34,11 @@ def terms(text: Column) -> Column:
 
 
 def postings(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(term, key, tf, length): one row a term and document. Write it with `write_index`, so that it is made once."""
+    """(term, key, tf, length): one row a term and document. `text_index` stores them."""
     each = docs.select(key, terms(F.coalesce(text, F.lit(""))).alias("t")).select(key, F.size("t").alias("length"), F.explode("t").alias("term"))
     return each.groupBy("term", key, "length").agg(F.count("*").alias("tf"))
 
 
-def write_index(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text") -> None:
-    """Stores postings sorted by term, so that prefixes read few row groups."""
-    postings(docs, key=key, text=text).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(path)
-
-
 def query_words(queries: DataFrame, *, key: str = "query_id", text: str = "text") -> DataFrame:
     """(key, word): the distinct words of two or more letters of each query, folded like the documents'."""
     return queries.select(key, F.explode(F.array_distinct(terms(F.coalesce(text, F.lit(""))))).alias("word")).where(F.length("word") > 1)
@@ -53,29 +48,59 @@ def bm25(index: DataFrame, words: DataFrame, *, docs: int, k: int = 400, k1: flo
     """(query, key, score, rank): for each query the `k` best documents that hold, for each of its `words` (query, word), a term
     with that prefix. `index` has the postings of all `docs` documents.
 
-    The vocabulary meets the words by their prefixes. A query's documents are those of its rarest word; its other words are
-    looked up for these alone."""
-    words = checkpointed(words.select(query, "word").distinct())
+    Terms meet the words by their prefixes. A query's documents are those of its rarest word; its other words are looked up for
+    these alone. See `text_index` for an index that is stored with what its search needs."""
     index = index.select("term", key, "tf", "length")
     total = index.agg(F.sum("tf").alias("t")).first()["t"] or 0
-    vocabulary = index.groupBy("term").agg(F.count("*").alias("n"))
-    sizes = [r["n"] for r in words.select(F.length("word").alias("n")).distinct().collect()]  # lengths of words: a few numbers
+    hits = with_prefixes(index, words).groupBy("word", key, "length").agg(F.sum("tf").alias("tf"))
+    return scored(hits, words, docs=docs, tokens=total, k=k, k1=k1, b=b, key=key, query=query)
+
+
+def with_prefixes(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """`rows` (term, ...) beside each of the distinct `words` (word) that their term begins with. A word is a prefix of one
+    length, so this is an equi-join; a small set of words is broadcast by its measured size."""
+    distinct = checkpointed(words.select("word").where(F.length("word") > 0).distinct())
+    sizes = [r["n"] for r in distinct.select(F.length("word").alias("n")).distinct().collect()]  # lengths of words: a few numbers
     prefix = F.explode(F.transform(F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: n <= F.length("term")), lambda n: F.substring(F.col("term"), F.lit(1), n)))
-    wanted = vocabulary.select("term", "n", prefix.alias("word")).join(words.select("word").distinct(), "word")
-    wanted = checkpointed(wanted) if sizes else wanted.limit(0)
-    each = index.join(wanted.select("term", "word"), "term")
-    hits = checkpointed(each.groupBy("word", key, "length").agg(F.sum("tf").alias("tf")))
+    few = distinct.agg(F.sum(F.octet_length("word") + 16).alias("b")).first()["b"] or 0
+    return rows.withColumn("word", prefix).join(F.broadcast(distinct) if few <= 4 << 20 else distinct, "word")
+
+
+def scored(hits: DataFrame, words: DataFrame, *, docs: int, tokens: int, k: int = 400, k1: float = 1.2, b: float = 0.75, key: str = "doc_id", query: str = "query_id") -> DataFrame:
+    """(query, key, score, rank) from `hits` (word, key, length, tf), one row a word and document that has it.
+
+    Of the documents of a query's rarest word those that can still be among the `k` best are looked up under its other
+    words: first those where the rarest word counts most, which set a bar, then those that could reach it if every other word
+    counted as much as it does anywhere."""
+    words = checkpointed(words.select(query, "word").distinct())
+    hits = checkpointed(hits)
     df = checkpointed(hits.groupBy("word").agg(F.count("*").alias("n")))
     idf = F.greatest(F.log((docs - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
-    mean = total / max(1, docs)
+    mean = max(tokens, 1) / max(1, docs)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
-    scored = hits.join(df, "word").select("word", key, part.alias("part"))
-    ranked = words.join(df, "word", "left")
-    each_query = ranked.groupBy(query).agg(F.count("*").alias("words"), F.count("n").alias("found"), F.min_by("word", F.struct("n", "word")).alias("lead")).where("words = found")
-    candidates = scored.select(F.col("word").alias("lead"), key).join(each_query.select(query, "lead"), "lead").drop("lead")
-    pairs = candidates.join(words, query).join(scored, ["word", key])
-    out = pairs.groupBy(query, key).agg(F.count("*").alias("hits"), F.sum("part").alias("score")).join(each_query.select(query, "words"), query).where("hits = words")
+    parts = checkpointed(hits.join(df, "word").select("word", key, part.alias("part")))
+    most = parts.groupBy("word").agg(F.max("part").alias("most"), F.count("*").alias("n"))
+    ranked = words.join(most, "word", "left")
+    each = ranked.groupBy(query).agg(F.count("*").alias("words"), F.count("n").alias("found"), F.min_by(F.struct("word", "most"), F.struct("n", "word")).alias("lead"), F.sum("most").alias("all"))
+    each = checkpointed(each.where("words = found").select(query, "words", F.col("lead.word").alias("lead"), (F.col("all") - F.col("lead.most")).alias("others")))
+    # leading documents by what the lead counts, one rank a word whatever its queries
+    place = F.row_number().over(Window.partitionBy("word").orderBy(F.col("part").desc(), key))
+    leads = parts.join(each.select(F.col("lead").alias("word")).distinct(), "word", "left_semi").select(F.col("word").alias("lead"), key, F.col("part").alias("lead_part"))
+    few = leads.withColumnRenamed("lead", "word").withColumnRenamed("lead_part", "part").withColumn("r", place).where(F.col("r") <= 4 * k).select(F.col("word").alias("lead"), key, F.col("part").alias("lead_part"))
+
+    def whole(candidates: DataFrame) -> DataFrame:
+        pairs = candidates.select(query, key).join(words, query).join(parts, ["word", key])
+        sums = pairs.groupBy(query, key).agg(F.count("*").alias("hits"), F.sum("part").alias("score"))
+        return sums.join(each.select(query, "words"), query).where("hits = words").select(query, key, "score")
+
     best = F.row_number().over(Window.partitionBy(query).orderBy(F.round("score", 9).desc(), key))
+    first = checkpointed(whole(few.join(each, "lead")))
+    out = first
+    if leads.groupBy("lead").agg(F.count("*").alias("n")).where(F.col("n") > 4 * k).limit(1).count():
+        bar = first.withColumn("r", best).where(F.col("r") <= k).groupBy(query).agg(F.count("*").alias("n"), F.min("score").alias("bar")).where(F.col("n") == k).select(query, "bar")
+        rest = leads.join(few.select("lead", key), ["lead", key], "left_anti").join(each, "lead").join(bar, query, "left")
+        more = rest.where(F.col("bar").isNull() | (F.col("lead_part") + F.col("others") >= F.col("bar") - 1e-8))
+        out = first.unionByName(whole(more))
     return out.select(query, key, "score", best.alias("rank")).where(F.col("rank") <= k)
 
 

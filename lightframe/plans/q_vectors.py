@@ -12,6 +12,7 @@ from lightframe.operators import vectors as X
 from lightframe.operators.graph import shared_folder
 from lightframe.operators.similarity import VectorIndex
 from lightframe.operators.similarity import similar_pairs as near_vectors
+from lightframe.operators.text_index import TextIndex
 from lightframe.plans.registry import query
 from lightframe.sources.adapters import ASSETS_SQL as A
 from lightframe.sources.adapters import assets, table
@@ -136,20 +137,51 @@ top AS (SELECT query_id, doc_id, score FROM s JOIN w USING (query_id) WHERE hits
 """
 
 
+#: Where this session stored the index of a folder's documents.
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def _stored_index(spark, d, again: bool = False) -> TextIndex:
+    """The index of all documents, stored once a session and folder."""
+    at = (spark.sparkContext.applicationId, d)
+    if again or at not in _STORED:
+        path = f"{shared_folder(spark)}/text"
+        TextIndex(spark, path).upsert(table(spark, d, "documents"))
+        _STORED[at] = path
+    return TextIndex(spark, _STORED[at])
+
+
+@query("""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(strip_accents(lower(coalesce(text, ''))), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM documents),
+  x AS (SELECT doc_id, unnest(t) AS term FROM t) SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS tokens FROM x GROUP BY 1""")
+def text_index(spark, d):
+    """The vocabulary of a newly stored index of all documents."""
+    return _stored_index(spark, d, again=True).postings().groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("tokens"))
+
+
+@query("""WITH v AS (SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN 'changed ' || coalesce(text, '') ELSE text END AS text FROM documents WHERE doc_id % 5 <> 1 OR doc_id % 7 = 3),
+  t AS (SELECT doc_id, list_filter(regexp_split_to_array(strip_accents(lower(coalesce(text, ''))), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM v),
+  x AS (SELECT doc_id, unnest(t) AS term FROM t) SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS tokens FROM x GROUP BY 1""")
+def changed_text_index(spark, d):
+    """The vocabulary after a fifth of the documents was deleted, a seventh changed, and segments merged."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    index = TextIndex(spark, f"{shared_folder(spark)}/text")
+    index.upsert(docs)
+    index.delete(docs.where("doc_id % 5 = 1"))
+    index.upsert(docs.where("doc_id % 7 = 3").withColumn("text", F.concat(F.lit("changed "), F.coalesce("text", F.lit("")))))
+    index.merge()
+    return index.postings().groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("tokens"))
+
+
 def _text_hits(spark, d):
     """Every hundredth document asks for its two longest words."""
-    from lightframe.operators.graph import checkpointed
-
-    docs = table(spark, d, "documents")
-    index = checkpointed(T.postings(docs))
     longest = F.slice(F.array_sort(F.transform(F.array_distinct(T.terms(F.coalesce("text", F.lit("")))), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), 1, 2)
-    words = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.explode(longest).alias("x")).select("query_id", F.col("x.t").alias("word")).where(F.length("word") > 1)
-    return T.bm25(index, words, docs=docs.count())
+    words = table(spark, d, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.explode(longest).alias("x")).select("query_id", F.col("x.t").alias("word")).where(F.length("word") > 1)
+    return _stored_index(spark, d).search(words)
 
 
 @query(BM25 + "SELECT query_id, doc_id, round(score, 6) AS score FROM top")
 def bm25_search(spark, d):
-    """The four hundred best documents for each query, of an index that is built once for all of them."""
+    """The four hundred best documents for each query, of the stored index."""
     return _text_hits(spark, d).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -204,10 +236,10 @@ def asset_search(spark, d):
     """The catalogue's search texts as a stored index; every hundredth row asks for its type, person and day of the month."""
     a = assets(spark, d)
     shown = a.where(visible())
-    path = f"{shared_folder(spark)}/index"
-    T.write_index(_search_texts(shown), path, key="asset_id", text="content")
+    index = TextIndex(spark, f"{shared_folder(spark)}/text", key="asset_id")
+    index.upsert(_search_texts(shown), text="content")
     asked = a.where("asset_id % 100 = 0").select(F.col("asset_id").alias("query_id"), F.concat_ws(" ", "event_type", F.concat(F.lit("P"), F.col("source_id").cast("string")), F.substring("day", 9, 2)).alias("text"))
-    hits = T.bm25(spark.read.parquet(path), T.query_words(asked), docs=shown.count(), key="asset_id")
+    hits = index.search(T.query_words(asked))
     return hits.select("query_id", "asset_id", F.round("score", 6).alias("score"))
 
 
