@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from lightframe.operators import vectors as X
 from lightframe.operators.graph import shared_folder
+from lightframe.plans.q_sessions import SEG as SEGMENTS_SQL
 from lightframe.plans.registry import query
 from lightframe.sources import export as E
 from lightframe.sources.adapters import ASSETS_SQL as A
 from lightframe.sources.adapters import assets, table
+from lightframe.streaming import late as LR
 from lightframe.streaming import live as L
-
+from lightframe.streaming.stages import Stage
 
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -36,6 +38,49 @@ def live_moments(spark, d) -> DataFrame:
     return _through(L.live_segments(rows), shared_folder(spark))
 
 
+def _settled(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """`_through` with the store that keyed state needs."""
+    was = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    LR.state_store(spark)
+    try:
+        return _through(df, shared_folder(spark))
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
+
+
+@query(SEGMENTS_SQL + "SELECT source_id, asset_id, seg, false AS is_late FROM s")
+def settled_moments(spark, d) -> DataFrame:
+    """Shown events streamed through the segmentation that waits for the watermark."""
+    k, i = F.get_json_object("props", "$.k").cast("long"), F.col("event_id")
+    rows = _stream(spark, d, "events").where((i % 17 != 0) & (i % 19 != 0) & (i % 23 != 0)).select(
+        i.alias("asset_id"), F.col("user_id").alias("source_id"), F.col("ts").cast("timestamp").alias("taken_at"), F.date_format("ts", "yyyy-MM-dd").alias("day"),
+        F.when(k % 3 != 0, F.concat(F.lit("C"), (k % 5).cast("string"))).alias("city"), F.when(k % 3 != 0, F.lit(40.0) + (k % 5) * F.lit(0.1)).alias("lat"), F.when(k % 3 != 0, (k % 7) * F.lit(0.1)).alias("lon"),
+    )
+    return _settled(spark, LR.settled_segments(rows, delay="0 seconds"))
+
+
+@query("""WITH h AS (SELECT event_id, epoch_us(ts) // 1000 AS ms, substr(md5((event_id // 4)::VARCHAR), 1, 15) || (event_id % 2 * 7) AS phash FROM events), x AS (SELECT *, ('0x' || substr(phash, 1, 8))::BIGINT AS p, ('0x' || substr(phash, 9, 8))::BIGINT AS q FROM h)
+  SELECT m.event_id AS a, n.event_id AS b, (bit_count(xor(m.p, n.p)) + bit_count(xor(m.q, n.q)))::INTEGER AS bits FROM x m JOIN x n ON substr(m.phash, 1, 12) = substr(n.phash, 1, 12) AND m.event_id < n.event_id
+  WHERE abs(m.ms - n.ms) <= 864000000 AND bit_count(xor(m.p, n.p)) + bit_count(xor(m.q, n.q)) <= 3""")
+def near_arrivals(spark, d) -> DataFrame:
+    """Events that resemble each other within ten days, found as they arrive."""
+    i = F.col("event_id")
+    phash = F.concat(F.substring(F.md5(F.floor(i / 4).cast("string").cast("binary")), 1, 15), (i % 2 * 7).cast("string"))
+    rows = _stream(spark, d, "events").select(i.alias("asset_id"), F.col("ts").cast("timestamp").alias("taken_at"), phash.alias("phash"))
+    return _settled(spark, LR.near_arrivals(rows, within_seconds=864_000, delay="0 seconds"))
+
+
+@query("""WITH e AS (SELECT 'u' || (user_id % 50) AS path, ts, event_id AS seq, floor(value)::BIGINT AS size, event_type = 'error' AS gone FROM events),
+  f AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY path ORDER BY ts, seq)) >= 3600000000, true) AS new FROM e), g AS (SELECT *, sum(new::INTEGER) OVER (PARTITION BY path ORDER BY ts, seq) AS n FROM f)
+  SELECT path, epoch_us(min(ts)) // 1000 AS first_ms, epoch_us(max(ts)) // 1000 AS last_ms, count(*) AS events, arg_max(size, seq) AS size, arg_max(gone, seq) AS gone FROM g GROUP BY path, n
+  HAVING epoch_us(max(ts)) + 3600000000 <= (SELECT epoch_us(max(ts)) // 1000 * 1000 FROM events)""")
+def debounced_feed(spark, d) -> DataFrame:
+    """Events as changes of fifty paths: one row for each burst that has been quiet for an hour, which stands for the feature's seconds."""
+    feed = _stream(spark, d, "events").select(F.concat(F.lit("u"), (F.col("user_id") % 50).cast("string")).alias("path"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), F.floor("value").alias("size"), (F.col("event_type") == "error").alias("gone"))
+    bursts = LR.debounced(feed, "path", gap="1 hour", delay="0 seconds", fields=("size", "gone"))
+    return _through(bursts, shared_folder(spark)).select("path", F.unix_millis("first_at").alias("first_ms"), F.unix_millis("last_at").alias("last_ms"), "events", "size", "gone")
+
+
 @query("""WITH e AS (SELECT o_orderkey AS seq, 'g' || (o_custkey % 20) || '/f' || (o_orderkey % 200) AS path, o_custkey % 2 + o_orderkey % 3 AS size, o_orderkey % 5 AS mtime, o_orderstatus = 'F' AS gone FROM orders
     UNION ALL SELECT 10000000 + c_custkey, 'g' || c_custkey, 0, 0, true FROM customer WHERE c_custkey % 20 = 3 AND c_custkey < 20),
   l AS (SELECT path, arg_max(size, seq) AS size, arg_max(mtime, seq) AS mtime, arg_max(gone, seq) AS gone FROM e GROUP BY path),
@@ -77,6 +122,20 @@ def staged_work(spark, d) -> DataFrame:
     return out.select("asset_id", "thumb", "thumb_version")
 
 
+@query(A + """SELECT asset_id, CASE WHEN k % 4 = 0 THEN 0 WHEN asset_id % 9 = 0 THEN 2 ELSE 1 END AS state, CASE WHEN k % 4 <> 0 THEN 2 END AS state_version FROM assets""")
+def staged_batches(spark, d) -> DataFrame:
+    """A stage over the catalogue in three or four batches, the newest first: stopped after one, then resumed; then a newer version of it."""
+    rows = assets(spark, d).select("asset_id", "taken_at", (F.col("k") % 4 != 0).cast("int").alias("meta"))
+    size = max(1, rows.where("meta = 1").count() // 3)
+    work = lambda due: due.select("asset_id", (F.col("asset_id") % 9 != 0).alias("ok"))
+    path = f"{shared_folder(spark)}/stage"
+    Stage(spark, path, need="meta", batch_rows=size).run(rows, work, most_batches=1)
+    Stage(spark, path, need="meta", batch_rows=size).run(rows, work)
+    newer = Stage(spark, path, need="meta", version=2, batch_rows=size)
+    newer.run(rows, work)
+    return newer.state(rows).select("asset_id", "state", "state_version")
+
+
 @query("SELECT DISTINCT event_type || ':' || floor(value)::BIGINT AS digest FROM events")
 def live_exact(spark, d) -> DataFrame:
     """First arrivals of each digest, from a stream that is read once."""
