@@ -54,11 +54,14 @@ def diverse(df: DataFrame, by: str, *, pick: int | str, spread_minutes: float =
         pdf = pdf.sort_values([key], kind="stable").reset_index(drop=True)
         n = len(pdf)
         wanted = pick if isinstance(pick, int) else int(pdf[pick].iloc[0])
-        at = pdf["taken_at"].astype("int64").to_numpy() / 6e10 if str(pdf["taken_at"].dtype).startswith("datetime64[ns") else pdf["taken_at"].astype("datetime64[ns]").astype("int64").to_numpy() / 6e10
+        at = pdf["taken_at"].astype("datetime64[ns]").astype("int64").to_numpy() / 6e10
         has = pdf["emb"].notna().to_numpy()
         base = 0.7 * pdf["quality"].to_numpy(float) + 0.35 * pdf["favorite"].to_numpy(float) + np.minimum(0.25, 0.1 * pdf["faces"].to_numpy(float)) - 0.05 * ~has
-        emb = [np.asarray(e, float) if ok else None for e, ok in zip(pdf["emb"], has, strict=True)]
-        bits = [int(h, 16) if isinstance(h, str) else None for h in pdf["phash"]]
+        emb = np.zeros((n, max((len(e) for e in pdf["emb"][has]), default=1)))
+        for i in np.flatnonzero(has):
+            emb[i] = pdf["emb"].iloc[i]
+        seen = np.array([isinstance(h, str) for h in pdf["phash"]])
+        bits = np.array([int(h, 16) if isinstance(h, str) else 0 for h in pdf["phash"]], np.uint64)
         like, near = np.zeros(n), np.zeros(n)
         alive, chosen = np.ones(n, bool), []
         while alive.any() and len(chosen) < wanted:
@@ -66,24 +69,39 @@ def diverse(df: DataFrame, by: str, *, pick: int | str, spread_minutes: float =
             i = int(value.argmax())
             chosen.append(i)
             alive[i] = False
-            for j in np.flatnonzero(alive):
-                if emb[i] is not None and emb[j] is not None:
-                    c = float(emb[i] @ emb[j])
-                    drop, sim = c > 0.93, max(0.0, (c - 0.5) / 0.5)
-                elif bits[i] is not None and bits[j] is not None:
-                    h = (bits[i] ^ bits[j]).bit_count()
-                    drop, sim = h <= 8, max(0.0, 1 - h / 24)
-                else:
-                    drop, sim = False, 0.0
-                if drop:
-                    alive[j] = False
-                like[j] = max(like[j], sim)
-                near[j] = max(near[j], max(0.0, 1 - abs(at[i] - at[j]) / spread_minutes))
+            vectors = has & has[i]
+            hashes = ~vectors & seen & seen[i]
+            c, h = emb @ emb[i], np.bitwise_count(bits ^ bits[i])
+            alive &= ~((vectors & (c > 0.93)) | (hashes & (h <= 8)))
+            like = np.maximum(like, np.where(vectors, np.maximum(0.0, (c - 0.5) / 0.5), np.where(hashes, np.maximum(0.0, 1 - h / 24), 0.0)))
+            near = np.maximum(near, np.maximum(0.0, 1 - np.abs(at - at[i]) / spread_minutes))
         out = pdf.iloc[chosen][[by, key, "taken_at"]].copy()
         out["pick_order"] = np.arange(len(chosen), dtype="int32")
         return out.sort_values(["taken_at", key])
 
-    return df.select(by, key, "taken_at", "quality", "favorite", "faces", "emb", "phash", *([] if isinstance(pick, int) else [pick])).groupBy(by).applyInPandas(choose, schema)
+    def each(frames):
+        """One group after another; a group may span batches."""
+        held: list[pd.DataFrame] = []
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            name, before = pdf[by], pdf[by].shift()
+            edges = [*np.flatnonzero((name.ne(before) & ~(name.isna() & before.isna())).to_numpy()).tolist(), len(pdf)]
+            edges[0] = 0
+            first = held[0][by].iloc[0] if held else None
+            if held and name.iloc[0] != first and not (pd.isna(name.iloc[0]) and pd.isna(first)):
+                yield choose(pd.concat(held))
+                held = []
+            for start, stop in zip(edges, edges[1:], strict=False):
+                held.append(pdf.iloc[start:stop])
+                if stop < len(pdf):
+                    yield choose(pd.concat(held))
+                    held = []
+        if held:
+            yield choose(pd.concat(held))
+
+    rows = df.select(by, key, "taken_at", "quality", "favorite", "faces", "emb", "phash", *([] if isinstance(pick, int) else [pick]))
+    return rows.repartition(by).sortWithinPartitions(by, key).mapInPandas(each, schema)
 
 
 def year_quota(df: DataFrame, target: int, *by: str, day: str = "day") -> DataFrame:
