@@ -166,3 +166,37 @@ def test_finished_rounds_leave_no_tables(spark, tmp_path):
             del spark.sparkContext._lightframe_dir
         else:
             spark.sparkContext._lightframe_dir = old
+
+
+@pytest.mark.parametrize("successors", [39, 3, None])
+def test_dense_bursts(spark, monkeypatch, successors):
+    """Many rows in one slot of time: the same pairs as a plain loop's; divided slots have bounded parts."""
+    from lightframe.operators import skew
+
+    monkeypatch.setattr(skew, "LEAST_HOT", 20)
+    r = random.Random(3)
+    base = [r.getrandbits(64) for _ in range(3)]
+    rows = []
+    for i in range(700):
+        h = r.choice(base)
+        for _ in range(r.randint(0, 9)):
+            h ^= 1 << r.randrange(64)
+        ms = 1_700_000_000_000 + (r.randrange(20_000) if i < 400 else r.randrange(600_000))
+        rows.append((i, i % 2, ms, f"{h:016x}" if i % 50 else None, f"q{r.randrange(300)}", r.choice(("jpg", "heic")), 1, 1))
+    df = spark.createDataFrame(rows, "asset_id long, u int, ms long, phash string, qhash string, ext string, width int, height int").withColumn("taken_at", F.timestamp_millis("ms"))
+    got = {tuple(x) for x in U.burst_pairs(df, "u", successors=successors).collect()}
+    want = set()
+    for u in (0, 1):
+        mine = sorted((x for x in rows if x[1] == u and x[3] is not None), key=lambda x: (x[2], x[0]))
+        for k, a in enumerate(mine):
+            for b in mine[k + 1 : k + 1 + successors] if successors else mine[k + 1 :]:
+                n = (int(a[3], 16) ^ int(b[3], 16)).bit_count()
+                if b[2] - a[2] <= 20_000 and n <= 14 and a[4] != b[4] and not (n <= 3 and a[5:] != b[5:]):
+                    want.add((a[0], b[0], n))
+    assert want and got == want
+
+
+def test_ten_thousand_rows_in_twenty_seconds(spark):
+    """Successors bound the pairs that are looked at, whatever the density."""
+    df = spark.range(10_000).select(F.col("id").alias("asset_id"), F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("id") * 2).alias("taken_at"), F.lpad(F.lower(F.hex(F.col("id"))), 16, "0").alias("phash"), F.col("id").cast("string").alias("qhash"), F.lit("a").alias("ext"), F.lit(1).alias("width"), F.lit(1).alias("height"))
+    assert U.burst_pairs(df, bits=64).count() == 39 * 10_000 - 39 * 40 // 2
