@@ -14,6 +14,7 @@ its own, whatever the fault. One that stays unreadable fails the task, so that S
 from __future__ import annotations
 
 import hashlib
+import contextlib
 import json
 import re
 import struct
@@ -109,7 +110,10 @@ class ArchiveWriter(DataSourceArrowWriter):
                     name, n = f"{uuid.uuid4().hex}.zip", 0
                     out = fs.open_output_stream(f"{root}/{name}")
                     zipped = zipfile.ZipFile(_Forward(out), "w", zipfile.ZIP_STORED)
-                info = zipfile.ZipInfo(f"{n:08d}.png" if member is None else f"{n:08d}/{quote(member, safe='')}.png")
+                inside = f"{n:08d}.png" if member is None else f"{n:08d}/{quote(member, safe='')}.png"
+                if len(inside) > MOST_NAME:
+                    raise ValueError(f"an id of {len(member)} characters doesn't fit the name of a member")
+                info = zipfile.ZipInfo(inside)
                 zipped.writestr(info, to_png(padded(text)))
                 n += 1
                 if out.tell() >= self.archive_bytes:
@@ -122,13 +126,20 @@ class ArchiveWriter(DataSourceArrowWriter):
     def commit(self, messages):
         fs, root = _open(self.path)
         fs.create_dir(root, recursive=True)
-        before = _manifests(fs, root) if self.overwrite else []
+        before = _manifests(fs, root)
+        if not before and not self.overwrite and any(not OWN_NAME.fullmatch(name) for name, _ in _listed(self.path)):
+            raise ValueError(f"{root} holds archives that no list names; a list would hide them: overwrite, or choose another directory")
+        stale = [name for name, _ in _listed(self.path)] if before and self.overwrite else []
         name = f"{root}/{MANIFEST}-{uuid.uuid4().hex}"
         with fs.open_output_stream(f"{name}.part") as f:
             f.write(json.dumps([list(f) for m in messages if m is not None for f in m.files]).encode())
         fs.move(f"{name}.part", f"{name}.json")
-        for old in before:
-            fs.delete_file(old)
+        if self.overwrite:  # what the old lists named goes after them, so that no reader of a list misses an archive for long
+            for old in before:
+                fs.delete_file(old)
+            for name in stale:
+                with contextlib.suppress(FileNotFoundError):
+                    fs.delete_file(f"{root}/{name}")
 
     def abort(self, messages):
         fs, root = _open(self.path)
@@ -136,6 +147,12 @@ class ArchiveWriter(DataSourceArrowWriter):
             fs.delete_file(f"{root}/{name}")
 
 
+#: Archives of this writer, whose list may still be to come.
+OWN_NAME = re.compile(r"[0-9a-f]{32}\.zip")
+#: Bytes of a member's name that the format can hold.
+MOST_NAME = 65_535
+
+
 class _Forward:
     """A file object for zipfile over a stream that can't seek."""
 
@@ -155,7 +172,8 @@ def _manifests(fs: pafs.FileSystem, root: str) -> list[str]:
 
 
 def _listed(path: str) -> list:
-    """Names and sizes of the archives in a directory; an error if there is no such directory."""
+    """Names and sizes of the archives in a directory, by its lists or, where it has none, those there are; an error if there is
+    no such directory."""
     fs, root = _open(path)
     lists = _manifests(fs, root)
     if not lists:
@@ -287,11 +305,13 @@ class MediaArchive(DataSource):
         return ArchiveWriter(self.options["path"], int(self.options.get("archive_bytes", ARCHIVE_BYTES)), overwrite)
 
 
-def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Stores each row's text, padded, as a member named by the row's id (nothing for null). Null texts are empty."""
+def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", archive_bytes: int = ARCHIVE_BYTES, overwrite: bool = False) -> None:
+    """Stores each row's text, padded, as a member named by the row's id (nothing for null). Null texts are empty. An id whose quoted
+    form exceeds MOST_NAME bytes fails, and so does adding to a directory with archives that no list names. `overwrite`
+    replaces all archives that the directory's lists name."""
     docs.sparkSession.dataSource.register(MediaArchive)
     rows = docs.select(F.col(id_col).cast("string").alias("member"), F.col(text_col).cast("binary").alias("payload"))
-    rows.write.format("media_archive").mode("append").option("archive_bytes", archive_bytes).option("path", path).save()
+    rows.write.format("media_archive").mode("overwrite" if overwrite else "append").option("archive_bytes", archive_bytes).option("path", path).save()
 
 
 def read(spark: SparkSession, path: str, **options) -> DataFrame:

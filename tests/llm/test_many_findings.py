@@ -66,3 +66,28 @@ def test_many_rows_of_one_id_and_text(spark):
         want = [(*((i, text, few[0]) for i in ids),), (9999, other, few[2]), (10_000, "short", few[3])]
         assert got == sorted(repr((i, *f[1:])) for i, _, f in (*want[0], *want[1:]))
     assert max(took["null"], took["one"]) < 2 * took["distinct"] + 10
+
+
+def test_archives_of_others_and_overwrites(spark, tmp_path):
+    """A list never hides archives that another program wrote; an overwrite takes the old archives with it; ids that don't fit fail."""
+    import zipfile
+
+    import pytest
+
+    from lightframe.llm import media_archive as M
+
+    rows = spark.createDataFrame([("a", "text")], "doc_id string, text string")
+    foreign = tmp_path / "foreign"
+    foreign.mkdir()
+    with zipfile.ZipFile(foreign / "a.zip", "w") as z:
+        z.writestr("x.bin", b"x")
+    with pytest.raises(Exception, match="overwrite, or choose another"):
+        M.write(rows, str(foreign))
+    assert [r["member"] for r in M.read(spark, str(foreign)).collect()] == ["x.bin"] and [f.name for f in foreign.iterdir()] == ["a.zip"]
+    path = tmp_path / "own"
+    M.write(rows, str(path))
+    old = {f.name for f in path.glob("*.zip")}
+    M.write(rows, str(path), overwrite=True)
+    assert len(list(path.glob("*.zip"))) == 1 and not old & {f.name for f in path.glob("*.zip")}
+    with pytest.raises(Exception, match="doesn't fit"):
+        M.write(spark.createDataFrame([("x" * 70_000, "t")], "doc_id string, text string"), str(tmp_path / "long"))
