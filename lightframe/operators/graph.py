@@ -37,6 +37,16 @@ def discarded(*dfs: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Up to so many edges no star's centre is worth dealing over tasks.
+FEW_EDGES = 1 << 17
+
+
+def _told(edges: DataFrame) -> tuple:
+    """Number of edges, and two sums that tell one set of edges from another."""
+    sums = (F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.hash("v", "u").cast("long")))
+    return tuple(edges.agg(F.count("*"), *sums).first())
+
+
 def components(edges: DataFrame, *, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node with an edge; a component is named by its smallest node.
 
@@ -45,22 +55,30 @@ def components(edges: DataFrame, *, a: str = "a", b: str = "b") -> DataFrame:
     tasks. Self-loops and nulls are ignored."""
     from lightframe.operators.skew import hot_keys, spread_join
 
+    def to_least(large: DataFrame, least: DataFrame, few: bool) -> tuple[DataFrame, list[DataFrame]]:
+        if few:
+            return large.join(least.select("u", "m"), "u"), []
+        least = checkpointed(least)
+        return spread_join(large, least.select("u", "m"), ["u"], hot_keys(least, ["u"]), ["v"]), [least]
+
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u != v")
     e = checkpointed(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    told = _told(e)
     while True:
+        few = told[0] <= FEW_EDGES
         # large star: neighbours above a node go to its smallest neighbour
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
-        up = spread_join(both.where("v > u"), low.select("u", "m"), ["u"], hot_keys(low, ["u"]), ["v"])
-        large = checkpointed(up.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        up, used = to_least(both.where("v > u"), low, few)
+        large = up.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = large if few else checkpointed(large)
         # small star: a node and its neighbours below it go to the smallest of them
-        least = checkpointed(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-        down = spread_join(large, least.select("u", "m"), ["u"], hot_keys(least, ["u"]), ["v"])
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        down, more = to_least(large, least, few)
         small = down.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         new = checkpointed(small)
-        moved = new.join(e, ["u", "v"], "left_anti").limit(1).count() + e.join(new, ["u", "v"], "left_anti").limit(1).count()
-        discarded(e, low, large, least)
-        e = new
-        if not moved:
+        discarded(e, *used, *more, *([] if few else [large]))
+        was, told, e = told, _told(new), new
+        if told == was:
             break
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

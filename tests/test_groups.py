@@ -148,12 +148,15 @@ def test_hot_group_has_its_keeper_and_reasons(spark, monkeypatch):
     assert all((kept[i] is None) == ((newest[g] - t).total_seconds() <= 120) for i, (g, t) in before.items())
 
 
-def test_finished_rounds_leave_no_tables(spark, tmp_path):
+@pytest.mark.parametrize("few", [0, 1 << 17])
+def test_finished_rounds_leave_no_tables(spark, tmp_path, monkeypatch, few):
     """A star, a chain and what components leave behind: the last round alone."""
     import os
 
-    from lightframe.operators import graph
+    from lightframe.operators import graph, skew
 
+    monkeypatch.setattr(graph, "FEW_EDGES", few)
+    monkeypatch.setattr(skew, "LEAST_HOT", 100)
     old = getattr(spark.sparkContext, "_lightframe_dir", None)
     spark.sparkContext._lightframe_dir = f"file://{tmp_path}"
     try:
