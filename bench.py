@@ -10,7 +10,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-HEADLINE = ("day_buckets", "library_counts", "timeline_page", "ranked_timeline", "index_of", "moments", "trips", "suggestions", "burst_pairs", "components", "near_dup_pairs", "exact_dups", "verify_dups", "vector_topk", "similar", "bm25_search", "hybrid_search", "reconcile", "geocode", "memory_proposals", "cleanup_report")
+HEADLINE = ("day_buckets", "library_counts", "timeline_page", "ranked_timeline", "index_of", "moments", "trips", "suggestions", "burst_pairs", "components", "near_dup_pairs", "exact_dups", "verify_dups", "vector_topk", "similar", "indexed_topk", "similar_pairs", "loose_mates", "text_index", "bm25_search", "hybrid_search", "reconcile", "geocode", "bracket_series", "memory_proposals", "cleanup_report")
 
 
 def main() -> None:

@@ -45,8 +45,9 @@ def with_facts(df: DataFrame, facts: DataFrame, *by: str, deal: str, rows: str =
     """`df` with what `facts` has on its group (by, `rows`, ...; one row each), null groups as well. Groups that hold much of all rows
     are dealt over tasks by the hash of `deal`; nothing gathers a group. The number of rows isn't added."""
     group = F.struct(*(F.col(c).alias(c) for c in by)) if by else F.struct(F.lit(0).alias("all"))
-    held = checkpointed(facts.select(group.alias("__g"), F.col(rows).alias("n"), *(c for c in facts.columns if c not in (*by, rows))))
-    return spread_join(df.withColumn("__g", group), held.drop("n"), ["__g"], hot_keys(held, ["__g"]), [deal]).drop("__g")
+    held = checkpointed(facts.select(group.alias("__g"), F.col(rows).alias("__rows"), *(c for c in facts.columns if c not in (*by, rows))))
+    hot = hot_keys(held.select("__g", F.col("__rows").alias("n")), ["__g"])
+    return spread_join(df.withColumn("__g", group), held.drop("__rows"), ["__g"], hot, [deal]).drop("__g")
 
 
 def blocks(queries: DataFrame, key: str, *, rows: int = BLOCK_ROWS) -> Iterator[DataFrame]:
