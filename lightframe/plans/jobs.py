@@ -16,7 +16,7 @@ from lightframe.operators import reconcile as R
 from lightframe.operators import sessions as S
 from lightframe.operators import timeline as T
 from lightframe.operators.geo import geocode
-from lightframe.operators.graph import checkpointed, components
+from lightframe.operators.graph import checkpointed, components, discarded
 from lightframe.plans.q_timeline import measured
 from lightframe.plans.registry import query
 from lightframe.sources import export as X
@@ -84,14 +84,17 @@ def plan_moments(catalogue: DataFrame, *by: str, home_country: str = "France") -
 
     A moment's signature is its first row's day and id; its cover a photo before a video, then the best, then the first."""
     by = list(by)
-    rows = checkpointed(S.merge_tiny(S.segment(catalogue.where(visible()), *by), *by))
+    narrow = catalogue.where(visible()).select(*by, "asset_id", "taken_at", "day", "city", "country", "lat", "lon", "kind", "quality")
+    found = checkpointed(S.segment(narrow, *by))  # read for the fold and for its result
+    rows = checkpointed(S.merge_tiny(found, *by))
+    discarded(found)
     home = T.home_city(catalogue, *by)
-    m = checkpointed(S.summarise(rows, *by))
     order = F.struct((F.col("kind") != "video").alias("p"), F.coalesce("quality", F.lit(0.0)).alias("q"), (-F.unix_millis("taken_at")).alias("t"), (-F.col("asset_id")).alias("i"))
     of_rows = rows.groupBy(*by, "seg").agg(F.max_by("asset_id", order).alias("cover_id"), fingerprint(F.col("asset_id")).alias("ids"))
+    m = checkpointed(S.summarise(rows, *by).join(of_rows, [*by, "seg"]))
     trips = checkpointed(S.trips(m, home, *by))
     trips = trips.withColumns({"sig": F.concat_ws(":", "day_start", F.col("first_id").cast("string")), "title": D.trip_title(F.col("cities"), F.col("day_start"), F.col("day_end"))})
-    m = S.of_trips(m.join(of_rows, [*by, "seg"]), trips, *by).join(home, by, "left") if by else S.of_trips(m.join(of_rows, "seg"), trips).crossJoin(F.broadcast(home.limit(1)))
+    m = S.of_trips(m, trips, *by).join(home, by, "left") if by else S.of_trips(m, trips).crossJoin(F.broadcast(home.limit(1)))
     about = (F.col("day_start"), F.col("day_end"), F.col("city"), F.col("country"), F.col("home"))
     m = m.withColumns({"sig": F.concat_ws(":", "day_start", F.col("first_id").cast("string")), "title": D.segment_title(*about, home_country=home_country), "subtitle": D.segment_subtitle(*about, home_country=home_country)})
     fields = ("title", "subtitle", "start_at", "end_at", "city", "country", "cover_id", "n", "ids")
@@ -118,9 +121,10 @@ def propose(candidates: DataFrame, members: DataFrame) -> DataFrame:
     """Proposals of all kinds at once: kind, key, asset_id, pick_order, is_cover. `members` has (kind, key, asset_id), `candidates`
     what `diverse` needs. Keys of fewer candidates, or fewer chosen, than their kind's least are left out."""
     size = lambda i: F.coalesce(*(F.when(F.col("kind") == k, F.lit(v[i])) for k, v in MEMORIES.items()))
-    pool = members.distinct().join(candidates.drop("kind"), "asset_id").withColumns({"pick": size(0), "least": size(1)})
-    enough = pool.groupBy("key").agg(F.count("*").alias("c"), F.first("least").alias("l")).where("c >= l").select("key")
-    pool = checkpointed(pool.join(enough, "key"))
+    facts = candidates.select("asset_id", "taken_at", "quality", "favorite", "faces", "emb", "phash")
+    pool = checkpointed(members.distinct().join(facts, "asset_id").withColumns({"pick": size(0), "least": size(1)}))
+    enough = checkpointed(pool.groupBy("key").agg(F.count("*").alias("c"), F.first("least").alias("l")).where("c >= l").select("key"))
+    pool = pool.join(enough, "key")
     chosen = checkpointed(C.diverse(C.shortlist(pool, "key", pick="pick"), "key", pick="pick"))
     chosen = chosen.select("key", "asset_id", "pick_order").join(pool.select("key", "asset_id", "kind", "least", "quality", "faces", "favorite", "taken_at"), ["key", "asset_id"])
     w = Window.partitionBy("key")  # at most 32 rows a key
@@ -139,7 +143,7 @@ def memory_members(a: DataFrame, library: str, moments: DataFrame, moment_rows:
     years = photos.where(year.cast("int") < F.year(now)).groupBy(library, year.alias("year")).agg(F.count("*").alias("n")).where("n >= 24")
     of_year = photos.withColumn("year", year).join(years, [library, "year"]).select(*key("year", F.col("year")))
     placed = moment_rows.select(library, "seg", "asset_id")
-    in_trip = S.of_trips(moments.select(library, "seg", "n", "start_at", "first_id"), trips, library)
+    in_trip = moments.select(library, "seg", "n", "start_at", "first_id", "trip")
     started = trips.select(library, F.col("first_id").alias("trip"), F.floor(F.unix_millis("start_at") / 86_400_000).alias("at"))
     of_trip = placed.join(in_trip.where("trip is not null").select(library, "seg", "trip"), [library, "seg"]).join(started, [library, "trip"]).select(*key("trip", F.col("at")))
     recent = F.row_number().over(Window.partitionBy(library).orderBy(F.col("start_at").desc(), F.col("seg").desc()))
