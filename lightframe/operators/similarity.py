@@ -22,10 +22,12 @@ from lightframe.operators.skew import BLOCK_ROWS, with_facts
 #: Rows from which centroids are fitted, at most.
 SAMPLE_ROWS = 50_000
 MOST_CELLS = 1024
-#: Rows of a cell that are held at once while others stream by.
-CHUNK_ROWS = 2048
-#: Rows that stream by one chunk in one task, about.
-STREAM_ROWS = 1_000_000
+#: Rows of a strip of cells, at most, that are held at once while others stream by.
+CHUNK_ROWS = 16_384
+#: Rows that stream by one strip in one task, about.
+STREAM_ROWS = 32_768
+#: Of these so many meet a strip at once.
+PIECE_ROWS = 256
 #: Bounds may be off by so much for rounding, relative to the norms.
 SLACK = 1e-6
 
@@ -119,53 +121,104 @@ def probes(placed: DataFrame, cells: Cells, least: float) -> DataFrame:
     return placed.select("key", "v").mapInArrow(run, f"cell int, key {kind}, v array<double>")
 
 
+def _strips(cells: Cells) -> tuple[np.ndarray, np.ndarray]:
+    """Cells with rows in the order of strips, and for each strip the place in this order where its cells begin. A strip is some cells
+    that lie near one another, of CHUNK_ROWS rows or less, or a part of one large cell, which then has several strips."""
+    middle = cells.centroids - cells.centroids.mean(axis=0)
+    axis = np.linalg.eigh(middle.T @ middle)[1][:, -1]
+    order = np.argsort(middle @ axis, kind="stable")
+    order = order[cells.rows[order] > 0]
+    begins, held = [], CHUNK_ROWS + 1
+    for place, n in enumerate(cells.rows[order].tolist()):
+        parts = -(-n // CHUNK_ROWS)
+        if parts > 1 or held + n > CHUNK_ROWS:
+            begins.extend([place] * parts)
+            held = 0
+        held += n
+    return order, np.array(begins)
+
+
+def _asked(placed: DataFrame, cells: Cells, least: float, order: np.ndarray, begins: np.ndarray) -> DataFrame:
+    """(strip, key, v): each row beside each strip with a cell that may hold a vector whose product with it is `least` or more. Rows
+    go out strip by strip, so that a batch never holds more rows than came in."""
+    kind = placed.schema["key"].dataType.simpleString()
+    starts, of = np.unique(begins, return_inverse=True)
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            may = np.logical_or.reduceat(cells.bounds(_matrix(b.column(1)))[:, order] >= least, starts, axis=1)
+            for strip, group in enumerate(of.tolist()):
+                at = np.flatnonzero(may[:, group])
+                if len(at):
+                    at = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), strip, np.int32)), b.column(0).take(at), b.column(1).take(at)], ["strip", "key", "v"])
+
+    return placed.select("key", "v").mapInArrow(run, f"strip int, key {kind}, v array<double>")
+
+
 def _met(placed: DataFrame, cells: Cells, least: float, best: bool) -> DataFrame:
-    """(a, b, score) of rows a and the rows b of a chunk of a cell: with `best`, each a's best b over `least`; else all pairs
-    a < b of at least `least`. A chunk is held, the rows that may meet it stream by."""
+    """(a, b, score) of rows a and the rows b of a strip (see `_strips`): with `best`, each a's best b over `least`; else all pairs
+    a < b of at least `least`. A strip is held, the rows that may meet it stream by, so a row is copied once a strip and not
+    once a cell."""
     kind = placed.schema["key"].dataType.simpleString()
-    n = int(cells.rows.sum())
-    streams = max(1, -(-n // STREAM_ROWS))
+    streams = max(1, -(-int(cells.rows.sum()) // STREAM_ROWS))
     spark = placed.sparkSession
-    chunks = F.broadcast(spark.createDataFrame([(i, max(1, -(-int(c) // CHUNK_ROWS))) for i, c in enumerate(cells.rows) if c], "cell int, __chunks int"))  # a row a cell
-    home = placed.join(chunks, "cell").select("cell", F.pmod(F.xxhash64("key"), "__chunks").cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(streams - 1))).alias("stream"), F.lit(0).alias("side"), "key", "v")
-    ask = probes(placed, cells, least).join(chunks, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(streams)).cast("int").alias("stream"), F.lit(1).alias("side"), "key", "v")
-    dealt = home.unionByName(ask).repartition("cell", "chunk", "stream").sortWithinPartitions("cell", "chunk", "stream", "side", "key")
+    order, begins = _strips(cells)
+    first = np.searchsorted(begins, np.arange(len(order)), side="right") - 1
+    parts = np.maximum(1, -(-cells.rows[order] // CHUNK_ROWS))
+    where = [(int(c), int(f - n + 1), int(n)) for c, f, n in zip(order, first, parts, strict=True)]
+    where = F.broadcast(spark.createDataFrame(where, "cell int, __first int, __parts int"))  # a row a cell
+    own = (F.col("__first") + F.pmod(F.xxhash64("key"), "__parts")).cast("int").alias("strip")
+    home = placed.join(where, "cell").select(own, F.explode(F.sequence(F.lit(0), F.lit(streams - 1))).alias("stream"), F.lit(0).alias("side"), "key", "v")
+    ask = _asked(placed, cells, least, order, begins).select("strip", F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(streams)).cast("int").alias("stream"), F.lit(1).alias("side"), "key", "v")
+    dealt = home.unionByName(ask).repartition("strip", "stream").sortWithinPartitions("strip", "stream", "side", "key")
 
     def run(batches):
         unit, keys, mats, held, names = None, [], [], None, None
         for b in batches:
-            where = np.stack([np.asarray(b.column(i)) for i in range(4)], axis=1) if b.num_rows else np.empty((0, 4), np.int64)
+            where = np.stack([np.asarray(b.column(i)) for i in range(3)], axis=1) if b.num_rows else np.empty((0, 3), np.int64)
             edges = [0, *(np.flatnonzero((where[1:] != where[:-1]).any(axis=1)) + 1).tolist(), b.num_rows] if b.num_rows else [0]
             for start, stop in zip(edges, edges[1:], strict=False):
                 *this, side = where[start].tolist()
-                part, x = b.slice(start, stop - start), None
+                part = b.slice(start, stop - start)
                 if this != unit:
                     unit, keys, mats, held = this, [], [], None
-                x, k = _matrix(part.column(5)), np.array(part.column(4).to_pylist(), dtype=object)
+                x, k = _matrix(part.column(4)), part.column(3).to_numpy(zero_copy_only=False)
                 if side == 0:
                     keys.append(k)
                     mats.append(x)
                     continue
                 if held is None:
-                    held, names = np.vstack(mats), np.concatenate(keys)
-                scores = x @ held.T
-                if best:
-                    scores[k[:, None] == names[None, :]] = -np.inf
-                    at = scores.argmax(axis=1)  # of equals the lowest key
-                    top = scores[np.arange(len(x)), at]
-                    good = np.flatnonzero(top > least)
-                    made = k[good], names[at[good]], top[good]
-                else:
-                    i, j = np.nonzero(scores >= least)
-                    good = np.array([p < q for p, q in zip(k[i], names[j], strict=True)], bool)
-                    made = k[i][good], names[j][good], scores[i, j][good]
-                if len(made[0]):
-                    kind = b.schema.field(4).type
-                    yield pa.RecordBatch.from_arrays([pa.array(made[0].tolist(), kind), pa.array(made[1].tolist(), kind), pa.array(made[2], pa.float64())], ["a", "b", "score"])
+                    held, names = np.vstack(mats), np.concatenate(keys)  # in order of key
+                    mats, keys = [], []
+                for piece in range(0, len(x), PIECE_ROWS):
+                    made = _of_piece(x[piece : piece + PIECE_ROWS], k[piece : piece + PIECE_ROWS], held, names, least, best)
+                    if len(made[0]):
+                        kind = b.schema.field(3).type
+                        yield pa.RecordBatch.from_arrays([pa.array(made[0], kind), pa.array(made[1], kind), pa.array(made[2], pa.float64())], ["a", "b", "score"])
 
     return dealt.mapInArrow(run, f"a {kind}, b {kind}, score double")
 
 
+def _of_piece(x: np.ndarray, k: np.ndarray, held: np.ndarray, names: np.ndarray, least: float, best: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys a, keys b and products of rows (k, x) with held rows (names, in order)."""
+    scores = x @ held.T
+    if best:
+        own = np.minimum(np.searchsorted(names, k), len(names) - 1)
+        mine = np.flatnonzero(names[own] == k)
+        scores[mine, own[mine]] = -np.inf
+        at = scores.argmax(axis=1)  # of equals the lowest key
+        top = scores[np.arange(len(x)), at]
+        good = np.flatnonzero(top > least)
+        return k[good], names[at[good]], top[good]
+    i, j = np.nonzero(scores >= least)
+    good = np.asarray(k[i] < names[j], bool)
+    i, j = i[good], j[good]
+    return k[i], names[j], scores[i, j]
+
+
 def similar_pairs(df: DataFrame, *, least: float, key: str = "vec_id", emb: str = "embedding") -> DataFrame:
     """All pairs (a, b, score), a < b, whose product is `least` or more. Keys are unique; rows without a key, or with a vector
     that has nulls or not the usual length, have no pairs."""

@@ -82,3 +82,20 @@ def test_empty(spark):
         V.VectorIndex.write(df, "file:///tmp/none")
     far = frame(spark, vectors("random", 50)).withColumn("score", F.lit(1))
     assert V.similar_pairs(far, least=2.0).count() == 0
+
+
+def test_rows_meet_strips_not_cells(spark, monkeypatch):
+    """Where nothing can be skipped a row is copied once a strip, of bounded rows; a large cell has several strips."""
+    x = vectors("random", n=2000)
+    placed, cells = V._in_cells(frame(spark, x), "vec_id", "embedding")
+    order, begins = V._strips(cells)
+    assert len(cells.centroids) == 45 and len(begins) == 1
+    assert V._asked(placed, cells, -2.0, order, begins).count() == 2000
+    monkeypatch.setattr(V, "CHUNK_ROWS", 30)
+    order, begins = V._strips(cells)
+    rows = cells.rows[order]
+    for strip, begin in enumerate(begins):
+        later = begins[begins > begin]
+        held = rows[begin : later[0] if len(later) else len(rows)].sum()
+        assert held <= 30 * max(1, (begins == begin).sum()), strip
+    assert V._asked(placed, cells, -2.0, order, begins).groupBy("key").count().where(f"count != {len(begins)}").count() == 0
