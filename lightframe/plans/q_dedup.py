@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from lightframe.functions.filters import visible
 from lightframe.operators import dedup as D
-from lightframe.operators.graph import components as connected
 from lightframe.plans.registry import query
 from lightframe.sources.adapters import ASSETS_SQL as A
 from lightframe.sources.adapters import assets, files, table
@@ -55,7 +54,7 @@ def burst_pairs(spark, d):
 @query("WITH RECURSIVE " + BURST.removeprefix("WITH ") + """, e AS (SELECT a AS u, b AS v FROM pairs UNION SELECT b, a FROM pairs),
   reach(node, other) AS (SELECT u, u FROM e UNION SELECT reach.node, e.v FROM reach JOIN e ON e.u = reach.other) SELECT node, min(other) AS component FROM reach GROUP BY node""")
 def components(spark, d):
-    return connected(D.burst_pairs(_burst_rows(spark, d), successors=None))
+    return D.burst_groups(_burst_rows(spark, d))
 
 
 @query("WITH RECURSIVE " + BURST.removeprefix("WITH ") + """, e AS (SELECT a AS u, b AS v FROM pairs UNION SELECT b, a FROM pairs),
@@ -65,7 +64,7 @@ def components(spark, d):
 def keeper_burst(spark, d):
     """Burst groups of any size with keeper, signature and bytes to reclaim; the feature leaves out those of over 60."""
     rows = _burst_rows(spark, d)
-    of = rows.join(connected(D.burst_pairs(rows, successors=None)), F.col("asset_id") == F.col("node")).withColumn("in_album", F.lit(False))
+    of = rows.join(D.burst_groups(rows), F.col("asset_id") == F.col("node")).withColumn("in_album", F.lit(False))
     return D.groups(of, "component", score=D.keep_score("burst")).drop("group_id")
 
 
@@ -98,7 +97,7 @@ def ignored_groups(spark, d):
 def keeper_reasons(spark, d):
     k = F.col("k")
     rows = _burst_rows(spark, d).withColumns({"in_album": F.lit(False), "sharpness": (k % 90).cast("double"), "brightness": (k % 31) / 30.0, "clip_dark": (k % 7) / 6.0, "clip_bright": (k % 11) / 10.0})
-    of = rows.join(connected(D.burst_pairs(rows, successors=None)), F.col("asset_id") == F.col("node"))
+    of = rows.join(D.burst_groups(rows), F.col("asset_id") == F.col("node"))
     return D.burst_reasons(of, "component").select("component", "keep_id", F.array_join("reasons", ",").alias("reasons"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lightframe.operators import dedup as U
 from lightframe.operators import sessions as S
+from lightframe.operators.graph import components
 
 from . import brute as B
 
@@ -218,3 +219,27 @@ def test_moments_of_one_millisecond(spark, tmp_path):
     s = Q._segmented(spark, str(tmp_path))
     page = Q.T.moment_page(s, Q.S.summarise(s, "source_id"), 0, 240, "source_id")
     assert [r["source_id"] for r in page.collect()] == [2, 1]
+
+
+@pytest.mark.parametrize(("few", "seed", "by"), [(4096, 1, []), (4096, 2, ["u"]), (0, 3, []), (0, 4, ["u"])])
+def test_burst_groups_are_what_pairs_link(spark, monkeypatch, few, seed, by):
+    monkeypatch.setattr(U, "FEW_LOOKS", few)
+    r = random.Random(seed)
+    looks = ["0" * 16, "0" * 15 + "1", "0" * 13 + "fff", "f" * 16, "f" * 14 + "00"]
+    rows = []
+    for i in r.sample(range(5000), 500):
+        t = r.randrange(150) * 40_000 + r.choice((0, 0, r.randrange(45_000)))
+        rows.append((i, r.choice((1, 2, None)), t, r.choice(looks), r.choice(("a", "b", "c", "c", "c", "c", None)) if r.random() < 0.8 else str(i), r.choice(("jpg", "jpg", "heic", None)), 4, 3))
+    df = spark.createDataFrame(rows, "asset_id long, u int, t long, phash string, qhash string, ext string, width int, height int").selectExpr("*", "timestamp_millis(t) AS taken_at")
+    want = {tuple(x) for x in components(U.burst_pairs(df, *by, successors=None)).collect()}
+    got = [tuple(x) for x in U.burst_groups(df, *by).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+
+
+def test_a_burst_is_not_listed_as_pairs(spark, monkeypatch):
+    """A dense burst's edges are counted by its slots, not by its pairs."""
+    df = spark.range(3000).selectExpr("id AS asset_id", "timestamp_millis(id * 50) AS taken_at", "'00000000000000ff' AS phash", "cast(id AS string) AS qhash", "'jpg' AS ext", "1 AS width", "1 AS height")
+    seen = []
+    monkeypatch.setattr(U, "components", lambda e: seen.append(e.count()) or components(e))
+    assert {tuple(x) for x in U.burst_groups(df).collect()} == {(i, 0) for i in range(3000)}
+    assert seen[0] < 100
