@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,16 +30,126 @@ def search(df: DataFrame, query: list[float], *, k: int = 400, least: float = -1
 
 
 def similar(df: DataFrame, queries: DataFrame, *, k: int = 60, least: float = 0.7, key: str = "vec_id", emb: str = "embedding") -> DataFrame:
-    """For each of a stated set of query rows the most similar other rows; the queries meet all rows in broadcast blocks."""
+    """For each of a stated set of query rows the most similar other rows; the queries meet all rows in strips."""
     return search_all(df, queries, k=k, least=least, key=key, emb=emb, other=True)
 
 
+#: Queries that are held at once while rows stream by, and rows that stream by them in one task, about.
+QUERY_ROWS, STREAM_ROWS = 512, 131_072
+#: Rows that meet the held queries at once, and products that are held before the best are kept.
+PIECE_ROWS, HELD_SCORES = 1024, 1 << 20
+#: Products by matrix may be off by so much for rounding, relative to the norms.
+SLACK = 1e-9
+
+
 def search_all(df: DataFrame, queries: DataFrame, *, k: int = 400, least: float = -1.0, key: str = "vec_id", emb: str = "embedding", other: bool = False) -> DataFrame:
-    """`search` for each row of a stated set of query rows (with `other`, without the query's own row)."""
-    q = queries.select(F.col(key).alias("query_id"), F.col(emb).alias("__q"))
-    met = meet(df.select(key, emb), q, "query_id", F.col(key) != F.col("query_id") if other else None)
-    pairs = met.select("query_id", key, dot(F.col(emb), F.col("__q")).alias("score")).where(F.col("score") >= least)
-    return top_per_key(pairs, "query_id", k=k, order=[F.col("score").desc(), F.col(key)]).select("query_id", key, "score")
+    """`search` for each row of a stated set of query rows (with `other`, without the query's own row).
+
+    Queries are dealt into strips; a task holds a strip, rows stream by, and each query keeps its best. Products by matrix rule
+    out what can't be among them; what is left is summed in order, as `dot` does."""
+    known = lambda x: x.where(F.col("v").isNotNull() & ~F.exists("v", lambda e: e.isNull()))
+    q = known(queries.select(F.col(key).alias("key"), F.col(emb).cast("array<double>").alias("v")))
+    rows = known(df.select(F.col(key).alias("key"), F.col(emb).cast("array<double>").alias("v")))
+    strips = max(1, -(-queries.count() // QUERY_ROWS))
+    streams = max(1, -(-df.count() // STREAM_ROWS))
+    deal = lambda i, n: F.pmod(F.xxhash64(F.lit(i), "key"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    unit = ["size", "strip", "stream"]
+    home = q.select(F.size("v").alias("size"), deal(0, strips).alias("strip"), every(streams).alias("stream"), F.lit(0).alias("side"), "key", "v")
+    come = rows.select(F.size("v").alias("size"), every(strips).alias("strip"), deal(1, streams).alias("stream"), F.lit(1).alias("side"), "key", "v")
+    dealt = home.unionByName(come).repartition(*unit).sortWithinPartitions(*unit, "side", "key")
+    kinds = queries.schema[key].dataType.simpleString(), df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        at, strip = None, None
+        for b in batches:
+            where = np.stack([np.asarray(b.column(i)) for i in range(4)], axis=1) if b.num_rows else np.empty((0, 4), np.int64)
+            edges = [0, *(np.flatnonzero((where[1:] != where[:-1]).any(axis=1)) + 1).tolist(), b.num_rows] if b.num_rows else [0]
+            for start, stop in zip(edges, edges[1:], strict=False):
+                *this, side = where[start].tolist()
+                part = b.slice(start, stop - start)
+                if this != at:
+                    if strip is not None:
+                        yield from strip.best()
+                    at, strip = this, _Strip(k, least, other)
+                if side == 0:
+                    strip.hold(part.column(4), part.column(5))
+                else:
+                    strip.meet(part.column(4), part.column(5))
+        if strip is not None:
+            yield from strip.best()
+
+    found = dealt.mapInArrow(run, f"query_id {kinds[0]}, {key} {kinds[1]}, score double")
+    return top_per_key(found, "query_id", k=k, order=[F.col("score").desc(), F.col(key)]).select("query_id", key, "score")
+
+
+class _Strip:
+    """Some queries, and the best rows of those that came by, in order of key."""
+
+    def __init__(self, k: int, least: float, other: bool):
+        self.k, self.least, self.other = k, least, other
+        self.ids, self.vectors, self.q, self.keys, self.seen = [], [], None, [], 0
+        self.found = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]  # query, row, score
+        self.more, self.waiting = [], 0
+
+    def hold(self, ids: pa.Array, vectors: pa.Array) -> None:
+        self.ids.append(ids)
+        self.vectors.append(_rows(vectors))
+
+    def meet(self, keys: pa.Array, vectors: pa.Array) -> None:
+        if not self.ids:
+            return
+        if self.q is None:
+            self.q, self.id, self.vectors = np.vstack(self.vectors), pa.concat_arrays(self.ids), []
+            self.norms, self.bar = np.sqrt((self.q**2).sum(axis=1)), np.full(len(self.q), float(self.least))
+        rows = _rows(vectors)
+        for x in range(0, len(rows), PIECE_ROWS):
+            piece = rows[x : x + PIECE_ROWS]
+            with np.errstate(invalid="ignore", over="ignore"):
+                slack = SLACK * np.sqrt((piece**2).sum(axis=1))[:, None] * self.norms
+                i, j = np.nonzero(~(piece @ self.q.T + slack < self.bar))
+                score = np.zeros(len(i))
+                for d in range(piece.shape[1]):
+                    score += piece[i, d] * self.q[j, d]
+            good = np.isnan(score) | (score >= self.least)  # NaN is over every number, as in SQL
+            if self.other:
+                differ = pc.not_equal(keys.slice(x, PIECE_ROWS).take(pa.array(i)), self.id.take(pa.array(j)))
+                good &= np.asarray(pc.fill_null(differ, False))
+            i, j, score = i[good], j[good], score[good]
+            # keys of found rows alone are kept
+            used, place = np.unique(i, return_inverse=True)
+            self.keys.append(keys.slice(x, PIECE_ROWS).take(pa.array(used)))
+            self.more.append((j, self.seen + place, score))
+            self.seen += len(used)
+            self.waiting += len(score)
+            if self.waiting > max(HELD_SCORES, len(self.found[0])):
+                self._keep()
+
+    def _keep(self) -> None:
+        query, row, score = (np.concatenate(c) for c in zip(self.found, *self.more, strict=True))
+        order = np.lexsort((row, -score, ~np.isnan(score), query))
+        query, row, score = query[order], row[order], score[order]
+        first = np.searchsorted(query, query)
+        rank = np.arange(len(query)) - first
+        last = rank == self.k - 1
+        self.bar[query[last]] = np.where(np.isnan(score[last]), np.inf, np.maximum(score[last], self.least))
+        kept = rank < self.k
+        used, row = np.unique(row[kept], return_inverse=True)
+        self.keys = [pa.concat_arrays(self.keys).take(pa.array(used))]
+        self.found, self.more, self.waiting, self.seen = [query[kept], row, score[kept]], [], 0, len(used)
+
+    def best(self) -> Iterator[pa.RecordBatch]:
+        if self.more:
+            self._keep()
+        query, row, score = self.found
+        for x in range(0, len(query), 10_000):
+            part = slice(x, x + 10_000)
+            yield pa.RecordBatch.from_arrays([self.id.take(pa.array(query[part])), self.keys[0].take(pa.array(row[part])), pa.array(score[part])], ["query_id", "key", "score"])
+
+
+def _rows(vectors: pa.Array) -> np.ndarray:
+    values = vectors.flatten().to_numpy(zero_copy_only=False)
+    return values.reshape(len(vectors), -1) if len(values) else np.zeros((len(vectors), 0))
 
 
 def centroids(df: DataFrame, by: str, *, emb: str = "embedding") -> DataFrame:

@@ -99,3 +99,19 @@ def test_rows_meet_strips_not_cells(spark, monkeypatch):
         held = rows[begin : later[0] if len(later) else len(rows)].sum()
         assert held <= 30 * max(1, (begins == begin).sum()), strip
     assert V._asked(placed, cells, -2.0, order, begins).groupBy("key").count().where(f"count != {len(begins)}").count() == 0
+
+
+@pytest.mark.parametrize("other", [False, True])
+def test_search_all_is_a_scan(spark, monkeypatch, other):
+    """Strips of queries and streams of rows give the best by product, ties by key, in exact sums."""
+    for name, n in (("QUERY_ROWS", 16), ("STREAM_ROWS", 150), ("PIECE_ROWS", 32), ("HELD_SCORES", 100)):
+        monkeypatch.setattr(X, name, n)
+    x = vectors("copies")
+    df = frame(spark, x, [(9001, None), (9002, [1.0, 2.0]), (9003, [None] * 16), (9004, [float("nan")] * 16)])
+    got = X.search_all(df, df.where("vec_id % 15 = 0 or vec_id = 9002"), k=9, least=0.1, other=other)
+    a, b = df.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), df
+    pairs = a.where("query_id % 15 = 0 or query_id = 9002").crossJoin(b).where("query_id != vec_id" if other else "true")
+    pairs = pairs.select("query_id", "vec_id", X.dot(F.col("embedding"), F.col("q")).alias("score")).where("score >= 0.1")
+    want = X.top_per_key(pairs, "query_id", k=9, order=[F.col("score").desc(), F.col("vec_id")]).select("query_id", "vec_id", "score")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "BroadcastNestedLoopJoin" not in got._jdf.queryExecution().toString()
