@@ -25,7 +25,11 @@ def state_store(spark: SparkSession) -> None:
 
 
 class _Moments(StatefulProcessor):
-    """Rows wait in slots of time; when the watermark passes a row, its place among its key's rows is final."""
+    """Rows wait in slots of time; when the watermark passes a row, its place among its key's rows is final. A key has one timer,
+    for the first that waits, whatever the number of its slots."""
+
+    #: Rows that come out at once.
+    PAGE = 4096
 
     def __init__(self, by: str, key: str, slot_ms: int, gap_ms: float, near_ms: float, far_km: float, day_gap_ms: float):
         self.by, self.key, self.slot_ms = by, key, slot_ms
@@ -35,9 +39,24 @@ class _Moments(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "ms long, lat double, lon double, city string, day string, seg long")
         self.waiting = handle.getMapState("waiting", "slot long", "rows string")
+        self.timer = handle.getValueState("timer", "ms long")
+
+    def _wake(self, was: int | None, ms: int | None) -> None:
+        """The key's timer is at `ms` instead of at `was`."""
+        if was == ms:
+            return
+        if was is not None:
+            self.handle.deleteTimer(was)
+        if ms is None:
+            self.timer.clear()
+        else:
+            self.handle.registerTimer(ms)
+            self.timer.update((ms,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         last = self.last.get() if self.last.exists() else None
+        was = self.timer.get()[0] if self.timer.exists() else None
+        first, fresh = was, was is None  # nothing waits without a timer
         for frame in rows:
             late, slots = [], {}
             for k, ms, lat, lon, city, day in frame[["k", "ms", "lat", "lon", "city", "day"]].itertuples(index=False, name=None):
@@ -47,18 +66,21 @@ class _Moments(StatefulProcessor):
                 here = (None, None) if pd.isna(lat) or pd.isna(lon) else (float(lat), float(lon))
                 slots.setdefault(int(ms) // self.slot_ms, []).append([int(ms), int(k), *here, city if isinstance(city, str) else None, day if isinstance(day, str) else None])
             for slot, more in slots.items():
-                held = json.loads(self.waiting.getValue((slot,))[0]) if self.waiting.containsKey((slot,)) else []
+                held = json.loads(self.waiting.getValue((slot,))[0]) if not fresh and self.waiting.containsKey((slot,)) else []
                 self.waiting.updateValue((slot,), (json.dumps(held + more),))
-                self.handle.registerTimer(min(r[0] for r in more))
+                first = min([r[0] for r in more] + ([] if first is None else [first]))
+            fresh = fresh and not slots
             if late:
                 yield pd.DataFrame(late, columns=[self.by, self.key, "seg", "is_late"])
+        self._wake(was, first)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
         last, lat, lon, city, day, seg = self.last.get() if self.last.exists() else (None, None, None, None, None, 0)
-        for slot in sorted(s[0] for s in self.waiting.keys() if s[0] * self.slot_ms <= now):
+        slots, out = sorted(s[0] for s in self.waiting.keys()), []
+        ahead = next((s * self.slot_ms for s in slots if s * self.slot_ms > now), None)
+        for slot in (s for s in slots if s * self.slot_ms <= now):
             rows = sorted(json.loads(self.waiting.getValue((slot,))[0]), key=lambda r: r[:2])
-            out = []
             for ms, k, la, lo, town, this in (r for r in rows if r[0] <= now):
                 gap = None if last is None else ms - last
                 far = la is not None and lat is not None and _km((lat, lon), (la, lo)) > self.far_km
@@ -72,13 +94,22 @@ class _Moments(StatefulProcessor):
             rest = [r for r in rows if r[0] > now]
             if rest:
                 self.waiting.updateValue((slot,), (json.dumps(rest),))
-                self.handle.registerTimer(rest[0][0])
+                ahead = rest[0][0]  # of the last of these slots
             else:
                 self.waiting.removeKey((slot,))
-            if out:
+            if len(out) >= self.PAGE:
                 yield pd.DataFrame(out, columns=[self.by, self.key, "seg", "is_late"])
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=[self.by, self.key, "seg", "is_late"])
         if last is not None:
             self.last.update((last, lat, lon, city, day, seg))
+        # the timer that fired is gone
+        if ahead is None:
+            self.timer.clear()
+        else:
+            self.handle.registerTimer(ahead)
+            self.timer.update((ahead,))
 
     def close(self) -> None:
         pass

@@ -136,3 +136,43 @@ def test_stage_survives_stops(spark, tmp_path):
     assert make(2).run(more, work) == 5 and stage.results().where("version = 2").count() == len(due) + 2
     with pytest.raises(Exception, match="exist"):
         stage._commit(0, {})
+
+
+def test_a_key_has_one_timer():
+    """Rows of many slots cost one timer, and come out whole as the watermark passes them."""
+    import pandas as pd
+
+    class Cell(dict):
+        exists = lambda self: "v" in self
+        get = lambda self: self["v"]
+        update = lambda self, v: self.__setitem__("v", v)
+        getValue = lambda self, k: self[k]
+        containsKey = dict.__contains__
+        updateValue = dict.__setitem__
+        removeKey = dict.__delitem__
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.most = set(), 0
+            self.getValueState = self.getMapState = lambda *_: Cell()
+            self.deleteTimer = self.timers.discard
+
+        def registerTimer(self, ms):
+            self.timers.add(ms)
+            self.most = max(self.most, len(self.timers))
+
+    class Now:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    how, handle, out = L._Moments("u", "id", 10_000, 50.0, 50.0, 3.0, 50.0), Handle(), []
+    how.init(handle)
+    frame = pd.DataFrame([(i, 1000 * i, None, None, None, "x") for i in range(40)], columns=["k", "ms", "lat", "lon", "city", "day"])
+    for part in (frame[20:], frame[:20].iloc[::-1]):
+        list(how.handleInputRows((1,), iter([part]), Now(0)))
+    for now in (0, 15_500, 15_900, 20_000, 100_000):
+        for t in [t for t in handle.timers if t <= now]:
+            handle.timers.discard(t)
+            out += [r for f in how.handleExpiredTimer((1,), Now(now), None) for r in f.itertuples(index=False, name=None)]
+        assert len(out) == sum(1000 * i <= now for i in range(40))
+    assert out == [(1, i, i + 1, False) for i in range(40)] and not handle.timers and handle.most == 1
