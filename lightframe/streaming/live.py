@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lightframe.functions.filters import hash_bits
 from lightframe.functions.vectors import normalised
 from lightframe.operators import vectors as X
 from lightframe.operators.graph import checkpointed, components
@@ -101,13 +102,28 @@ def live_exact(stream: DataFrame, *, digest: str = "qhash", at: str = "taken_at"
 
 
 def live_near(stream: DataFrame, known: DataFrame, *, bits: int = 3, key: str = "asset_id") -> DataFrame:
-    """Arrivals that a known row resembles: a stream-static join on the four hash bands."""
-    from lightframe.functions.filters import hamming_hex
-
-    bands = lambda c: F.array(*(F.concat(F.lit(f"{i}:"), F.substring(c, i * 4 + 1, 4)) for i in range(4)))
-    k = known.select(F.col(key).alias("known_id"), F.col("phash").alias("__h"), F.explode(bands("phash")).alias("__b"))
-    new = stream.select(key, "phash", F.explode(bands("phash")).alias("__b"))
-    return new.join(k, "__b").where(hamming_hex(F.col("phash"), F.col("__h")) <= bits).select(key, "known_id")
+    """Arrivals that a known row resembles, each pair once: a stream-static join on parts of the hash.
+
+    Of five parts of a hash two are equal where at most three bits differ, so rows meet by pairs of parts (about 26 bits), not by
+    one band of 16. With more `bits`, pairs are those that share one of the four bands."""
+    near = bits <= 3
+    edges = [0, 13, 26, 39, 52, 64] if near else [0, 16, 32, 48, 64]
+    part = lambda c, i: F.shiftrightunsigned(c, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1).cast("long"))
+    n = len(edges) - 1
+    ways = [(i, j) for i in range(n) for j in range(i + 1, n)] if near else [(i,) for i in range(n)]
+
+    def way(c: Column, w: int) -> Column:
+        out = F.lit(w).cast("long")
+        for i in ways[w]:
+            out = F.shiftleft(out, 16).bitwiseOR(part(c, i))
+        return out
+
+    met = lambda c: F.explode(F.array(*(way(F.col(c), w) for w in range(len(ways)))))
+    k = known.select(F.col(key).alias("known_id"), hash_bits(F.col("phash")).alias("__h")).where("__h is not null").select("known_id", "__h", met("__h").alias("__b"))
+    new = stream.select(key, hash_bits(F.col("phash")).alias("__n")).where("__n is not null").select(key, "__n", met("__n").alias("__b"))
+    close = F.bit_count(F.col("__n").bitwiseXOR(F.col("__h"))) <= bits
+    first = F.coalesce(*(F.when(way(F.col("__n"), w) == way(F.col("__h"), w), way(F.col("__n"), w)) for w in range(len(ways)))) == F.col("__b")
+    return new.join(k, "__b").where(close & first).select(key, "known_id")
 
 
 #: At most so many unassigned vectors are held.

@@ -287,3 +287,25 @@ def test_live_duplicates_and_likes(spark, tmp_path):
     assert [(r["asset_id"], r["known_id"]) for r in live_near(new, known).distinct().collect()] == [(2, 1)]
     likes = spark.createDataFrame([(1, 5, "a"), (1, 5, "a"), (1, None, "Bo"), (2, None, "bo")], "asset_id long, member_id long, author string")
     assert {(r["asset_id"], r["member"], r["liked"]) for r in live_likes(likes, "asset_id").collect()} == {(1, "5", False), (1, "name:bo", True), (2, "name:bo", True)}
+
+
+def test_live_near_meets_few_and_loses_none(spark):
+    """Pairs up to three bits apart come out once each, wherever the bits lie; one equal band alone makes no candidates."""
+    import itertools
+    import random
+
+    from lightframe.streaming.live import live_near
+
+    r = random.Random(5)
+    base = [r.getrandbits(64) for _ in range(40)]
+    far = [(b & ~0xFFFF) ^ (r.getrandbits(48) << 16) for b in base]
+    new = base + far
+    known = [b ^ sum(1 << i for i in r.sample(range(64), n)) for b in base for n in (0, 1, 2, 3, 3, 3, 4)]
+    frame = lambda rows, name: spark.createDataFrame([(i, f"{h:016x}") for i, h in enumerate(rows)] + [(-1, None), (-2, ""), (-3, "0123")], f"{name} long, phash string")
+    a, b = frame(new, "asset_id"), frame(known, "asset_id")
+    for bits in (0, 2, 3):
+        got = [tuple(x) for x in live_near(a, b, bits=bits).collect()]
+        assert sorted(got) == [(i, j) for (i, x), (j, y) in itertools.product(enumerate(new), enumerate(known)) if (x ^ y).bit_count() <= bits]
+    shares = lambda x, y: any(((x ^ y) >> s) & 0xFFFF == 0 for s in (0, 16, 32, 48))
+    wide = sorted(tuple(x) for x in live_near(a, b, bits=20).collect())
+    assert wide == [(i, j) for (i, x), (j, y) in itertools.product(enumerate(new), enumerate(known)) if (x ^ y).bit_count() <= 20 and shares(x, y)]
