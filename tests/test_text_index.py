@@ -76,3 +76,69 @@ def test_bar_skips_nothing_that_counts(spark):
     rows = spark.createDataFrame(sorted(docs.items()), "doc_id long, text string")
     words = spark.createDataFrame([(1, "lead"), (1, "other"), (2, "lead")], "query_id int, word string")
     assert ranked(T.bm25(T.postings(rows), words, docs=len(docs), k=7)) == [x for x in ranked(T.bm25(T.postings(rows), words, docs=len(docs), k=5000)) if x[1] <= 7]
+
+
+def test_documents_become_blocks_before_they_are_dealt(spark, tmp_path, monkeypatch):
+    """Blocks of a shard hold what a plain count gives, however texts are cut; changes take hidden postings out of whole blocks."""
+    from collections import Counter
+
+    from lightframe.operators import text_index as X
+
+    monkeypatch.setattr(X, "SHARD_DOCS", 40)
+    r = random.Random(9)
+    docs = {i: " ".join(r.choice(["red", "blue", "zug", f"w{i}"]) for _ in range(r.choice([1, 5, 40]) if i == 7 else r.choice([0, 1, 5, 40]))) for i in range(150)}
+    frame = lambda d: spark.createDataFrame(sorted(d.items()), "doc_id long, text string")
+    plain = lambda d: sorted((w, i, n, len(t.split())) for i, t in d.items() for w, n in Counter(t.split()).items())
+    index = TextIndex(spark, f"file://{tmp_path}/index")
+    index.upsert(frame(docs).unionByName(frame(docs).where("doc_id = 7")))  # a row that comes twice is one document's
+    blocks = spark.read.parquet(f"{tmp_path}/index/seg-*/postings")
+    assert blocks.count() < blocks.selectExpr("sum(size(keys)) as n").first()["n"]
+    twice = len(docs[7].split())
+    once = [x for x in sorted(map(tuple, index.postings().collect())) if x[1] != 7]
+    assert once == [x for x in plain(docs) if x[1] != 7]
+    assert sorted((x["term"], x["tf"]) for x in index.postings().where("doc_id = 7").collect()) == [(w, 2 * n) for w, n in sorted(Counter(docs[7].split()).items())] and twice
+    index.upsert(frame({7: "red", 8: "", 200: "zug zug"}))
+    index.delete(spark.createDataFrame([(i,) for i in range(0, 150, 3)], "doc_id long"))
+    docs = {i: t for i, t in (docs | {7: "red", 8: "", 200: "zug zug"}).items() if i % 3 or i >= 150}
+    assert sorted(map(tuple, index.postings().collect())) == plain(docs)
+    index.merge()
+    index.delete(spark.createDataFrame([(1,)], "doc_id long"))
+    index.merge()
+    del docs[1]
+    assert sorted(map(tuple, index.postings().collect())) == plain(docs)
+
+
+def test_blocks_of_cut_batches(monkeypatch):
+    """Documents that span batches, empty ones and long ones: every posting once, in short blocks of one shard."""
+    import pyarrow as pa
+
+    from lightframe.operators import text_index as X
+
+    monkeypatch.setattr(X, "PIECE_TOKENS", 9)
+    monkeypatch.setattr(X, "BLOCK_POSTINGS", 3)
+    r = random.Random(2)
+    rows = sorted((k % 3, k, r.choice([0, 2, 30])) for k in range(60))
+    rows = [(s, k, [r.choice("abcdef") for _ in range(n)]) for s, k, n in rows]
+    rows = [x for s, k, t in rows for x in [(s, k, len(t), t)] * (3 if k % 10 == 0 else 1)]
+    parts = lambda x: [pa.array([v[i] for v in x], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string())))]
+    batches = [pa.RecordBatch.from_arrays(parts(rows[i : i + 7]), ["shard", "key", "n", "t"]) for i in range(0, len(rows), 7)]
+    got, listed = [], []
+    for b in X._counted([batches[0].slice(0, 0), *batches]):
+        for x in b.to_pylist():
+            each = list(zip(x["keys"], x["tfs"], x["lengths"], strict=True))
+            assert {k % 3 for k in x["keys"]} <= {x["shard"]}
+            if x["term"] is None:
+                listed += [(k, n) for k, _, n in each]
+            else:
+                assert 1 <= len(each) <= 3
+                got += [(x["term"], *e) for e in each]
+    want = {(w, k, 3 * t.count(w) if k % 10 == 0 else t.count(w), n) for _, k, n, t in rows for w in set(t)}
+    assert sorted(got) == sorted(want) and sorted(listed) == sorted((k, n) for _, k, n, _ in rows)
+
+
+def test_texts_without_an_index(spark):
+    """Searching whole texts gives what searching their postings gives."""
+    r = random.Random(4)
+    docs = {i: None if i % 17 == 0 else " ".join(r.choice(WORDS) for _ in range(r.randint(0, 9))) for i in range(80)}
+    words = spark.createDataFrame([(1, "red"), (2, "sko"), (2, "blue"), (3, "ab"), (4, "none"), (5, "a")], "query_id int, word string")
+    assert ranked(T.bm25_texts(spark.createDataFrame(sorted(docs.items()), "doc_id long, text string"), words)) == rebuilt(spark, docs, words)
