@@ -29,11 +29,12 @@ def insert_or_ignore(old: DataFrame, new: DataFrame, *, key: str) -> DataFrame:
     return old.unionByName(new.select(*old.columns).dropDuplicates([key]).join(old.select(key), key, "left_anti"))
 
 
-def plan_diff(old: DataFrame, new: DataFrame, *, sig: str = "sig", fp: str = "fp") -> DataFrame:
-    """What to do with each signature: insert, replace, keep or delete. Only changed ones are written again."""
-    o, n = old.select(F.col(sig).alias("__o"), F.col(fp).alias("__of")), new.select(F.col(sig).alias("__n"), F.col(fp).alias("__nf"))
+def plan_diff(old: DataFrame, new: DataFrame, *more: str, sig: str = "sig", fp: str = "fp") -> DataFrame:
+    """What to do with each signature: insert, replace, keep or delete. Only changed ones are written again. `more` columns of `new`
+    come along, null where it lacks the signature."""
+    o, n = old.select(F.col(sig).alias("__o"), F.col(fp).alias("__of")), new.select(F.col(sig).alias("__n"), F.col(fp).alias("__nf"), *more)
     action = F.when(F.col("__o").isNull(), "insert").when(F.col("__n").isNull(), "delete").when(F.col("__of").eqNullSafe(F.col("__nf")), "keep").otherwise("replace")
-    return o.join(n, F.col("__o") == F.col("__n"), "full_outer").select(F.coalesce("__o", "__n").alias(sig), action.alias("action"))
+    return o.join(n, F.col("__o") == F.col("__n"), "full_outer").select(F.coalesce("__o", "__n").alias(sig), action.alias("action"), *more)
 
 
 def sync_actions(old: DataFrame, new: DataFrame, *, key: str = "key", grown: float = 1.3) -> DataFrame:

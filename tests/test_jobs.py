@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 from collections import Counter, defaultdict
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from lightframe.functions.filters import cleanup_classes, visible
 from lightframe.functions.names import ORIGINAL
 from lightframe.operators import curate as C
+from lightframe.operators import incremental as I
 from lightframe.operators import ordered
 from lightframe.operators import sessions as S
 from lightframe.plans import jobs as J
@@ -70,6 +72,25 @@ def test_merge_in_dense_sources(spark, catalogue):
     assert sorted(got.values()) == sorted(len(s) for mine in per(rows).values() for s in B.merged(B.segments(mine)))
 
 
+def test_only_runs_that_may_merge_are_folded(spark, monkeypatch):
+    """A segment alone between days, gaps and large segments stays as it is; what follows one another within six hours is folded."""
+    at = lambda h: dt.datetime(2024, 3, 1) + dt.timedelta(hours=h)
+    # user 1: one segment a day; user 2: a large one, then two tiny ones that join it, then one beyond the gap
+    data = [(d, 1, at(24 * d + 9), d + 1) for d in range(20)] + [(100 + i, 2, at(1 + i / 10), 1) for i in range(3)] + [(110, 2, at(6), 2), (111, 2, at(11), 3), (112, 2, at(17), 4), (113, None, at(1), 1)]
+    df = spark.createDataFrame([(i, u, t, t.strftime("%Y-%m-%d"), "C", seg) for i, u, t, seg in data], "asset_id long, source_id long, taken_at timestamp, day string, city string, seg long")
+    folded, plain = [], type(df).mapInPandas
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, *a, **k: (folded.append(self.count()), plain(self, *a, **k))[1])
+    got = {r["asset_id"]: r["seg"] for r in S.merge_tiny(df, "source_id").collect()}
+    assert got == {i: {110: 1, 111: 1}.get(i, seg) for i, u, _, seg in data if u is not None}
+    assert folded == [3]
+
+
+def test_plan_diff_brings_columns_along(spark):
+    old = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "x")], "sig string, fp string")
+    new = spark.createDataFrame([("b", "x", 2), ("c", "y", 3), ("d", "x", 4)], "sig string, fp string, n int")
+    assert {tuple(r) for r in I.plan_diff(old, new, "n").collect()} == {("a", "delete", None), ("b", "keep", 2), ("c", "replace", 3), ("d", "insert", 4)}
+
+
 def brute_plan(rows, by="source_id"):
     """source -> (moments, their trips as indexes, home)"""
     return {u: (m := B.merged(B.segments(shown(mine))), B.trips(m, home_of(mine)), home_of(mine)) for u, mine in per(rows, by).items()}
