@@ -23,8 +23,8 @@ from lightframe.operators import search as T
 from lightframe.operators.graph import checkpointed, discarded
 
 BLOCK_POSTINGS = 128
-#: Documents of a shard, about, where there are many; tokens that a task counts at once, about.
-SHARD_DOCS, PIECE_TOKENS = 16_384, 1 << 22
+#: Documents of a shard, about, where there are many; tokens that a task counts at once, about; blocks that a task sorts, about.
+SHARD_DOCS, PIECE_TOKENS, TASK_BLOCKS = 16_384, 1 << 22, 100_000
 
 
 def _blocks(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -185,10 +185,11 @@ class TextIndex:
 
     # changes
 
-    def _write(self, name: str, postings: DataFrame, docs: DataFrame) -> None:
-        """Writes a segment; the second column of `postings` deals the rows of a frequent term."""
-        order = postings.columns[:2]
-        postings.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{self.path}/{name}/postings")
+    def _write(self, name: str, postings: DataFrame, docs: DataFrame, rows: int = 0) -> None:
+        """Writes a segment of about `rows` blocks; the second column of `postings` deals the rows of a frequent term."""
+        order, n = postings.columns[:2], min(T.MOST_TASKS, rows // TASK_BLOCKS)
+        ranged = postings.repartitionByRange(n, *order) if n > int(self.spark.conf.get("spark.sql.shuffle.partitions")) else postings.repartitionByRange(*order)
+        ranged.sortWithinPartitions(*order).write.parquet(f"{self.path}/{name}/postings")
         docs.write.parquet(f"{self.path}/{name}/docs")
 
     def _counted(self, docs: DataFrame, text: str) -> tuple[DataFrame, int]:
@@ -215,7 +216,7 @@ class TextIndex:
         known = docs.where(F.col(self.key).isNotNull())
         blocks, of = self._counted(known, text)
         listed = blocks.where("term is null").select(F.explode(F.arrays_zip("keys", "lengths")).alias("d"))
-        self._write(name, blocks.where("term is not null"), listed.select(F.col("d.keys").alias(self.key), F.col("d.lengths").alias("length")))
+        self._write(name, blocks.where("term is not null"), listed.select(F.col("d.keys").alias(self.key), F.col("d.lengths").alias("length")), blocks.count())
         discarded(blocks)
         mine = self.spark.read.parquet(f"{self.path}/{name}/docs")
         gone_n, gone_t = self._drop_from(state, mine)
@@ -239,7 +240,7 @@ class TextIndex:
         state, name = self.state(), f"seg-{uuid.uuid4().hex}"
         if len(state["segments"]) < 2 and not state["deletes"]:
             return state["version"]
-        self._write(name, self._standing(state), self.documents())
+        self._write(name, self._standing(state), self.documents(), self._rows(state, "postings").count())
         v = state["version"] + 1
         self._commit(state | {"version": v, "segments": [(name, v)], "shards": {name: sorted({of for s, _ in state["segments"] for of in state["shards"][s]})}, "deletes": []})
         return v
@@ -263,5 +264,9 @@ class TextIndex:
         if blocks is None:
             return words.select(query, F.lit(None).cast("long").alias(self.key), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
         found = T.with_prefixes(blocks, words)
-        hits = self._valid(self._opened(found, "word"), state).groupBy("word", self.key, "length").agg(F.sum("tf").alias("tf"))
+        # all postings of a document lie in one shard, so blocks are dealt by shard and counted there
+        shards = sum(of for name, _ in state["segments"] for of in state["shards"][name])
+        found = found.repartition(max(1, min(T.MOST_TASKS, shards)), "of", "shard")
+        hits = self._valid(self._opened(found, "word", "of", "shard"), state).groupBy("of", "shard", "word", self.key, "length").agg(F.sum("tf").alias("tf"))
+        hits = hits.drop("of", "shard")
         return T.scored(hits, words, docs=state["docs"], tokens=state["tokens"], k=k, key=self.key, query=query, **options)

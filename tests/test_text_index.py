@@ -142,3 +142,24 @@ def test_texts_without_an_index(spark):
     docs = {i: None if i % 17 == 0 else " ".join(r.choice(WORDS) for _ in range(r.randint(0, 9))) for i in range(80)}
     words = spark.createDataFrame([(1, "red"), (2, "sko"), (2, "blue"), (3, "ab"), (4, "none"), (5, "a")], "query_id int, word string")
     assert ranked(T.bm25_texts(spark.createDataFrame(sorted(docs.items()), "doc_id long, text string"), words)) == rebuilt(spark, docs, words)
+
+
+def test_search_counts_by_shard_before_anything_is_dealt(spark, tmp_path, monkeypatch):
+    """Postings that begin with a word are counted in the task of their shard: no table of all a task reads is built before an exchange."""
+    index = TextIndex(spark, f"{tmp_path}/i")
+    index.upsert(spark.createDataFrame([(i, f"red{i % 7} red{i % 5} blue") for i in range(300)], "doc_id long, text string"))
+    plans, plain = [], T.scored
+    monkeypatch.setattr(T, "scored", lambda hits, *a, **k: (plans.append(hits._jdf.queryExecution().sparkPlan().toString()), plain(hits, *a, **k))[1])
+    words = spark.createDataFrame([(1, "red"), (1, "blue")], "query_id long, word string")
+    assert index.search(words).count() == 300
+    above = plans[0].split("Exchange")[0]
+    assert above.count("HashAggregate") == 2 and "Generate" in above
+
+
+@pytest.mark.parametrize("rows", [1, 1 << 20])
+def test_lookups_are_dealt_by_their_size(spark, monkeypatch, rows):
+    docs = spark.createDataFrame([(i, " ".join(["red"] * (i % 9 + 1) + ["blue"] * (i % 4) + ["x"] * (i % 13))) for i in range(400)], "doc_id long, text string")
+    words = spark.createDataFrame([(q, w) for q in range(6) for w in ("red", "blue")[: q % 2 + 1]], "query_id long, word string")
+    want = ranked(T.bm25_texts(docs, words, k=5))
+    monkeypatch.setattr(T, "TASK_ROWS", rows)
+    assert ranked(T.bm25_texts(docs, words, k=5)) == want and len(want) == 30
