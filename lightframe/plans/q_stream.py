@@ -51,8 +51,9 @@ def _settled(spark: SparkSession, df: DataFrame) -> DataFrame:
 @query(SEGMENTS_SQL + "SELECT source_id, asset_id, seg, false AS is_late FROM s")
 def settled_moments(spark, d) -> DataFrame:
     """Shown events streamed through the segmentation that waits for the watermark."""
-    k, i = F.get_json_object("props", "$.k").cast("long"), F.col("event_id")
-    rows = _stream(spark, d, "events").where((i % 17 != 0) & (i % 19 != 0) & (i % 23 != 0)).select(
+    k, i = F.col("k"), F.col("event_id")
+    events = _stream(spark, d, "events").where((i % 17 != 0) & (i % 19 != 0) & (i % 23 != 0)).withColumn("k", F.get_json_object("props", "$.k").cast("long"))  # parsed once a row
+    rows = events.select(
         i.alias("asset_id"), F.col("user_id").alias("source_id"), F.col("ts").cast("timestamp").alias("taken_at"), F.date_format("ts", "yyyy-MM-dd").alias("day"),
         F.when(k % 3 != 0, F.concat(F.lit("C"), (k % 5).cast("string"))).alias("city"), F.when(k % 3 != 0, F.lit(40.0) + (k % 5) * F.lit(0.1)).alias("lat"), F.when(k % 3 != 0, (k % 7) * F.lit(0.1)).alias("lon"),
     )

@@ -176,3 +176,78 @@ def test_a_key_has_one_timer():
             out += [r for f in how.handleExpiredTimer((1,), Now(now), None) for r in f.itertuples(index=False, name=None)]
         assert len(out) == sum(1000 * i <= now for i in range(40))
     assert out == [(1, i, i + 1, False) for i in range(40)] and not handle.timers and handle.most == 1
+
+
+def test_owners_share_a_bucket(monkeypatch):
+    """Rows of many owners wait together, in loose and slotted pages of any number, come out as their times pass with the segments of
+    a batch over all, and late ones are told; the store is called by pages, not by rows."""
+    import pandas as pd
+
+    calls = [0]
+
+    class State(dict):
+        def call(f):
+            def counted(*a):
+                calls[0] += 1
+                return f(*a)
+
+            return counted
+
+        exists = call(lambda self: "v" in self)
+        get = call(lambda self: self["v"])
+        update = call(lambda self, v: self.__setitem__("v", v))
+        getValue = call(lambda self, k: self[k])
+        containsKey, updateValue, removeKey = call(dict.__contains__), call(dict.__setitem__), call(dict.__delitem__)
+
+    def run(batches):
+        timers, states, out, late = set(), {}, {}, []
+        handle = type("Handle", (), {"registerTimer": lambda _, ms: timers.add(ms), "deleteTimer": lambda _, ms: timers.discard(ms)})()
+        handle.getValueState = handle.getMapState = lambda name, *_: states.setdefault(name, State())
+        for n, (frames, now) in enumerate(batches, 1):
+            how = L._Moments("u", "id", 6 * 3_600_000, 4 * 3_600_000, 40 * 60_000, 3.0, 2 * 3_600_000)  # nothing is kept but what the store has
+            how.init(handle)
+            clock = type("Now", (), {"getCurrentWatermarkInMs": lambda _, now=now: now})()
+            for f in how.handleInputRows((0,), iter(frames), clock) if frames else ():
+                late += [tuple(r) for r in f[["id", "u", "seg", "is_late"]].itertuples(index=False)]
+            assert len(timers) <= 1
+            for t in [t for t in timers if t <= now]:
+                timers.discard(t)
+                for f in how.handleExpiredTimer((0,), clock, None):
+                    for i, u, seg, flag in f[["id", "u", "seg", "is_late"]].itertuples(index=False):
+                        assert i not in out and not flag and ms[i] <= now
+                        out[i] = (u, seg)
+            assert {i for b, _ in batches[:n] for f in b for i in f["k"] if ms[i] <= now} == out.keys() | {x[0] for x in late}
+        assert not timers and not states["waiting"]
+        return out, late
+
+    r = random.Random(11)
+    rows, s = [], 0.0
+    for i in range(900):
+        s += r.choice((6, 60, 200, 300, 900, 2000))
+        placed = r.random() < 0.6
+        rows.append({"id": i, "s": s, "u": r.choice(("=1", "=2", "=30", "=-4", "", *(f"={k}" for k in range(50, 70)))), "ms": int(s * 1000), "city": r.choice((None, "A", "A", "B")), "lat": 40.0 + (r.random() if r.random() < 0.2 else 0) if placed else None, "lon": 1.0 if placed else None, "day": f"{at(s):%Y-%m-%d}"})
+    ms = {x["id"]: x["ms"] for x in rows}
+    frame = lambda some: pd.DataFrame([(x["u"], x["id"], x["ms"], x["lat"], x["lon"], x["city"], x["day"]) for x in some], columns=["owner", "k", "ms", "lat", "lon", "city", "day"])
+    per = defaultdict(list)
+    for x in rows:
+        per[x["u"]].append(x)
+    want = {x["id"]: (u, i) for u, mine in per.items() for i, seg in enumerate(B.segments(mine), 1) for x in seg}
+
+    delay = 6 * 3600
+    parts = shuffled(rows, delay * 0.9, 9, r)
+    batches = [([frame(p[:70]), frame(p[70:])], max(max(x["ms"] for x in p) - delay * 1000, 0)) for p in parts] + [([], ms[899])]
+    for sizes in ({}, {"PAGE": 16, "BATCH": 64, "GATHERED": 32, "OWNERS": 8}):
+        for k, v in sizes.items():
+            monkeypatch.setattr(L._Moments, k, v)
+        monkeypatch.setattr(L._Known, "PAGES", 32 if not sizes else 3)
+        assert run(batches) == (want, [])
+    monkeypatch.undo()
+    again = {x["id"]: x for x in rows}
+    last = max((x for x in rows if x["u"] == "=2"), key=lambda x: x["ms"])
+    ms[1000] = ms[1001] = 5
+    old = frame([{**again[0], "id": 1000, "ms": 5, "u": "=2"}, {**again[0], "id": 1001, "ms": 5, "u": "=none"}])
+    out, late = run([([frame(rows)], ms[899]), ([old], ms[899])])
+    assert late == [(1000, "=2", want[last["id"]][1], True)] and out == want | {1001: ("=none", 1)}  # an owner's first row is never late
+    calls[0] = 0
+    run([([frame(rows)], ms[899])])
+    assert calls[0] < 60, "calls of the store go by rows"
