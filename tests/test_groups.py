@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -243,3 +243,32 @@ def test_a_burst_is_not_listed_as_pairs(spark, monkeypatch):
     monkeypatch.setattr(U, "components", lambda e: seen.append(e.count()) or components(e))
     assert {tuple(x) for x in U.burst_groups(df).collect()} == {(i, 0) for i in range(3000)}
     assert seen[0] < 100
+
+
+def test_frames_alone_are_left_out(spark):
+    """Without frames that are alone in their island the series are the same, in one part or many, and few frames are left."""
+    r = random.Random(5)
+    rows, ms = [], 0
+    for i in range(5000):
+        ms += r.choice((100, 900, 60_000, 60_000, 60_000))
+        rows.append((i, i % 2, ms, r.choice((None, 0.0)) if r.random() < 0.05 else 2.0 ** r.randint(-9, 2), "m" if i % 7 else None, f"{r.getrandbits(64):016x}"))
+    df = spark.createDataFrame(rows, "asset_id long, source_id long, ms long, exposure double, model string, phash string").withColumn("taken_at", F.timestamp_millis("ms"))
+    for by in ((), ("source_id",)):
+        for most in (1 << 20, 1):  # groups in one part, and over many
+            with pytest.MonkeyPatch.context() as m:
+                m.setattr("lightframe.operators.ordered.MOST_ROWS", most)
+                m.setattr("lightframe.operators.ordered.WHOLE_ROWS", most)
+                every, some = (S.bracket_islands(df, *by, alone=alone) for alone in (True, False))
+                islands = {x["asset_id"]: x["island"] for x in every.collect()}
+                left = {x["asset_id"]: x["island"] for x in some.collect()}
+                n = Counter((islands[i], i % 2 if by else 0) for i in islands)
+                more = {i: k for i, k in islands.items() if n[k, i % 2 if by else 0] > 1}
+                assert more.items() <= left.items() <= islands.items() and len(left) <= len(more) + 16 < len(islands) / 2
+                assert sorted(map(tuple, S.bracket_series(every, *by).collect())) == sorted(map(tuple, S.bracket_series(some, *by).collect())) != []
+
+
+def test_near_groups_bring_columns(spark):
+    rows = [(i, f"{r:016x}", f"q{i % 3}", None if i % 4 else i % 8, "jpg", 10, 10, i * 7) for i, r in enumerate([0, 1, 3, 1 << 60, 0, 1, 255 << 20, 0, 0, 1])]
+    df = spark.createDataFrame(rows, "asset_id long, phash string, qhash string, burst long, ext string, width int, height int, size long")
+    plain = {tuple(x) for x in U.near_groups(df, burst="burst").collect()}
+    assert {tuple(x) for x in U.near_groups(df, burst="burst", also=("size",)).collect()} == {(i, c, i * 7) for i, c in plain} and plain

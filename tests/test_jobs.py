@@ -369,3 +369,16 @@ def test_near_classes(spark):
     of = {i: g[0] for g in B.components([r[0] for r in rows], edges) for i in g}
     for hot in (400, 3):
         assert {tuple(r) for r in U.near_classes(df, hot=hot).collect()} == {(i, of.get(i, i), n[i]) for i, _, _ in rows}
+
+
+def test_cleanup_sends_on_little(spark, sf_dir, monkeypatch):
+    """The report writes only what it reads of its rows, and few frames go to the fold of series."""
+    written, frames = [], []
+    keep, fold = J.checkpointed, J.S.bracket_series
+    monkeypatch.setattr(J, "checkpointed", lambda df: written.append(df.columns) or keep(df))
+    monkeypatch.setattr(J.S, "bracket_series", lambda df, **o: frames.append(df.count()) or fold(df, **o))
+    catalogue = J._cleanup_rows(spark, sf_dir)
+    nothing = spark.createDataFrame([], "result long, source long")
+    J.cleanup(catalogue.where(visible()), nothing.selectExpr("'' as signature"), nothing, catalogue, now=F.lit("2024-04-15").cast("timestamp"), seconds=20)
+    assert not {"source_id", "day", "city", "lat", "name", "rel_dir", "sharpness", "contrast", "k"} & set(written[0])
+    assert frames[0] < catalogue.count() / 10
